@@ -9,10 +9,11 @@ text has the empty set and links with nothing. Two documents are linked if 100 *
    ``COORDINATES`` values (all but about 3 of a million do at a similarity of just 0.75). In order of frequency, rarest
    first, it must then share one of the first ``COORDINATES - MATCHES + 1``: only these prefixes are joined, and the long
    lists at the end of the order are skipped; the count over them is made from the signatures the postings carry.
-3. First round: each class meets one pivot for each of its lists; links that hold contract most of a family of near copies.
-   Second round: every pair of classes in a list that isn't linked up yet is counted, in blocks of ``BLOCK`` postings, so
-   that a list of any length spreads over many tasks.
-4. Pairs with enough matches are confirmed on the full sets of both texts. Components come from alternating stars.
+3. Pairs with enough matches aren't listed. Each list, in blocks against blocks of ``BLOCK`` postings, gives a spanning forest
+   of them, and the components of all forests are *families*: every pair that may be linked lies within one.
+4. The texts of each family meet, again in blocks against blocks, so that a family of any size spreads over many tasks. There
+   pairs with enough matches are confirmed on their full sets, best matches first; pairs that are linked up already are left
+   out, and what comes out is a spanning forest of the links. Its components are the result.
 
 The sets are held as 64-bit hashes of their shingles. Rows that share a doc_id count as one document; a row without doc_id
 is kept, in no component. An empty table gives an empty result; other columns of the input don't matter.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm.common import saved
@@ -36,9 +37,6 @@ MATCHES = 31
 PREFIX = COORDINATES - MATCHES + 1
 SIMILARITY = 75
 BLOCK = 512
-#: Pivots of a class whose sets are compared in the first round.
-PIVOTS = 2
-
 _random = np.random.default_rng(75)
 _FACTORS = _random.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _random.integers(1, 2**63, COORDINATES, dtype=np.uint64)
@@ -93,73 +91,114 @@ def postings(classes: DataFrame) -> DataFrame:
     return kept.select("id", F.col("own.posting").alias("posting"))
 
 
-def _match_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("mark_a", "mark_b"))
-        n = (left == right).sum(axis=1)
-        keep = n >= MATCHES
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep)), pa.array(n[keep].astype(np.int64))], names=["a", "b", "n"])
-
-
-def _fits(a: str, b: str) -> str:
-    """Sets whose sizes differ too much can't be alike enough."""
-    return f"100 * least({a}, {b}) >= {SIMILARITY} * greatest({a}, {b})"
-
-
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (posting, p, q): pairs between the blocks p and q of a list, or within p where both are one."""
-
-    def pairs(own: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(own)
-        node, comp, size, block = (table.column(c).to_numpy() for c in ("id", "component", "n_shingles", "block"))
-        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        lefts, rights = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        out_a, out_b = [], []
-        for i in lefts:
-            j = rights[(comp[rights] != comp[i]) & ((node[rights] > node[i]) if p == q else True)]
-            j = j[100 * np.minimum(size[j], size[i]) >= SIMILARITY * np.maximum(size[j], size[i])]
-            j = j[(marks[j] == marks[i]).sum(axis=1) >= MATCHES]
-            out_a.append(np.minimum(node[j], node[i]))
-            out_b.append(np.maximum(node[j], node[i]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or [np.zeros(0, np.int64)])) for x in (out_a, out_b)], names=["a", "b"])
-
-    held, last = [], None
+class _Sets:
+    """Union-find over the rows of one task."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def find(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return i
+
+    def roots(self) -> np.ndarray:
+        while True:
+            up = self.parent[self.parent]
+            if (up == self.parent).all():
+                return up
+            self.parent = up
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        if i != j:
+            self.parent[max(i, j)] = min(i, j)
+        return i != j
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key together; they come sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        keys = np.stack([batch.column(c).to_numpy() for c in ("posting", "p", "q")])
-        at = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+        values = np.stack([batch.column(c).to_numpy() for c in keys])
+        at = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1), batch.num_rows]
         for a, b in zip(at[:-1], at[1:], strict=True):
             if b > a:
-                key = tuple(keys[:, a])
+                key = tuple(values[:, a])
                 if held and key != last:
-                    yield pairs(held)
+                    yield pa.Table.from_batches(held)
                     held = []
                 held.append(batch.slice(a, b - a))
                 last = key
     if held:
-        yield pairs(held)
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = []
-        for column in ("text_a", "text_b"):
-            coded = batch.column(column).dictionary_encode()
-            distinct = [s for _, _, texts in slices(coded.dictionary) for s in texts.shingles()]
-            sets.append([distinct[i] for i in coded.indices.to_pylist()])
-        keep = []
-        for s, t in zip(*sets, strict=True):
-            common = len(np.intersect1d(s, t, assume_unique=True))
-            keep.append(common > 0 and 100 * common >= SIMILARITY * (len(s) + len(t) - common))
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough; ``texts`` has (id, text) of the classes."""
-    wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = texts.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"])
-    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").mapInArrow(_confirm, "a long, b long").distinct()
+        yield pa.Table.from_batches(held)
+
+
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of the two blocks, and whether they are one and the same."""
+    block, p, q = group.column("block").to_numpy(), group.column("p")[0].as_py(), group.column("q")[0].as_py()
+    return np.flatnonzero(block == p), np.flatnonzero(block == q), p == q
+
+
+def _candidates(i: int, others: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the others with enough matches and a size that fits, and their matches."""
+    others = others[100 * np.minimum(sizes[others], sizes[i]) >= SIMILARITY * np.maximum(sizes[others], sizes[i])]
+    n = (signs[others] == signs[i]).sum(axis=1)
+    return others[n >= MATCHES], n[n >= MATCHES]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two blocks of a list, a spanning forest of the pairs with enough matches."""
+    for group in _groups(batches, ["posting", "p", "q"]):
+        nodes, sizes = group.column("id").to_numpy(), group.column("n_shingles").to_numpy()
+        signs = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        left, right, same = _sides(group)
+        sets, out = _Sets(len(nodes)), []
+        for k, i in enumerate(left):
+            others = _candidates(i, right[k + 1 :] if same else right, sizes, signs)[0]
+            for j in others[np.unique(sets.roots()[others], return_index=True)[1]]:
+                if sets.join(i, j):
+                    out.append((nodes[i], nodes[j]))
+        links = np.array(out, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(links.min(axis=1)), pa.array(links.max(axis=1))], names=["a", "b"])
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two blocks of a family, a spanning forest of the links between the full sets of their texts."""
+    for group in _groups(batches, ["family", "p", "q"]):
+        nodes = group.column("id").to_numpy()
+        shingles = [s for _, _, texts in slices(group.column("text")) for s in texts.shingles()]
+        sizes, signs = np.array([len(s) for s in shingles]), signatures(shingles)
+        left, right, same = _sides(group)
+        sets, out = _Sets(len(nodes)), []
+        for k, i in enumerate(left):
+            others, n = _candidates(i, right[k + 1 :] if same else right, sizes, signs)
+            others = others[np.argsort(-n, kind="stable")]
+            while len(others):
+                others = others[sets.roots()[others] != sets.find(i)]
+                now, others = others[:16], others[16:]
+                for j in now:
+                    if sets.find(i) != sets.find(j):
+                        at = np.searchsorted(shingles[i], shingles[j])
+                        common = int((shingles[i][np.minimum(at, sizes[i] - 1)] == shingles[j]).sum())
+                        if 100 * common >= SIMILARITY * (sizes[i] + sizes[j] - common):
+                            sets.join(i, j)
+                            out.append((nodes[i], nodes[j]))
+        links = np.array(out, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(links.min(axis=1)), pa.array(links.max(axis=1))], names=["a", "b"])
+
+
+def in_blocks(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The rows dealt out as pairs of blocks (p, q) of their key, sorted by (key, p, q); keys with one row drop out.
+
+    Each row goes once to every block of its key, its own included. ``id`` gives the block.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_rows")).where("_rows > 1").select(key, F.ceil(F.col("_rows") / BLOCK).cast("int").alias("_blocks"))
+    out = rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id"), "_blocks").cast("int"))
+    out = out.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+    out = out.select(key, F.least("block", "_other").alias("p"), F.greatest("block", "_other").alias("q"), "block", *columns)
+    return out.repartition(key, "p", "q").sortWithinPartitions(key, "p", "q")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -168,33 +207,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     sets = ["n_shingles", "sum_a", "sum_b"]
     named = rows.where("n_shingles > 0 and doc_id is not null")
     classes = saved(named.groupBy(*sets).agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")))
-    signed = classes.select("id", "n_shingles", F.concat(*[F.substring("signature", 4 * k + 1, 1) for k in range(COORDINATES)]).alias("marks"))
-    lists = saved(postings(classes.select("id", "signature")))
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
 
-    # Round one: the pivot of a list is the class with the smallest hash under the list's name, so that lists differ in it.
-    pivot = lists.groupBy("posting").agg(F.count("*").alias("length"), F.min(F.struct(F.xxhash64("id", "posting"), "id")).alias("pivot")).where("length > 1").select("posting", F.col("length"), F.col("pivot.id").alias("pivot"))
-    lists = lists.join(pivot, "posting")
-    star = lists.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), "id").distinct()
-    left = signed.select(F.col("id").alias("a"), F.col("n_shingles").alias("size_a"), F.col("marks").alias("mark_a"))
-    right = signed.select(F.col("id").alias("b"), F.col("n_shingles").alias("size_b"), F.col("marks").alias("mark_b"))
-    alike = saved(star.select("a", "b").distinct().join(left, "a").join(right, "b").where(_fits("size_a", "size_b")).select("a", "b", "mark_a", "mark_b").mapInArrow(_match_pairs, "a long, b long, n long"))
-    best = Window.partitionBy("id").orderBy(F.desc("n"), "a", "b")
-    first = star.join(alike, ["a", "b"]).withColumn("_rank", F.row_number().over(best)).where(f"_rank <= {PIVOTS}").select("a", "b").distinct()
-    links = saved(confirmed(first, texts))
-    joined = components(links)
+    lists = postings(classes.select("id", "signature")).join(classes.select("id", "n_shingles", "signature"), "id")
+    lists = in_blocks(saved(lists), "posting", ["id", "n_shingles", "signature"])
+    families = components(lists.mapInArrow(_forest, "a long, b long")).withColumnRenamed("component", "family").withColumnRenamed("node", "id")
 
-    # Round two: what is left in each list, block against block.
-    placed = lists.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_lists = placed.groupBy("posting").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("posting")
-    placed = placed.join(open_lists, "posting").join(signed, "id")
-    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
-    placed = placed.select("posting", "id", "component", "n_shingles", "marks", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("posting", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "component", "n_shingles", "marks")
-    placed = placed.repartition("posting", "p", "q").sortWithinPartitions("posting", "p", "q")
-    rest = placed.mapInArrow(_block_pairs, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    links = saved(links.unionAll(confirmed(saved(rest), texts)))
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    members = texts.join(saved(families), "id").dropDuplicates(["id", "text"])
+    links = in_blocks(saved(members), "family", ["id", "text"]).mapInArrow(_confirmed, "a long, b long")
     joined = components(links)
 
     names = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").select(*sets, F.coalesce("component", "id").alias("component_id"))
