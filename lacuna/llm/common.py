@@ -58,3 +58,9 @@ def running(df: DataFrame, group: list[str], unit: str, ties: list[str], sums: d
     inside = cut.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_in_{o}") for o, c in sums.items()])
     out = inside.join(offsets, [*names, "_bucket"])
     return out.select(*df.columns, *[(F.col(f"_in_{o}") + F.col(f"_off_{o}")).alias(o) for o in sums])
+
+
+def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A broadcast of short rows, such as a total for each source, if they are counted to be at most ``most``; else as it is."""
+    df = saved(df)
+    return F.broadcast(df) if df.count() <= most else df

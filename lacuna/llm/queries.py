@@ -4,17 +4,65 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lacuna.llm.exact_topk import neighbour_digest
+from lacuna.llm.language_evidence import identified
 from lacuna.llm.minhash_dedup import near_duplicates
+from lacuna.llm.mixing import mix_digest
+from lacuna.llm.packing import packed
+from lacuna.llm.page_crf import extracted
+from lacuna.llm.pseudonyms import pii_report
+from lacuna.llm.quality_rules import rule_digest
+from lacuna.llm.quality_trees import score_digest
+from lacuna.llm.sharding import shard_digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
+def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_digest(_table(spark, sf_dir, "documents"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op4_minhash_dedup,)}
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(_table(spark, sf_dir, "documents"))
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_digest(_table(spark, sf_dir, "documents"))
+
+
+def op8_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(_table(spark, sf_dir, "documents"))
+
+
+def op9_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
+def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (op1_html_crf, op2_pareto_mix, op3_best_fit_packing, op4_minhash_dedup, op5_pseudonyms, op6_exact_topk, op7_quality_rules, op8_stratified_shards, op9_language_evidence, op10_quality_trees)
+}
 
 ORACLE_SQL: dict[str, str] = {}
