@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from lacuna import queries_cloud, queries_tables
+
+QUERIES = queries_cloud.QUERIES | queries_tables.QUERIES
+ORACLE_SQL = queries_cloud.SQL | queries_tables.SQL
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """The gate on all embeddings: n, d_hat, max_gap, threshold, p, n_types, is_discrete."""
+    return queries_cloud.gate(spark, sf_dir)

@@ -1,0 +1 @@
+"""Column expressions and small numeric helpers."""
