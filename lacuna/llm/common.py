@@ -39,7 +39,7 @@ def unit_hash(seed: str, *columns: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def running(df: DataFrame, group: list[str], unit: str, ties: list[str], sums: dict[str, str], rows: int, bucket_rows: int = 20_000) -> DataFrame:
+def running(df: DataFrame, group: list[str], unit: str, ties: list[str], sums: dict[str, str], rows: int, bucket_rows: int = 4000) -> DataFrame:
     """Adds, for each output name of ``sums``, the running total of its column before the row, within ``group`` by (unit, ties).
 
     ``unit`` lies in [0, 1) and cuts each group into buckets of about ``bucket_rows`` of the ``rows`` in all. Totals of the
