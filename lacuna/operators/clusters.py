@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.checkpoints import cut
-from lacuna.operators.graph import components
+from lacuna.operators.graph import components, contracted
 from lacuna.operators.neighbors import distance, pairwise
 
 
@@ -171,7 +171,7 @@ def spanning_tree_of_edges(cloud: DataFrame, edges: DataFrame) -> DataFrame:
         if not picked.limit(1).count():
             return picked if tree is None else tree
         tree = picked if tree is None else tree.unionByName(picked)
-        labels = components(cloud.select("set_id", "id"), tree)
+        labels = contracted(labels, picked)
 
 
 def neighbour_vote(neighbors: DataFrame, labels: DataFrame, label: str = "label", k: int = 5) -> DataFrame:

@@ -32,6 +32,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def contracted(labels: DataFrame, picked: DataFrame) -> DataFrame:
+    """Labels (set_id, id, comp) after joining components by edges (set_id, u, v): only the graph of components is walked."""
+    end = lambda c: labels.select("set_id", F.col("id").alias(c), F.col("comp").alias(f"_{c}"))
+    between = picked.select("set_id", "u", "v").join(end("u"), ["set_id", "u"]).join(end("v"), ["set_id", "v"]).select("set_id", F.col("_u").alias("u"), F.col("_v").alias("v"))
+    merged = components(labels.select("set_id", F.col("comp").alias("id")).distinct(), between)
+    return cut(labels.join(merged.select("set_id", F.col("id").alias("comp"), F.col("comp").alias("_new")), ["set_id", "comp"]).select("set_id", "id", F.col("_new").alias("comp")))
+
+
 def minimum_spanning_tree(cloud: DataFrame, block: int = BLOCK) -> DataFrame:
     """(set_id, u, v, w) with u < v: for each set, the tree over Euclidean distances plus the offset, ties by (w, u, v).
 
@@ -60,7 +68,7 @@ def minimum_spanning_tree(cloud: DataFrame, block: int = BLOCK) -> DataFrame:
         best = found.groupBy("set_id", "comp").agg(F.min(F.struct("w", "u", "v")).alias("e"))
         picked = cut(best.select("set_id", "e.u", "e.v", "e.w").distinct())
         tree = picked if tree is None else tree.unionByName(picked)
-        labels = components(cloud.select("set_id", "id"), tree)
+        labels = contracted(labels, picked)
     empty = cloud.select("set_id", F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0.0).alias("w")).where("false")
     return empty if tree is None else tree
 

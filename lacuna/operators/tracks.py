@@ -76,6 +76,7 @@ def clean_tracks(df: DataFrame, conf0: float = 0.08, min_points: int = 5, max_ra
     def run(rows: pd.Series) -> pd.DataFrame:
         out = []
         for points in rows:
+            points = [] if points is None else points
             t, lf, c = (np.array([p[k] for p in points], float) for k in ("t", "lf", "c"))
             path = trace(t, lf, c - conf0, max_rate, tol, max_gap, jump_cost, cap)
             path = path[despike(lf[path])] if len(path) else path

@@ -13,7 +13,8 @@ from lacuna.plans import repertoires
 
 
 def _cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The embeddings as one set."""
+    """The embeddings as one set. Queries on its spanning tree have no SQL: a recursion over all pairs takes minutes; they are
+    tested against plain Python on small clouds."""
     return neighbors.points(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
@@ -246,36 +247,8 @@ def logistic_out_of_fold(spark, sf_dir):
 
 _PAIRS = "p as (select a.vec_id i, b.vec_id j, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) d from embeddings a join embeddings b on a.vec_id <> b.vec_id)"
 _RANKED = f"{_PAIRS}, r as (select *, row_number() over (partition by i order by d, j) rn from p)"
-_SHIFTED = "pts as (select vec_id, list_transform(embedding::DOUBLE[], lambda x: x + case when vec_id % 2 = 1 then 0.4 else 0.0 end) e from embeddings)"
-
-
-def _prim(source: str) -> str:
-    return f"""with recursive {source},
-p as (select a.vec_id i, b.vec_id j, list_distance(a.e, b.e) + 1e-9 d from pts a join pts b on a.vec_id <> b.vec_id),
-prim(step, visited, u, v, w) as (
-  select 0, [min(vec_id)], null::BIGINT, null::BIGINT, null::DOUBLE from pts
-  union all
-  select * from (select step + 1, list_append(visited, p.j), p.i, p.j, p.d from prim, p where list_contains(visited, p.i) and not list_contains(visited, p.j) order by p.d, least(p.i, p.j), greatest(p.i, p.j) limit 1)),
-mst as (select least(u, v) u, greatest(u, v) v, w from prim where u is not null)"""
-
-
-_GAPS = (
-    _prim(_SHIFTED)
-    + """,
-r as (select *, row_number() over (partition by i order by d, j) rn from p),
-nb as (select i, j from r where rn <= 15 union all select vec_id, vec_id from pts),
-rk as (select i id, d rk from r where rn = 15),
-e as (select row_number() over (order by w, u, v) e, u, v, w from mst),
-und as (select e, u a, v b from e union all select e, v, u from e),
-reach(e, side, node) as (
-  select e, 0, u from e union all select e, 1, v from e
-  union
-  select reach.e, reach.side, und.b from reach join und on und.a = reach.node and und.e < reach.e),
-sizes as (select e, side, count(*) n from (select distinct e, side, node from reach) group by 1, 2),
-big as (select e from sizes group by e having min(n) >= 10),
-around as (select distinct e.e, nb.j id from e join big using (e) join nb on nb.i = e.u or nb.i = e.v),
-g as (select e.u, e.v, e.w, e.w / m.med gap from e join (select around.e, median(rk.rk) med from around join rk using (id) group by 1) m using (e))"""
-)
+
+
 _NULLS = "nulls as (select dim, event_type shape, value * f max_gap from events, (values (9, 0.010::DOUBLE), (10, 0.012::DOUBLE)) c(dim, f))"
 _DECIDED = f"""with {_NULLS}, obs as (select * from (values ('a', 9, 0.55), ('a', 10, 0.55), ('b', 9, 1.4), ('c', 10, 0.0)) o(set_id, dim, max_gap)),
 cells as (select o.set_id, n.dim, n.shape, quantile_cont(n.max_gap, 0.95) q, (1 + count(*) filter (n.max_gap >= o.max_gap)) / (1 + count(*)) p from obs o join nulls n on n.dim = o.dim group by 1, 2, 3),
@@ -291,14 +264,6 @@ SQL = {
     "null_dims": f"with {_RANKED}, t as (select i, rn, d + 1e-12 t, max(d + 1e-12) over (partition by i) tk from r where rn <= 15), m as (select i, sum(ln(tk / t)) / 14 m from t where rn < 15 group by i), h as (select 1 / avg(m) d from m) select distinct unnest([least(greatest(floor(d), 1), 10), least(greatest(ceil(d), 1), 10)])::BIGINT dim from h",
     "global_rms_scale": "with x as (select vec_id, unnest(embedding)::DOUBLE x from embeddings), s as (select sqrt(sum(x * x) / count(*)) s from x) select vec_id id, round(embedding[1]::DOUBLE / s, 5) z0, round((select sum(power(y::DOUBLE / s, 2)) from unnest(embedding) u(y)), 5) norm2 from embeddings, s",
     "cross_nearest": "select a.vec_id i, round(min(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) d from embeddings a, embeddings b where a.label <> b.label group by 1",
-    "mst_edges": _prim("pts as (select vec_id, embedding::DOUBLE[] e from embeddings)") + " select u, v, round(w, 6) w from mst",
-    "gap_merges": _GAPS + " select u, v, round(gap, 6) gap from g",
-    "max_gap": _GAPS + " select round(coalesce(max(gap), 0), 6) max_gap from g",
-    "top_k_gaps": _GAPS + " select u, v, round(gap, 6) gap from g order by g.gap desc, u, v limit 3",
-    "fixed_threshold_types": _GAPS + " select 1 + count(*) filter (gap > 2.0) n_types from g",
-    "cut_groups": _GAPS + """, kept as (select u a, v b from e where not exists (select 1 from g where g.u = e.u and g.v = e.v and g.gap > 1.5)), ways as (select a, b from kept union all select b, a from kept),
-walk(id, node) as (select vec_id, vec_id from pts union select walk.id, ways.b from walk join ways on ways.a = walk.node), named as (select id, min(node) grp from walk group by 1)
-select id, case when count(*) over (partition by grp) >= 10 then grp else -1 end grp from named""",
     "array_union_median": f"with {_RANKED}, nb as (select i, j from r where rn <= 15 union all select vec_id, vec_id from embeddings), rk as (select i id, d + 1e-9 rk from r where rn = 15), u as (select i, j from nb where exists (select 1 from embeddings where vec_id = nb.i + 1) union select i - 1, j from nb where exists (select 1 from embeddings where vec_id = nb.i - 1)) select u.i, round(median(rk), 6) med from u join rk on rk.id = u.j group by 1",
     "dbscan_core_points": """with recursive pts as (select vec_id id, embedding[1]::DOUBLE x, embedding[2]::DOUBLE y from embeddings), near as (select a.id i, b.id j from pts a join pts b on a.id <> b.id and sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.02),
 cores as (select id from pts where 1 + (select count(*) from near where near.i = pts.id) >= 3), inner_ as (select i, j from near where i in (select id from cores) and j in (select id from cores)),
