@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.checkpoints import cut
-from lacuna.operators.graph import components, contracted
+from lacuna.operators.graph import components, spanning_tree_of_edges
 from lacuna.operators.neighbors import distance, pairwise
 
 
@@ -158,22 +158,6 @@ def hdbscan(cloud: DataFrame, neighbors: DataFrame, min_cluster_size: int = 10)
     return edges.groupBy("set_id").applyInPandas(run, "set_id string, id long, cluster long")
 
 
-def spanning_tree_of_edges(cloud: DataFrame, edges: DataFrame) -> DataFrame:
-    """Minimum spanning tree of a table of edges (set_id, u, v, w), by rounds in which each component takes its best edge."""
-    edges = cut(edges)
-    labels = cut(cloud.select("set_id", "id", F.col("id").alias("comp")))
-    tree = None
-    while True:
-        side = lambda c: labels.select("set_id", F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
-        open_ = edges.join(side("u"), ["set_id", "u"]).join(side("v"), ["set_id", "v"]).where("cu <> cv")
-        ends = open_.select("set_id", "u", "v", "w", F.explode(F.array("cu", "cv")).alias("comp"))
-        picked = cut(ends.groupBy("set_id", "comp").agg(F.min(F.struct("w", "u", "v")).alias("e")).select("set_id", "e.u", "e.v", "e.w").distinct())
-        if not picked.limit(1).count():
-            return picked if tree is None else tree
-        tree = picked if tree is None else tree.unionByName(picked)
-        labels = contracted(labels, picked)
-
-
 def neighbour_vote(neighbors: DataFrame, labels: DataFrame, label: str = "label", k: int = 5) -> DataFrame:
     """(set_id, id, vote): the commonest label of the k nearest others, the smallest of equals."""
     near = neighbors.where(F.col("rank") <= k).join(labels.select("set_id", F.col("id").alias("j"), F.col(label).alias("_l")), ["set_id", "j"])

@@ -40,37 +40,54 @@ def contracted(labels: DataFrame, picked: DataFrame) -> DataFrame:
     return cut(labels.join(merged.select("set_id", F.col("id").alias("comp"), F.col("comp").alias("_new")), ["set_id", "comp"]).select("set_id", "id", F.col("_new").alias("comp")))
 
 
-def minimum_spanning_tree(cloud: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(set_id, u, v, w) with u < v: for each set, the tree over Euclidean distances plus the offset, ties by (w, u, v).
-
-    Rounds of Boruvka's method: each point finds its nearest point of another component, block against block, so that no
-    table of all pairs is made; each component takes its best edge. The number of components halves each round at least.
-    """
-
-    def nearest_foreign(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("id")
-        d = square(matrix(a), matrix(b)) + OFFSET
-        d[a["comp"].to_numpy()[:, None] == b["comp"].to_numpy()[None, :]] = np.inf
-        left, right = a["id"].to_numpy(), b["id"].to_numpy()
-        low = d.min(axis=1)
-        # of equal distances the pair that is smallest as (smaller id, larger id)
-        first, last = np.minimum(left[:, None], right[None, :]), np.maximum(left[:, None], right[None, :])
-        tie = d == low[:, None]
-        at = np.array([min(np.flatnonzero(t), key=lambda j, r=r: (first[r, j], last[r, j])) for r, t in enumerate(tie)], int)
-        out = pd.DataFrame({"comp": a["comp"].to_numpy(), "u": np.minimum(left, right[at]), "v": np.maximum(left, right[at]), "w": low})
-        out = out[np.isfinite(low)].sort_values(["w", "u", "v"])
-        return out.drop_duplicates("comp")
-
+def spanning_tree_of_edges(cloud: DataFrame, edges: DataFrame) -> DataFrame:
+    """Minimum spanning tree of a table of edges (set_id, u, v, w), by rounds in which each component takes its best edge."""
+    edges = cut(edges)
     labels = cut(cloud.select("set_id", "id", F.col("id").alias("comp")))
     tree = None
-    while labels.groupBy("set_id").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").limit(1).count():
-        found = block_pairs(cloud.join(labels, ["set_id", "id"]), nearest_foreign, "comp long, u long, v long, w double", block, ("comp",))
-        best = found.groupBy("set_id", "comp").agg(F.min(F.struct("w", "u", "v")).alias("e"))
-        picked = cut(best.select("set_id", "e.u", "e.v", "e.w").distinct())
+    while True:
+        side = lambda c: labels.select("set_id", F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+        open_ = edges.join(side("u"), ["set_id", "u"]).join(side("v"), ["set_id", "v"]).where("cu <> cv")
+        ends = open_.select("set_id", "u", "v", "w", F.explode(F.array("cu", "cv")).alias("comp"))
+        picked = cut(ends.groupBy("set_id", "comp").agg(F.min(F.struct("w", "u", "v")).alias("e")).select("set_id", "e.u", "e.v", "e.w").distinct())
+        if not picked.limit(1).count():
+            return picked if tree is None else tree
         tree = picked if tree is None else tree.unionByName(picked)
         labels = contracted(labels, picked)
-    empty = cloud.select("set_id", F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0.0).alias("w")).where("false")
-    return empty if tree is None else tree
+
+
+def small_tree(rows: pd.DataFrame) -> pd.DataFrame:
+    """The spanning tree (u, v, w) of a few points (id, z), grown from the first; equal lengths go by (u, v)."""
+    rows = rows.drop_duplicates("id").sort_values("id")
+    ids, z = rows["id"].to_numpy(), matrix(rows)
+    n = len(ids)
+    d = square(z, z) + OFFSET
+    best, source, outside = d[0].copy(), np.zeros(n, int), np.ones(n, bool)
+    outside[0] = False
+    edges = []
+    for _ in range(n - 1):
+        reach = np.where(outside, best, np.inf)
+        ties = np.flatnonzero(reach == reach.min())
+        j = min(ties, key=lambda k: (min(k, source[k]), max(k, source[k])))
+        edges.append((ids[min(j, source[j])], ids[max(j, source[j])], best[j]))
+        outside[j] = False
+        k = np.arange(n)
+        old, new = np.minimum(k, source) * n + np.maximum(k, source), np.minimum(k, j) * n + np.maximum(k, j)
+        closer = (d[j] < best) | ((d[j] == best) & (new < old))
+        best[closer], source[closer] = d[j][closer], j
+    return pd.DataFrame(edges, columns=["u", "v", "w"])
+
+
+def minimum_spanning_tree(cloud: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(set_id, u, v, w) with u < v: for each set, the tree over Euclidean distances plus the offset, ties by (w, u, v).
+
+    An edge of the whole tree is in the tree of any part that holds both its ends. So each pair of blocks gives the tree of its
+    points, and the tree of all these edges is the result: no table of all pairs is made, and sets of one block are done at once.
+    """
+    edges = block_pairs(cloud, lambda a, b: small_tree(pd.concat([a, b])), "u long, v long, w double", block, half=True).distinct()
+    if not cloud.groupBy("set_id").count().where(F.col("count") > block).limit(1).count():
+        return edges
+    return spanning_tree_of_edges(cloud, edges)
 
 
 def ranked_edges(tree: DataFrame) -> DataFrame:

@@ -47,23 +47,26 @@ def square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def block_pairs(cloud: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK, extra: tuple[str, ...] = ()) -> DataFrame:
-    """``work(left, right)`` for every ordered pair of blocks of each set; both have id, z and the ``extra`` columns."""
+def block_pairs(cloud: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK, extra: tuple[str, ...] = (), half: bool = False) -> DataFrame:
+    """``work(left, right)`` for every ordered pair of blocks of each set; both have id, z and the ``extra`` columns.
+
+    ``half``: for each pair of blocks in one order only.
+    """
     sizes = cloud.groupBy("set_id").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
     dealt = cloud.join(sizes, "set_id").withColumn("_own", F.pmod(F.xxhash64("id"), "_n").cast("int"))
     dealt = dealt.select("set_id", "id", "z", *extra, "_own", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_other"))
     keep = ["id", "z", *extra]
-    names = ["set_id", *(c.split()[0] for c in schema.split(", "))]
+    kinds = {"long": "int64", "double": "float64"}
+    types = {"set_id": "object"} | {c.split()[0]: kinds[c.split()[1]] for c in schema.split(", ")}
     left = dealt.select("set_id", F.col("_own").alias("_p"), F.col("_other").alias("_q"), *keep)
     fresh = lambda c: F.col(c).alias(c)  # noqa: E731  columns of their own, for a join with the same table
     right = dealt.select(fresh("set_id"), F.col("_other").alias("_p"), F.col("_own").alias("_q"), *[fresh(c) for c in keep])
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({name: [] for name in names})
+        if not len(a) or not len(b) or (half and key[1] > key[2]):
+            return pd.DataFrame({name: pd.Series(dtype=kind) for name, kind in types.items()})
         out = work(a, b)
-        out.insert(0, "set_id", key[0])
-        return out
+        return pd.DataFrame({"set_id": np.full(len(out), key[0], object), **{c: out[c].to_numpy() for c in out.columns}}).astype(types)
 
     keys = ["set_id", "_p", "_q"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"set_id string, {schema}")

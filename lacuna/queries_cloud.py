@@ -50,7 +50,7 @@ def intrinsic_dim(spark, sf_dir):
 
 def null_dims(spark, sf_dir):
     dims = neighbors.null_dims(neighbors.intrinsic_dim(neighbors.knn(_cloud(spark, sf_dir))))
-    return dims.select(F.explode("dims").cast("long").alias("dim"))
+    return dims.select(F.explode(F.col("dims").cast("array<long>")).alias("dim"))
 
 
 def global_rms_scale(spark, sf_dir):
@@ -187,9 +187,6 @@ def null_table(spark, sf_dir):
     return nulls.null_table(spark, [(100, 3), (100, 5)], n_null=20)
 
 
-def mst_large(spark, sf_dir):
-    return graph.minimum_spanning_tree(_cloud(spark, sf_dir))
-
 
 def group_relative_gaps(spark, sf_dir):
     cloud, near, tree, _ = _gaps(spark, sf_dir, _typed(spark, sf_dir))
@@ -283,7 +280,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pairwise_distance, knn_k15, kth_nn_radius, knn_graph_symmetric, intrinsic_dim, null_dims, global_rms_scale, cross_nearest, mst_edges, gap_merges, max_gap, top_k_gaps, fixed_threshold_types, cut_groups, array_union_median,
-        dbscan_core_points, knn_vote, threshold_given_nulls, pvalue_given_nulls, n_types_given_nulls, shape_invariance_ratio, hopkins_given_points, gate, gate_many_sets, gate_known_clusters, null_table, mst_large, group_relative_gaps, hdbscan, gmm_bic, prominences, silverman,
+        dbscan_core_points, knn_vote, threshold_given_nulls, pvalue_given_nulls, n_types_given_nulls, shape_invariance_ratio, hopkins_given_points, gate, gate_many_sets, gate_known_clusters, null_table, group_relative_gaps, hdbscan, gmm_bic, prominences, silverman,
         synthetic_repertoires, repertoire_cloud, pca_cloud, stratified_folds, grouped_folds, logistic_out_of_fold,
     )
 }
