@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.checkpoints import cut
-from lacuna.operators import clusters, density, gaps, graph, neighbors, nulls, scores
+from lacuna.operators import clusters, density, gaps, geometry, graph, neighbors, nulls, scores, signal, synth
 from lacuna.operators.gate import decide, gap_test
 from lacuna.operators.synth import known_case, repertoire
-from lacuna.plans import repertoires
+from lacuna.plans import detection, repertoires
+from lacuna.sources import tables
 
 
 def _cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,6 +224,43 @@ def repertoire_cloud(spark, sf_dir):
     return repertoires.cloud_of(repertoire(spark, "discrete_tight", 120))
 
 
+def convex_hull(spark, sf_dir):
+    """Corners of each label's points on their first two coordinates."""
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return geometry.convex_hull(neighbors.points(df, set_col="label").withColumn("z", F.slice("z", 1, 2)))
+
+
+def hopkins(spark, sf_dir):
+    """On the first two principal components; a continuum is near 0.5."""
+    return geometry.hopkins_test(clusters.pca(_cloud(spark, sf_dir), 2))
+
+
+def adjusted_information(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.floor(F.col("embedding")[0] * 20).alias("other"))
+    return spark.createDataFrame([(scores.adjusted_information(df, "label", "other"),)], "ami double")
+
+
+def detected_calls(spark, sf_dir):
+    """Bursts in synthetic recordings, one for each user of the events; onset and length come from the user's number."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
+    return detection.detect(synth.bursts(users, "user_id"))
+
+
+def call_images(spark, sf_dir):
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
+    return signal.images(synth.bursts(users, "user_id"), 300.0, 30e3, 110e3, nperseg=512, noverlap=448).select("file", F.size("image").alias("n"))
+
+
+def power_by_bin(spark, sf_dir):
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
+    return signal.power_by_bin(synth.bursts(users, "user_id"))
+
+
+def file_profile(spark, sf_dir):
+    """Compressed bytes of the documents' columns, from the footers."""
+    return tables.profile(spark, [f"{sf_dir}/documents.parquet"])
+
+
 def pca_cloud(spark, sf_dir):
     return clusters.pca(_cloud(spark, sf_dir), 10)
 
@@ -281,6 +319,6 @@ QUERIES = {
     for f in (
         pairwise_distance, knn_k15, kth_nn_radius, knn_graph_symmetric, intrinsic_dim, null_dims, global_rms_scale, cross_nearest, mst_edges, gap_merges, max_gap, top_k_gaps, fixed_threshold_types, cut_groups, array_union_median,
         dbscan_core_points, knn_vote, threshold_given_nulls, pvalue_given_nulls, n_types_given_nulls, shape_invariance_ratio, hopkins_given_points, gate, gate_many_sets, gate_known_clusters, null_table, group_relative_gaps, hdbscan, gmm_bic, prominences, silverman,
-        synthetic_repertoires, repertoire_cloud, pca_cloud, stratified_folds, grouped_folds, logistic_out_of_fold,
+        synthetic_repertoires, repertoire_cloud, convex_hull, hopkins, adjusted_information, detected_calls, call_images, power_by_bin, file_profile, pca_cloud, stratified_folds, grouped_folds, logistic_out_of_fold,
     )
 }
