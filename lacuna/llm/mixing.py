@@ -58,15 +58,16 @@ def mixed(documents: DataFrame, odds: str | None = None, seed: str = SEED, max_c
     wanted = base.join(broadcast_if_small(of_source), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     times = F.least(F.coalesce(F.try_divide(F.col("target"), F.col("source_size")) * F.col("odds") / F.col("mean_odds"), F.lit(0.0)), F.lit(float(max_copies)))
     wanted = wanted.withColumn("times", times).withColumn("whole", F.floor("times").cast("long")).withColumn("p", F.col("times") - F.col("whole"))
-    # the rank odds r as r / (1 + r), which orders alike and lies in [0, 1]; rows without a chance add nothing, wherever they are
-    ratio = (F.col("u") * (1 - F.col("p"))) / (F.col("u") * (1 - F.col("p")) + F.col("p") * (1 - F.col("u")))
+    facts = wanted.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("certain_words"), F.least(F.greatest(F.round(F.avg(F.when(F.col("p") > 0, F.col("p"))), 6), F.lit(1e-6)), F.lit(1 - 1e-6)).alias("mean_p")).withColumnRenamed("source", "_source")
+    wanted = wanted.join(broadcast_if_small(facts), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    # Rank odds r, times the source's mean odds, as r / (1 + r): this orders alike and spreads evenly over [0, 1]; where all
+    # odds are equal it is u. Rows without a chance add nothing, wherever they are.
+    scale = F.col("mean_p") * (1 - F.col("p"))
+    ratio = (F.col("u") * scale) / (F.col("u") * scale + F.col("p") * (1 - F.col("mean_p")) * (1 - F.col("u")))
     wanted = wanted.withColumn("rank_odds", F.when(F.col("p") > 0, ratio).otherwise(F.col("u")))
     wanted = wanted.withColumn("free", F.when(F.col("p") > 0, F.col("size")).otherwise(F.lit(0)))
-    wanted = wanted.withColumn("certain", F.col("whole") * F.col("size"))
-    certain = wanted.groupBy("source").agg(F.sum("certain").alias("certain_words")).withColumnRenamed("source", "_source")
     n = base.count()
     placed = running(wanted, ["source"], "rank_odds", ["doc_id", "text_hash"], {"before": "free"}, n)
-    placed = placed.join(broadcast_if_small(certain), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     extra = (F.col("p") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("target") - F.col("certain_words"))
     return placed.select("doc_id", "text_hash", "source", "size", "source_size", "target", (F.col("whole") + extra.cast("long")).alias("copies"))
 
