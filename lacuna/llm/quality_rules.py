@@ -32,7 +32,7 @@ RULES = (
     ("words_too_long", "mean_word_chars", "<=", 12.0),
     ("too_many_symbols", "symbol_ratio", "<=", 0.2),
     ("too_few_stop_words", "stop_word_share", ">=", 0.02),
-    ("too_many_equal_lines", "equal_line_share", "<=", 0.3),
+    ("too_many_equal_lines", "equal_line_share", "<=", 0.75),
     ("too_many_shouts", "shout_ratio", "<=", 0.2),
     ("too_few_letters", "letter_share", ">=", 0.6),
 )
