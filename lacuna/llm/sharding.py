@@ -1,8 +1,9 @@
 """Shards that each hold the mixture of sources, by proportional stratified interleaving.
 
-Rows are shuffled by a seeded hash and ranked within their source; the row of rank r of n has the fractional rank
-(r - 1/2) / n. In order of it the sources interleave in proportion, and the order is cut into shards of equal counts: the
-``rows`` law. Any stretch holds each source to within a row of its share.
+Rows are shuffled by a seeded hash and ranked within their source; the row of rank r (from 0) of n has the fractional rank
+(r + t) / n, where t in [0, 1) is a hash of the source, so that many small sources don't all fall in the middle. In order of
+it the sources interleave in proportion, and the order is cut into shards of equal counts: the ``rows`` law. Any stretch
+holds each source to within a row of its share.
 
 Ranks come from bucket totals and one bucket at a time (``running``), so a source with a third of all rows is no task of its
 own. A null text has 0 bytes and the checksum of no bytes, 0. Null sources are a source. Rows equal in doc_id and text may
@@ -29,8 +30,8 @@ def placed(documents: DataFrame, shards: int = SHARDS, seed: str = SEED) -> Data
     total = rows.count()
     of_source = rows.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("of"))
     ranked = running(rows, ["source"], "u", ["doc_id", "text_crc32"], {"rank": "one"}, total)
-    ranked = ranked.join(of_source, F.col("source").eqNullSafe(F.col("_source"))).withColumn("fraction", (F.col("rank") + 0.5) / F.col("of"))
-    ranked = saved(ranked.withColumn("turn", unit_hash(seed, F.col("source"))).drop("_source"))
+    ranked = ranked.join(of_source, F.col("source").eqNullSafe(F.col("_source"))).withColumn("turn", unit_hash(seed, F.col("source")))
+    ranked = saved(ranked.withColumn("fraction", (F.col("rank") + F.col("turn")) / F.col("of")).drop("_source"))
     lined = running(ranked, [], "fraction", ["turn", "source", "rank"], {"place": "one"}, total)
     shard = F.floor(F.col("place") * shards / total).cast("int") if total else F.lit(0)
     first = F.floor((shard * F.lit(total) + (shards - 1)) / shards).cast("long")

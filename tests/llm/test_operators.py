@@ -279,6 +279,12 @@ def test_shards_follow_the_mixture(rows, documents, empty):
     assert sharding.shard_digest(empty).count() == 0
 
 
+def test_sources_of_one_row_spread_over_the_shards(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "hot" if i < 200 else f"s{i}") for i in range(400)], "doc_id long, text string, source string")
+    small = Counter(r.shard for r in sharding.placed(docs, shards=4).collect() if r.source != "hot")
+    assert sorted(small) == list(range(4)) and max(small.values()) < 75
+
+
 def test_trees_learn_and_handle_odd_texts(spark, sf, rows, documents, empty):
     docs, labels = (spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
     out = {r.doc_id: r for r in quality_trees.score_digest(docs, labels).collect()}
