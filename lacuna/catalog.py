@@ -7,9 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from lacuna import queries_cloud, queries_tables
 
 QUERIES = queries_cloud.QUERIES | queries_tables.QUERIES
+SMOKE_NULLS = 50
 ORACLE_SQL = queries_cloud.SQL | queries_tables.SQL
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gate on all embeddings: n, d_hat, max_gap, threshold, p, n_types, is_discrete."""
-    return queries_cloud.gate(spark, sf_dir)
+    """The gate on all embeddings: n, d_hat, max_gap, threshold, p, n_types, is_discrete.
+
+    A smoke check with ``SMOKE_NULLS`` null clouds for each cell; the query ``gate`` simulates all ``nulls.N_NULL``.
+    """
+    return queries_cloud.gate(spark, sf_dir, SMOKE_NULLS)

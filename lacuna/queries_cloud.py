@@ -166,7 +166,7 @@ def _nearest_to_half(a, b):
     return pd.DataFrame({"i": a["id"], "d": neighbors.square(0.5 * neighbors.matrix(a), neighbors.matrix(b)).min(axis=1)})
 
 
-def gate(spark, sf_dir, n_null: int = 50):
+def gate(spark, sf_dir, n_null: int = nulls.N_NULL):
     """The whole gate on all embeddings, with null clouds simulated in Spark."""
     out = gap_test(_cloud(spark, sf_dir), n_null=n_null).result
     return out.select("n", "d_hat", "max_gap", "threshold", "p", "n_types", "is_discrete")
@@ -175,17 +175,17 @@ def gate(spark, sf_dir, n_null: int = 50):
 def gate_many_sets(spark, sf_dir):
     """One gate for each label: the sets share all jobs."""
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    out = gap_test(neighbors.points(df, set_col="label"), n_null=20, max_dim=5).result
+    out = gap_test(neighbors.points(df, set_col="label")).result
     return out.select("set_id", "n", "d_hat", "max_gap", "threshold", "p", "n_types", "is_discrete")
 
 
 def gate_known_clusters(spark, sf_dir):
     """The self-test's eight clusters; 8 types are found."""
-    return gap_test(known_case(spark, "clusters", 320), n_null=20).result.select("set_id", "p", "n_types", "is_discrete")
+    return gap_test(known_case(spark, "clusters")).result.select("set_id", "p", "n_types", "is_discrete")
 
 
 def null_table(spark, sf_dir):
-    return nulls.null_table(spark, [(100, 3), (100, 5)], n_null=20)
+    return nulls.null_table(spark, [(100, 3), (100, 5)])
 
 
 
