@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA
@@ -51,17 +52,32 @@ def pca(cloud: DataFrame, k: int = 10) -> DataFrame:
     return model.transform(vectors).select("set_id", "id", vector_to_array("_p").alias("z"))
 
 
+def gaussian_bic(cloud: DataFrame, n: int, d: int) -> float:
+    """BIC of one Gaussian at its maximum likelihood; directions without variance are left out, as in Spark's mixtures."""
+    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
+    found = cloud.agg(*[F.covar_pop(F.col("z")[i], F.col("z")[j]) for i, j in pairs]).first()
+    spread = np.zeros((d, d))
+    for (i, j), x in zip(pairs, found, strict=True):
+        spread[i, j] = spread[j, i] = x
+    values = np.linalg.eigvalsh(spread)
+    values = values[values > np.finfo(float).eps * values.max() * d]
+    return float(n * (d * math.log(2 * math.pi) + np.log(values).sum() + len(values)) + (d + d * (d + 1) / 2) * math.log(n))
+
+
 def mixture_by_bic(cloud: DataFrame, most: int = 15, seed: int = 0) -> tuple[DataFrame, list[tuple[int, float]]]:
-    """((id, cluster) of the full-covariance mixture with the lowest BIC, (k, BIC) of all), by Spark's own EM."""
+    """((id, cluster) of the full-covariance mixture with the lowest BIC, (k, BIC) of all from k = 1), by Spark's own EM."""
     vectors = cut(cloud.select("id", array_to_vector("z").alias("features")))
     n, d = vectors.count(), len(cloud.select("z").first().z)
-    tried, best = [], None
+    tried = [(1, gaussian_bic(cloud, n, d))]
+    best = (tried[0][1], None)
     for k in range(2, most + 1):
         model = GaussianMixture(k=k, seed=seed, maxIter=60).fit(vectors)
         bic = -2 * model.summary.logLikelihood + (k - 1 + k * d + k * d * (d + 1) / 2) * math.log(n)
         tried.append((k, bic))
-        if best is None or bic < best[0]:
+        if bic < best[0]:
             best = (bic, model)
+    if best[1] is None:
+        return vectors.select("id", F.lit(0).alias("cluster")), tried
     return best[1].transform(vectors).select("id", F.col("prediction").alias("cluster")), tried
 
 

@@ -200,7 +200,8 @@ def hdbscan(spark, sf_dir):
 
 
 def gmm_bic(spark, sf_dir):
-    found, _ = clusters.mixture_by_bic(clusters.pca(_cloud(spark, sf_dir), 3), most=4)
+    """The best mixture of 1 to 15 Gaussians on ten principal components."""
+    found, _ = clusters.mixture_by_bic(clusters.pca(_cloud(spark, sf_dir), 10))
     return found
 
 

@@ -1,8 +1,10 @@
 """The registered queries do the whole job of their operators."""
 
+import numpy as np
 import pytest
 
 from lacuna import catalog
+from lacuna.operators import clusters
 from lacuna.operators import gate as gates
 
 
@@ -27,3 +29,25 @@ def test_gates_use_the_full_calibration(spark, sf, name, monkeypatch):
 def test_null_table_has_all_replicates(spark, sf):
     counts = catalog.QUERIES["null_table"](spark, sf).groupBy("n", "dim", "shape").count().collect()
     assert len(counts) == 6 and {r["count"] for r in counts} == {200}
+
+
+def test_one_gaussian_is_one_cluster(spark):
+    z = np.random.default_rng(3).normal(size=(300, 2)) @ np.array([[2.0, 0.5], [0.0, 1.0]])
+    found, tried = clusters.mixture_by_bic(spark.createDataFrame([("s", i, x.tolist()) for i, x in enumerate(z)], "set_id string, id long, z array<double>"), most=3)
+    c = z - z.mean(axis=0)
+    s = c.T @ c / 300
+    log_p = -0.5 * (np.einsum("ij,jk,ik->i", c, np.linalg.inv(s), c) + np.log(np.linalg.det(s)) + 2 * np.log(2 * np.pi))
+    assert [k for k, _ in tried] == [1, 2, 3] and np.isclose(tried[0][1], -2 * log_p.sum() + 5 * np.log(300))
+    assert {r.cluster for r in found.collect()} == {0} and found.count() == 300
+
+
+def test_mixture_query_searches_all_of_ten_components(spark, sf, monkeypatch):
+    seen = {}
+
+    def spy(cloud, most=15, seed=0):
+        seen.update(most=most, d=cloud.selectExpr("size(z) d").first().d)
+        return cloud, []
+
+    monkeypatch.setattr(clusters, "mixture_by_bic", spy)
+    catalog.QUERIES["gmm_bic"](spark, sf)
+    assert seen == {"most": 15, "d": 10}
