@@ -33,12 +33,26 @@ def position_tercile(df: DataFrame, by: list[str], order: list[str], name: str =
     return df.withColumn(name, F.element_at(F.array(F.lit("early"), F.lit("middle"), F.lit("late")), third + 1))
 
 
-def rank_quartile(df: DataFrame, by: list[str], order: list[str], name: str = "recording", parts: int = 4) -> DataFrame:
-    """Q1 to Q4 by rank: the bins of linear quantiles of 1..n, which differ from ``ntile`` for most n."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    n = F.count("*").over(Window.partitionBy(*by))
+def rank_quartile(df: DataFrame, by: list[str], order: list[str], name: str = "recording", parts: int = 4, piece: Column | None = None) -> DataFrame:
+    """Q1 to Q4 by rank: the bins of linear quantiles of 1..n, which differ from ``ntile`` for most n.
+
+    ``piece``, never null and growing with the order, is for one long sequence (``by`` empty): its rows are numbered piece by
+    piece, so that no task has all of them.
+    """
+    if piece is not None:
+        if by:
+            raise ValueError("pieces are for one sequence")
+        sizes = df.groupBy(piece.alias("_piece")).agg(F.count("*").alias("_m"))
+        before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.select("_piece", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"), F.sum("_m").over(Window.partitionBy()).alias("_all"))
+        df = df.withColumn("_piece", piece).join(sizes, "_piece")
+        rank = F.row_number().over(Window.partitionBy("_piece").orderBy(*order)) + F.col("_before")
+        n = F.col("_all")
+    else:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        n = F.count("*").over(Window.partitionBy(*by))
     bin_ = F.when(n > 1, F.greatest(F.lit(1), F.ceil(F.lit(float(parts)) * (rank - 1) / (n - 1)))).otherwise(1).cast("int")
-    return df.withColumn(name, F.concat(F.lit("Q"), bin_))
+    return df.withColumn(name, F.concat(F.lit("Q"), bin_)).drop("_piece", "_before", "_all")
 
 
 def value_tertile(df: DataFrame, value: str, name: str = "tertile") -> DataFrame:

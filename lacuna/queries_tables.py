@@ -126,8 +126,11 @@ def bonferroni(spark, sf_dir):
 
 
 def context_tests(spark, sf_dir):
-    rows = _labelled(spark, sf_dir).withColumn("label", F.when(F.col("grp") < 2, "low").otherwise("high")).withColumn("all_", F.lit("x"))
-    return context.context_tests(rows, "grp", "label", ["all_"], ("run_pos", "prev", "pos_bin"))
+    """All events are one set; its recordings are the quartiles of their order in time, counted day by day."""
+    day = F.coalesce(F.to_date("ts"), F.to_date(F.lit("0001-01-01")))
+    rows = sequence.rank_quartile(_labelled(spark, sf_dir), [], ORDER, piece=day)
+    rows = rows.withColumn("label", F.when(F.col("grp") < 2, "low").otherwise("high")).withColumn("all_", F.lit("x"))
+    return context.context_tests(rows, "grp", "label", ["all_"])
 
 
 def purity_split(spark, sf_dir):

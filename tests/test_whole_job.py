@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lacuna import catalog
-from lacuna.operators import clusters
+from lacuna.operators import clusters, sequence
 from lacuna.operators import gate as gates
 
 
@@ -51,3 +51,16 @@ def test_mixture_query_searches_all_of_ten_components(spark, sf, monkeypatch):
     monkeypatch.setattr(clusters, "mixture_by_bic", spy)
     catalog.QUERIES["gmm_bic"](spark, sf)
     assert seen == {"most": 15, "d": 10}
+
+
+def test_context_query_tests_all_variables(spark, sf):
+    rows = catalog.QUERIES["context_tests"](spark, sf).collect()
+    assert {r["var"] for r in rows} == {"run_pos", "prev", "pos_bin", "recording"}
+    assert all(np.isclose(r.p_bonf, min(1.0, r.p * len(rows))) for r in rows)
+
+
+def test_quartiles_in_pieces(spark):
+    df = spark.createDataFrame([(k * 7 % 23, k) for k in range(50)], "ts int, event_id int")
+    whole = sequence.rank_quartile(df, [], ["ts", "event_id"])
+    pieces = sequence.rank_quartile(df, [], ["ts", "event_id"], piece=(df.ts / 5).cast("int"))
+    assert pieces.columns == whole.columns and sorted(pieces.collect()) == sorted(whole.collect())
