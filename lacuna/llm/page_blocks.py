@@ -9,7 +9,11 @@ from typing import NamedTuple
 # Element groups of the HTML standard.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math select object".split())
+#: Elements whose content is no markup; it is skipped.
+RAW = frozenset("script style title textarea iframe".split())
+#: Of these, where the end tag is missing the rest of the page is code.
+CODE = frozenset("script style".split())
+FOREIGN = frozenset("svg math".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that no implied end tag reaches out of.
 FENCES = frozenset("ul ol dl table div section article main body td th".split())
@@ -27,11 +31,15 @@ class Block(NamedTuple):
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks with text, in page order. Any string is a page; end tags may be missing or wrong."""
+    """The blocks with text, in page order. Any string is a page; end tags may be missing or wrong.
+
+    A script or style that isn't closed reaches to the end of the page; any other element gives the text that follows.
+    """
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
     text: list[str] = []
     linked = in_link = at = 0
+    unclosed: set[str] = set()  # elements of RAW without an end tag from here on
 
     def close() -> None:
         nonlocal linked
@@ -68,9 +76,14 @@ def blocks(page: str) -> list[Block]:
                     del stack[k:]
                     break
         elif tag in RAW:
-            if not token[3].rstrip().endswith("/"):
+            if not token[3].rstrip().endswith("/") and tag not in unclosed:
                 over = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = over.end() if over else len(page)
+                if over:
+                    at = over.end()
+                elif tag in CODE:
+                    at = len(page)
+                else:
+                    unclosed.add(tag)
         else:
             close()
             in_link = 0
@@ -80,7 +93,7 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[k][0] in FENCES:
                     break
-            if tag not in VOID:
+            if tag not in VOID and not (tag in FOREIGN and token[3].rstrip().endswith("/")):
                 own = frozenset(w for m in _NAMES.finditer(token[3]) for w in _PART.findall((m[1] or m[2] or m[3] or "").lower())) if token[3] else frozenset()
                 stack.append((tag, stack[-1][1] | own if stack else own))
     close()

@@ -361,3 +361,15 @@ def test_pipeline(spark, sf):
         counts.append(docs.count())
     assert counts[0] > counts[1] > counts[2] == counts[3]
     assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+@pytest.mark.parametrize("tag", ["select", "svg", "noscript", "math", "object", "template", "title", "textarea", "iframe"])
+def test_an_open_element_does_not_end_the_page(tag):
+    assert [b.text for b in blocks(f"<body><{tag}><p>one</p><div>two</div>")] == ["one", "two"]
+
+
+def test_embedded_elements_keep_their_text():
+    nested = "<p>a</p><object><object>x</object>y</object><math><mi>n</mi></math><svg/><p>b</p>"
+    assert [b.text for b in blocks(nested)] == ["a", "x", "y", "n", "b"]
+    assert "svg" not in blocks("<svg/><p>b</p>")[0].tags
+    assert [b.text for b in blocks("<script>if (a<b) x</script><style>p{}</style><title>t</title><p>b</p><script>open <p>c</p>")] == ["b"]
