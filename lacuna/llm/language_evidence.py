@@ -11,7 +11,8 @@
 
 The sums are grouped aggregations with partial sums in the map tasks, so a host with most pages is no task of its own; the
 sums of hosts are joined back. The posterior is the normalised product. Null or empty pages have no text evidence; without
-any documents to learn from there are no languages, and ``language`` is null. Every row of pages gives one row.
+any documents to learn from there are no languages, and ``language`` is null. More than ``MAX_LANGUAGES`` languages in the
+sample are an error: none is left out in silence. Every row of pages gives one row.
 """
 
 from __future__ import annotations
@@ -65,9 +66,10 @@ def _trained(documents: DataFrame, rows: int) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    top = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    got = counts.join(F.broadcast(top.select("lang")), "lang").toArrow()
+    got = counts.toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"{len(langs)} values of lang in the training sample; at most {MAX_LANGUAGES} can be told apart")
     table = np.full((len(langs), BUCKETS), 0.5)
     place = {lang: i for i, lang in enumerate(langs)}
     table[[place[x] for x in got.column("lang").to_pylist()], got.column("bucket").to_numpy()] += got.column("n").to_numpy()

@@ -373,3 +373,9 @@ def test_embedded_elements_keep_their_text():
     assert [b.text for b in blocks(nested)] == ["a", "x", "y", "n", "b"]
     assert "svg" not in blocks("<svg/><p>b</p>")[0].tags
     assert [b.text for b in blocks("<script>if (a<b) x</script><style>p{}</style><title>t</title><p>b</p><script>open <p>c</p>")] == ["b"]
+
+
+def test_too_many_languages_are_an_error(spark):
+    docs = spark.createDataFrame([(i, f"words of language {i}", f"l{i:03d}", "s", 1) for i in range(501)], SCHEMA)
+    with pytest.raises(ValueError, match="501 values"):
+        identified(spark.createDataFrame([(1, "http://a.example/", "<p>words</p>")], "page_id long, url string, html string"), docs)
