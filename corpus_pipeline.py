@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import saved
+from lacuna.llm.common import broadcast_if_small, saved
 from lacuna.llm.minhash_dedup import near_duplicates
 from lacuna.llm.mixing import mix
 from lacuna.llm.packing import packed
@@ -19,10 +19,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each near-duplicate component, with its first row where rows repeat."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept"), "left_semi")
-    return out.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Keeps one row of each near-duplicate component: the one with the smallest doc_id, rows without one last.
+
+    Rows with the same doc_id and text count as one document, named by a 64-bit hash of both, of which one row stays; rows
+    without doc_id are named by their text. Rows that share a doc_id but not the text are documents of their own.
+    """
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    keyed = docs.withColumn("_key", key)
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("_component"), F.count("*").alias("_n"))
+    ids = keyed.groupBy("_key").agg(F.min(F.col("doc_id").cast("long")).alias("_id"))
+    first = found.join(ids, "_key").groupBy("_component").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key", "_n")).alias("_first"))
+    kept = saved(first.select("_first._key", "_first._n"))
+    single = keyed.join(kept.where("_n = 1").select("_key"), "_key", "left_semi").select(*docs.columns)
+    repeated = keyed.join(broadcast_if_small(kept.where("_n > 1").select("_key")), "_key", "left_semi")
+    one = repeated.groupBy("_key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
+    return single.unionByName(one)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

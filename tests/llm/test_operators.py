@@ -379,3 +379,20 @@ def test_too_many_languages_are_an_error(spark):
     docs = spark.createDataFrame([(i, f"words of language {i}", f"l{i:03d}", "s", 1) for i in range(501)], SCHEMA)
     with pytest.raises(ValueError, match="501 values"):
         identified(spark.createDataFrame([(1, "http://a.example/", "<p>words</p>")], "page_id long, url string, html string"), docs)
+
+
+def test_pipeline_keeps_one_row_of_each_component(spark, sf):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(8)
+    a, b, c, d = (" ".join("w%d" % r.randrange(400) for _ in range(80)) for _ in range(4))
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(7, a, "en", "s", 1)] * 5 + [(9, near, "en", "s", 2), (9, b, "en", "s", 3), (3, c, "en", "t", 4), (3, c, "en", "s", 5)]
+    rows += [(None, a, "en", "s", 6), (None, d, "en", "s", 7), (None, d, "en", "s", 7), (None, d + " more", "en", "s", 8), (None, None, "en", "s", 9), (12, None, "en", "s", 10), (13, "", "en", "s", 11)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = corpus_pipeline.near_dedup(spark, docs, sf)
+    assert out.columns == docs.columns
+    got = [tuple(x) for x in out.collect()]
+    assert sorted((x[0], x[1]) for x in got if x[0] is not None and x[1]) == [(3, c), (7, a), (9, b)]
+    assert {x[0] for x in got if not x[1]} == {None, 12, 13} and sum(not x[1] for x in got) == 3
+    assert [x[1] in (d, d + " more") for x in got if x[0] is None and x[1]] == [True]
+    assert set(got) <= set(rows) and len(got) == 7
