@@ -6,8 +6,9 @@ trained by gradient ascent on its likelihood over ``TRAIN_PAGES`` labelled pages
 parameter and doesn't depend on the input) and decoded by Viterbi. Training takes seconds, on the driver, once a session; the
 weights, some hundred numbers, go to the tasks and each page is decoded on its own, whole.
 
-Null or empty pages, and pages without a main block, give the empty text. Broken markup gives the blocks it still has. Every
-row gives one row, repeated rows too; further columns of the input don't matter.
+Null or empty pages, and pages without a main block, give the empty text. Broken markup gives the blocks it still has, in time
+in proportion to the page's length. White space within a block, that of Unicode such as the no-break space included, becomes one
+space. Every row gives one row, repeated rows too; further columns of the input don't matter.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ class Chain:
 
     def __init__(self, emit: dict[str, tuple[float, float]], step: list[list[float]]):
         self.emit, self.step = emit, step
+        self.names = frozenset(f.removeprefix("named=") for f in emit if f.startswith("named="))
 
     def decode(self, page: list[list[str]]) -> list[int]:
         (s00, s01), (s10, s11) = self.step
@@ -117,7 +119,7 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 0) -> Ch
 
 def main_text(page: str | None, chain: Chain) -> str:
     """The blocks labelled main, in page order, one on each line."""
-    found = blocks(page) if page else []
+    found = blocks(page, chain.names) if page else []
     labels = chain.decode([features(b) for b in found])
     return "\n".join(b.text for b, label in zip(found, labels, strict=True) if label)
 
@@ -137,5 +139,3 @@ def extracted(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
     kind = {f.name: f.dataType.simpleString() for f in pages.schema}
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(run, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")
-
-

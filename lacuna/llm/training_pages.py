@@ -8,6 +8,7 @@ MAIN, OTHER = 1, 0
 _SYLLABLES = "an be ca do el fi ga ho in ka lo mi no or pa qui re so ta un ver wi".split()
 _COMMON = "the of and to in a is that for it der die und le la et de el los con en".split()
 _WRAPPERS = ("article", "main", 'div class="content"', 'div class="post-body"', 'section class="story"', 'div id="main-content"', 'div class="entry-content"', 'div class="article-text"', 'article class="post"', "body")
+_OUTER = ("main", 'div class="container"', 'div id="page"', 'div class="wrapper"', 'div id="content"', 'section class="layout"', "article")
 _ASIDES = ("aside", 'div class="sidebar"', 'div id="right-sidebar"', 'div class="widget"', 'aside class="sidebar"')
 _ADS = ('div class="ad"', 'div class="ads banner"', 'div class="advert"', 'div id="advertisement"', 'div class="sponsored promo"', 'section class="promo"')
 _NOTICES = ('div class="cookie-notice"', 'div class="notice"', 'div id="banner" role="alert"', 'div class="newsletter subscribe"', 'div class="popup modal"', 'div class="consent"', 'div class="alert"')
@@ -77,7 +78,7 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
                 if r.random() < 0.15:
                     body = f'<a href="/y">{_words(r, 2)}</a> {body}'
                 out.append(r.choice(("<p>{}</p>", "<p><b>{}<br>", "<p>{}", "<p class='text'>{}</p>", "<div>{}</div>")).format(body))
-            if r.random() < 0.07:
+            if r.random() < 0.12:
                 out.append(r.choice((lambda: note(_ADS), lambda: note(_NOTICES), lambda: note(_ASIDES), menu, form))())
         return "".join(out)
 
@@ -96,7 +97,11 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
     text = title + paragraphs()
     if wrapper != "body" and r.random() < 0.25:
         text += note(_COMMENTS)
-    parts.append(text if wrapper == "body" else _inside(wrapper, text))
+    text = text if wrapper == "body" else _inside(wrapper, text)
+    if wrapper != "body":
+        for _ in range(r.choice((0, 0, 0, 1, 1, 2))):
+            text = _inside(r.choice(_OUTER), text + (note(_ASIDES) if r.random() < 0.2 else ""))
+    parts.append(text)
     if r.random() < 0.4:
         n = r.randint(1, 4)
         parts.append(other(_inside(r.choice(_COMMENTS), "".join(f"<p>{_sentences(r, r.randint(1, 4))}</p>" for _ in range(n))), n))
