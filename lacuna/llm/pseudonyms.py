@@ -1,25 +1,33 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations, in DataFrame functions alone.
 
 Numbers and dates are recognised by pattern, validated, and mapped to another valid value of the same form: a card number
-keeps its length, spacing, first digit and a right check digit; a telephone number a possible area and exchange; a social
-security number a possible area, group and serial; an address of IP version 4 four octets; a date stays a day of the same
-400 years. Each kind is a permutation of its values under the key, so equal values stay linked across documents and
-different ones apart. What only looks alike (a wrong check digit, 31 April, an octet of 300) is left as it is.
+keeps its length, spacing, first digit and a right check digit; an IBAN its country, spacing, letters and right check digits; a
+telephone number a possible area and exchange, or behind a plus its country's code and length; a social security number a possible
+area, group and serial; an address of IP version 4 four octets, one of version 6 in full eight groups; a date, year first or
+last, stays a day of the same 400 years. Each kind is a permutation of its values under the key, so equal values stay linked
+across documents and different ones apart. What only looks alike (a wrong check digit, 31 April, an octet of 300) is left as it is.
 
 A value is a pair (a, b) of numbers below A and B; round r makes it (b, (a + f(r, b)) mod A) with the sizes exchanged, f being
 48 bits of a keyed SHA-256. ``ROUNDS`` is even, so the sizes are back in place.
 
 E-mail addresses and secrets (access keys, values of ``password=`` or ``token =``) have no numeric form. They become keyed
 digests of the same length and alphabet, which link alike. Empty and null texts stay as they are; every row and column
-is kept, and repeated rows give repeated results.
+is kept, and repeated rows give repeated results. No pattern repeats a group without bound, so a text of any length is matched
+in one walk and without recursion. Addresses of version 6 with ``::`` are left as they are.
+
+The key comes from the caller, or with ``session_key`` from the session's setting ``KEY_SETTING``. Who has it can undo the numbers;
+``TEST_KEY``, which stands in where nothing is set, is public.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "pseudonym-key-1"
+from lacuna.llm.common import free_name
+
+KEY_SETTING = "spark.lacuna.pseudonym.key"
+TEST_KEY = "pseudonym-key-1"
 ROUNDS = 8
 
 _L, _R = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
@@ -27,14 +35,20 @@ _L, _R = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 PATTERNS = (
     ("secret", r"(?i:(?:password|passwd|pwd|secret|token|api_?key)\x20?[=:]\x20?[\"']?)[0-9A-Za-z_+/\-]{8,}+"),
     ("access_key", _L + r"AKIA[0-9A-Z]{16}" + _R),
-    ("email", r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z._%+-]++@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*\.[A-Za-z]{2,}"),
+    ("email", r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z._%+-]++@[0-9A-Za-z.-]*(?<=[0-9A-Za-z-])\.[A-Za-z]{2,}+"),
+    ("iban", _L + r"[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}+|(?:\x20[0-9A-Z]{4}){2,7}+(?:\x20[0-9A-Z]{1,3}+)?+)" + _R),
     ("phone", r"(?:(?<![0-9A-Za-z+])\+?1[ .-]?)?(?:\([2-9][0-9]{2}\)\x20?|(?<![0-9A-Za-z])[2-9][0-9]{2}[.-])[2-9][0-9]{2}[ .-][0-9]{4}" + _R),
+    ("world_phone", r"(?<![0-9A-Za-z+])\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}+" + _R),
     ("ssn", _L + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _R),
     ("ip", r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])"),
+    ("ip6", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
     ("date", _L + r"[0-9]{4}-[0-9]{2}-[0-9]{2}" + _R),
+    ("late_year", r"(?<![0-9A-Za-z./])[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)[0-9]{4}(?![./]?[0-9A-Za-z])"),
     ("card", _L + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _R),
 )
 ANY = "|".join(p for _, p in PATTERNS)
+#: What each of the patterns needs somewhere: a text without it is left alone, without a walk for each pattern.
+NEEDED = "[0-9@=:]|AKIA[A-Z]"
 #: The 400 years from 1800 on have 146097 = 189 * 773 days.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 
@@ -85,6 +99,62 @@ def _refill(shape: Column, digits: Column) -> Column:
     )["out"]
 
 
+def _decimal(key: str, kind: str, digits: Column) -> Column:
+    """The digits permuted among all numbers of as many digits; at most 30."""
+    n = F.length(digits)
+    low = F.floor(n / 2).cast("int")
+    size = lambda k: F.rpad(F.lit("1"), k + 1, F.lit("0")).cast("long")
+    s = permuted(key, kind, F.substr(digits, F.lit(1), n - low).cast("long"), F.coalesce(F.substr(digits, n - low + 1, low).try_cast("long"), F.lit(0)), size(n - low), size(low))
+    return F.transform(F.array(s), lambda x: F.concat(F.lpad(x["a"].cast("string"), n - low, F.lit("0")), F.when(low > 0, F.lpad(x["b"].cast("string"), low, F.lit("0"))).otherwise(F.lit(""))))[0]
+
+
+def _mod97(characters: Column) -> Column:
+    """The number that digits, and letters from A = 10 on, make, modulo 97."""
+
+    def add(s: Column, c: Column) -> Column:
+        letter = F.ascii(c) - 55
+        return F.when(c.rlike("[0-9]"), F.pmod(s * 10 + c.try_cast("int"), F.lit(97))).otherwise(F.pmod(s * 100 + letter, F.lit(97)))
+
+    return F.aggregate(F.filter(F.split(characters, ""), lambda c: c != ""), F.lit(0), add)
+
+
+def _iban(key: str, m: Column) -> Column:
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    country, rest = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5), F.length(plain) - 4)
+    digits = _digits(rest)
+    body = _refill(rest, _decimal(key, "iban", digits))
+    whole = F.transform(F.array(body), lambda x: F.concat(country, F.lpad((98 - _mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x))[0]
+    # spaces back in their places, letters and digits from the new number
+    spaced = F.transform(F.array(whole), lambda w: F.rtrim(F.regexp_replace(w, "(.{4})", "$1 ")))[0]
+    valid = F.length(plain).between(15, 34) & (_mod97(F.concat(rest, F.substr(plain, F.lit(1), F.lit(4)))) == 1) & (F.length(digits) > 0)
+    return F.when(valid, F.when(m.contains(" "), spaced).otherwise(whole)).otherwise(m)
+
+
+def _world_phone(key: str, m: Column) -> Column:
+    digits = _digits(m)
+    code = F.length(_digits(F.regexp_extract(m, r"^\+([0-9]{1,3})", 1)))
+    code = F.least(code, F.lit(2))
+    number = F.substr(digits, code + 1, F.length(digits) - code)
+    new = _refill(m, F.concat(F.substr(digits, F.lit(1), code), _decimal(key, "world_phone", number)))
+    return F.when(F.length(digits).between(9, 15), new).otherwise(m)
+
+
+def _ip6(key: str, m: Column) -> Column:
+    g = [F.conv(F.split(m, ":")[i], 16, 10).cast("long") for i in range(8)]
+    parts = [F.transform(F.array(permuted(key, f"ip6-{i}", g[i], g[i + 1], F.lit(65536), F.lit(65536))), lambda x: F.concat(F.lower(F.conv(x["a"].cast("string"), 10, 16)), F.lit(":"), F.lower(F.conv(x["b"].cast("string"), 10, 16))))[0] for i in (0, 2, 4, 6)]
+    return F.concat_ws(":", *parts)
+
+
+def _late_year(key: str, m: Column) -> Column:
+    """Day first where that is a date, else month first."""
+    mark, a, b, year = F.substr(m, F.lit(3), F.lit(1)), F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(4), F.lit(2)), F.substr(m, F.lit(7), F.lit(4))
+    day_first, month_first = F.concat_ws("-", year, b, a), F.concat_ws("-", year, a, b)
+    ok = F.try_to_date(day_first, "yyyy-MM-dd").isNotNull()
+    given = F.when(ok, day_first).otherwise(month_first)
+    new = F.transform(F.array(_date(key, given)), lambda x: F.concat(F.when(ok, F.substr(x, F.lit(9), F.lit(2))).otherwise(F.substr(x, F.lit(6), F.lit(2))), mark, F.when(ok, F.substr(x, F.lit(6), F.lit(2))).otherwise(F.substr(x, F.lit(9), F.lit(2))), mark, F.substr(x, F.lit(1), F.lit(4))))[0]
+    return F.when(F.try_to_date(given, "yyyy-MM-dd").isNotNull(), new).otherwise(m)
+
+
 def _card(key: str, m: Column) -> Column:
     digits = _digits(m)
     inner = F.length(digits) - 2
@@ -153,7 +223,7 @@ def _access_key(key: str, m: Column) -> Column:
     return F.concat(F.lit("AKIA"), F.upper(_alike(key, "access_key", F.substr(m, F.lit(5), F.lit(16)))))
 
 
-_MAKERS = {"secret": _secret, "access_key": _access_key, "email": _email, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date, "card": _card}
+_MAKERS = {"secret": _secret, "access_key": _access_key, "email": _email, "iban": _iban, "phone": _phone, "world_phone": _world_phone, "ssn": _ssn, "ip": _ip, "ip6": _ip6, "date": _date, "late_year": _late_year, "card": _card}
 
 
 def _renamed(key: str, m: Column) -> Column:
@@ -164,19 +234,28 @@ def _renamed(key: str, m: Column) -> Column:
     return chosen.otherwise(m)
 
 
-def pseudonymised(documents: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
-    """``documents`` with all columns and rows, the personal data in ``column`` replaced."""
-    text = F.col(column)
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's setting ``KEY_SETTING`` gives; ``TEST_KEY`` where there is none."""
+    return spark.conf.get(KEY_SETTING, TEST_KEY)
+
+
+def pseudonymised(documents: DataFrame, key: str, column: str = "text", count: str | None = None) -> DataFrame:
+    """``documents`` with all columns and rows, the personal data in ``column`` replaced.
+
+    ``count`` names a further column, long: how many values were replaced.
+    """
     names = documents.columns
-    found = documents.select("*", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("_found"))
-    parts = F.split(text, ANY, -1)
-    new = F.transform(F.col("_found"), lambda m: _renamed(key, m))
-    joined = F.array_join(F.zip_with(parts, new, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    done = F.when(F.size("_found") > 0, joined).otherwise(text)
-    return found.select(*[done.alias(c) if c == column else F.col(c) for c in names])
-
-
-def pii_report(documents: DataFrame, key: str = KEY) -> DataFrame:
-    """doc_id, n_found (matches of any pattern) and the pseudonymised text."""
-    found = F.coalesce(F.regexp_count("text", F.lit(ANY)), F.lit(0)).cast("long")
-    return pseudonymised(documents.select("doc_id", found.alias("n_found"), F.col("text").cast("string").alias("text")), key)
+    text, found, renamed = F.col(column).cast("string"), free_name(documents, "found"), free_name(documents, "renamed")
+    rows = documents.select("*", F.when(text.rlike(NEEDED), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(found))
+    rows = rows.select("*", F.transform(F.col(found), lambda m: _renamed(key, m)).alias(renamed))
+    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col(renamed), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    done = F.when(F.size(found) > 0, joined).otherwise(text)
+    changed = F.size(F.filter(F.zip_with(F.col(found), F.col(renamed), lambda a, b: a != b), lambda x: x))
+    extra = [F.when(F.size(found) > 0, changed).otherwise(0).cast("long").alias(count)] if count else []
+    return rows.select(*[done.alias(c) if c == column else F.col(c) for c in names], *extra)
+
+
+def pii_report(documents: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, the pseudonymised text, and n_found: how many values in it were replaced."""
+    key = key or session_key(documents.sparkSession)
+    return pseudonymised(documents.select("doc_id", "text"), key, count="n_found").select("doc_id", "n_found", "text")
