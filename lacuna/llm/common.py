@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but space, tab, newline, vertical tab, form feed and carriage return.
@@ -20,18 +20,36 @@ def n_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows written to the folder of ``spark.checkpoint.dir`` and read again: what follows survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is the cluster's. Only where none is set, as in tests on one machine, one under the warehouse is used.
+    Where none is set, a local session (as in tests) gets one under the warehouse; on a cluster that is an error.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read again: what follows survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of df is called so (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def unit_hash(seed: str, *columns: Column) -> Column:
     """A number in [0, 1) fixed by the seed and the columns (null counts as a value of its own): 52 bits of MD5."""
     parts = [F.coalesce(c.cast("string"), F.lit("\0")) for c in columns]
@@ -60,7 +78,65 @@ def running(df: DataFrame, group: list[str], unit: str, ties: list[str], sums: d
     return out.select(*df.columns, *[(F.col(f"_in_{o}") + F.col(f"_off_{o}")).alias(o) for o in sums])
 
 
-def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """A broadcast of short rows, such as a total for each source, if they are counted to be at most ``most``; else as it is."""
-    df = saved(df)
-    return F.broadcast(df) if df.count() <= most else df
+#: A table may be broadcast if its rows, as counted, hold at most so many bytes.
+BROADCAST_BYTES = 32_000_000
+#: Beyond that, the rows of the large side are dealt over so many copies of the small side's row.
+SALTS = 16
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of a table of numbers, strings and arrays of numbers: counted from its rows, not estimated."""
+    sizes = []
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(f.name), F.lit(0)) + 16)
+        elif kind == "array":
+            sizes.append(8 * F.greatest(F.size(f.name), F.lit(0)) + 16)
+        else:
+            sizes.append(F.lit(16))
+    return int(df.agg(F.coalesce(F.sum(sum(sizes, F.lit(16)).cast("long")), F.lit(0))).first()[0])
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` joined (null keys meet null keys) with ``table``, which has one row a key: a hot key never makes one large task.
+
+    A table of at most ``most`` counted bytes is broadcast. A larger one goes along ``SALTS`` times, and the rows of each key are
+    dealt over its copies. ``how`` is inner, left or left_semi; ``rows`` keeps its columns, ``table`` adds those that aren't keys.
+    """
+    table = saved(table)
+    mine = {k: free_name(rows, f"_of_{k}") for k in keys}
+    right = table.select(*[F.col(k).alias(mine[k]) if k in mine else F.col(k) for k in table.columns])
+    match = None
+    for k in keys:
+        same = rows[k].eqNullSafe(right[mine[k]])
+        match = same if match is None else match & same
+    if table_bytes(table) <= most:
+        return rows.join(F.broadcast(right), match, how).drop(*mine.values())
+    salt, other = free_name(rows, "_salt"), free_name(rows, "_salted")
+    left = rows.withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    right = right.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    match = left[salt] == right[other]
+    for k in keys:
+        match = match & left[k].eqNullSafe(right[mine[k]])
+    return left.join(right, match, how).drop(salt, other, *mine.values())
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Numbers (from 0, in ``name``) the rows that are equal in ``keys``; no task gets all rows of a key.
+
+    The rows are saved; each is numbered among those of its key in its own saved partition, after the counts of the partitions before.
+    """
+    part, at, before = (free_name(rows, c) for c in ("_part", "_at", "_before"))
+    kept = saved(rows)
+    kept = kept.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id())
+    counts = kept.groupBy(*keys, part).agg(F.count("*").alias(before))
+    counts = counts.withColumn(before, F.coalesce(F.sum(before).over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = kept.withColumn(name, F.row_number().over(Window.partitionBy(*keys, part).orderBy(at)) - 1)
+    mine = {k: free_name(own, f"_of_{k}") for k in [*keys, part]}
+    counts = counts.select(*[F.col(k).alias(v) for k, v in mine.items()], before)
+    match = None
+    for k, v in mine.items():
+        same = own[k].eqNullSafe(counts[v])
+        match = same if match is None else match & same
+    return own.join(counts, match).withColumn(name, (F.col(name) + F.col(before)).cast("long")).select(*rows.columns, name)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import broadcast_if_small, saved
+from lacuna.llm.common import looked_up, saved
 
 TRAIN_ROWS = 5000
 BUCKETS = 1 << 14
@@ -36,7 +36,8 @@ MAX_LANGUAGES = 500
 # Country suffixes whose pages are mostly in one language.
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "it": "it", "nl": "nl", "pl": "pl", "pt": "pt", "br": "pt", "ru": "ru", "jp": "ja", "cn": "zh"}
 
-_HIDDEN = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+#: Each alternative that finds no end takes all that is left, so that the whole takes one walk over the page.
+_HIDDEN = re.compile(rb"<(script|style)\b(?:.*?</\1\s*+>|.*+)|<!--(?:.*?-->|.*+)|<[A-Za-z/!?][^>]*+>?", re.S | re.I)
 _LETTERS = np.arange(256, dtype=np.uint32)
 _LETTERS[65:91] += 32
 _LETTERS[[*range(33, 65), *range(91, 97), *range(123, 127), *range(0, 32)]] = 32
@@ -77,19 +78,22 @@ def _trained(documents: DataFrame, rows: int) -> tuple[list[str], np.ndarray]:
 
 
 def _part(url: Column) -> dict[str, Column]:
-    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
+    given = F.coalesce(url, F.lit(""))
+    host = F.lower(F.regexp_extract(given, r"^[a-zA-Z][a-zA-Z0-9+.-]*+://(?:[^/@]*+@)?([^/:?#]++)", 1))
     return {
         "host": host,
-        "domain": F.regexp_extract(host, r"([^.]+\.(?:(?:co|com|org|ac|gov)\.)?[^.]+)$", 1),
-        "suffix": F.regexp_extract(host, r"([^.]+)$", 1),
-        "path_lang": F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]+/([a-zA-Z]{2})(?:[-_][a-zA-Z]{2})?(?:/|$)", 1)),
+        "domain": F.regexp_extract(host, r"(?:^|\.)([^.]++\.(?:(?:co|com|org|ac|gov)\.)?[^.]++)$", 1),
+        "suffix": F.substring_index(host, ".", -1),
+        "path_lang": F.lower(F.regexp_extract(given, r"^[a-zA-Z][a-zA-Z0-9+.-]*+://[^/]++/([a-zA-Z]{2})(?:[-_][a-zA-Z]{2})?(?:/|$)", 1)),
     }
 
 
 def _declared(html: Column) -> Column:
-    tag = F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1)
-    meta = F.regexp_extract(html, r"(?i)<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([a-zA-Z]{2,3})", 1)
-    return F.lower(F.when(tag != "", tag).otherwise(meta))
+    """The language of the first html tag, else of the first meta tag on the content's language; each tag is read once, to its end."""
+    tag = F.regexp_extract(F.regexp_extract(html, r"(?i)<html\b([^>]*+)", 1), r"(?i)(?:^|[\s\"'])lang\s*+=\s*+[\"']?([a-zA-Z]{2,3})", 1)
+    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<meta\b([^>]*+)"), F.lit(1)), lambda m: F.lower(m).contains("content-language"))
+    meta = F.regexp_extract(F.coalesce(F.get(metas, F.lit(0)), F.lit("")), r"(?i)[\s\"']content\s*+=\s*+[\"']?([a-zA-Z]{2,3})", 1)
+    return F.lower(F.when(tag != "", tag).otherwise(F.when(html.isNotNull(), meta)))
 
 
 def identified(pages: DataFrame, documents: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -134,8 +138,9 @@ def identified(pages: DataFrame, documents: DataFrame, rows: int = TRAIN_ROWS) -
     sums = [F.sum(F.col("own")[i]).alias(f"h{i}") for i in range(n)]
     hosts = saved(read.groupBy("host", "domain", "suffix").agg(*sums))
     levels = {k: hosts.groupBy(*keys).agg(*[F.sum(f"h{i}").alias(f"{k[0]}{i}") for i in range(n)]) for k, keys in (("domain", ["domain"]), ("suffix", ["suffix"]), ("all", []))}
-    priors = hosts.join(broadcast_if_small(levels["domain"]), "domain").join(broadcast_if_small(levels["suffix"]), "suffix").join(broadcast_if_small(levels["all"]))
-    both = read.join(broadcast_if_small(priors.drop("domain", "suffix")), "host")
+    priors = looked_up(hosts, levels["domain"], ["domain"])
+    priors = looked_up(priors, levels["suffix"], ["suffix"]).crossJoin(F.broadcast(levels["all"]))
+    both = looked_up(read, priors.drop("domain", "suffix"), ["host"])
 
     def smoothed(level: str, above: list[Column]) -> list[Column]:
         without = [F.greatest(F.col(f"{level}{i}") - F.col("own")[i], F.lit(0.0)) for i in range(n)]

@@ -9,23 +9,27 @@ text has the empty set and links with nothing. Two documents are linked if 100 *
    ``COORDINATES`` values (all but about 3 of a million do at a similarity of just 0.75). In order of frequency, rarest
    first, it must then share one of the first ``COORDINATES - MATCHES + 1``: only these prefixes are joined, and the long
    lists at the end of the order are skipped; the count over them is made from the signatures the postings carry.
-3. Pairs with enough matches aren't listed. Each list, in blocks against blocks of ``BLOCK`` postings, gives a spanning forest
-   of them, and the components of all forests are *families*: every pair that may be linked lies within one.
-4. The texts of each family meet, again in blocks against blocks, so that a family of any size spreads over many tasks. There
-   pairs with enough matches are confirmed on their full sets, best matches first; pairs that are linked up already are left
-   out, and what comes out is a spanning forest of the links. Its components are the result.
-
-The sets are held as 64-bit hashes of their shingles. Rows that share a doc_id count as one document; a row without doc_id
-is kept, in no component. An empty table gives an empty result; other columns of the input don't matter.
+3. Pairs with enough matches aren't listed. Each list gives a spanning forest of them, and the components of all forests are
+   *families*: every pair that may be linked lies within one.
+4. The texts of each family meet. There pairs with enough matches are confirmed on their full sets, best matches first; pairs
+   that are linked up already are left out, and what comes out is a spanning forest of the links. Its components are the result.
+
+Lists and families are linked in the same way (``linked``). One of up to ``BLOCK`` rows and ``BLOCK_BYTES`` is one group. The rows
+of a larger one are dealt into such blocks, and ``REPRESENTATIVES`` of them go to every block: what links with one of these is
+contracted, and that is all for a group of copies of any size. Where several components are left, the rows outside the largest
+one meet all rows, again block by block, so that no pair of different components goes without its comparison.
+
+The sets are held as 64-bit hashes of their shingles. Rows of one doc_id whose texts have the same set count as one document; a
+row without doc_id is kept, in no component. An empty table gives an empty result; other columns of the input don't matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm.common import saved
@@ -37,6 +41,8 @@ MATCHES = 31
 PREFIX = COORDINATES - MATCHES + 1
 SIMILARITY = 75
 BLOCK = 512
+BLOCK_BYTES = 16_000_000
+REPRESENTATIVES = 8
 _random = np.random.default_rng(75)
 _FACTORS = _random.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _random.integers(1, 2**63, COORDINATES, dtype=np.uint64)
@@ -135,10 +141,21 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Rows of the two blocks, and whether they are one and the same."""
-    block, p, q = group.column("block").to_numpy(), group.column("p")[0].as_py(), group.column("q")[0].as_py()
-    return np.flatnonzero(block == p), np.flatnonzero(block == q), p == q
+def _pairs(group: pa.Table) -> tuple[_Sets, Iterator[tuple[int, np.ndarray]]]:
+    """Rows of one component joined, and for each row on the left the rows on the right that it has to be compared with."""
+    left, right = (group.column(c).to_numpy(zero_copy_only=False) for c in ("is_left", "is_right"))
+    _, own = np.unique(group.column("component").to_numpy(), return_inverse=True)
+    sets, first = _Sets(group.num_rows), {}
+    for row, k in enumerate(own.tolist()):
+        sets.join(first.setdefault(k, row), row)
+    others = np.flatnonzero(right)
+
+    def each() -> Iterator[tuple[int, np.ndarray]]:
+        for i in np.flatnonzero(left):
+            # rows that are on both sides meet once
+            yield i, others[(others > i) | ~left[others]] if right[i] else others
+
+    return sets, each()
 
 
 def _candidates(i: int, others: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,32 +165,34 @@ def _candidates(i: int, others: np.ndarray, sizes: np.ndarray, signs: np.ndarray
     return others[n >= MATCHES], n[n >= MATCHES]
 
 
+def _edges(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    table = np.array(links, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(table.min(axis=1)), pa.array(table.max(axis=1))], names=["a", "b"])
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of two blocks of a list, a spanning forest of the pairs with enough matches."""
-    for group in _groups(batches, ["posting", "p", "q"]):
+    """Of the rows of a block of a list, a spanning forest of the pairs with enough matches."""
+    for group in _groups(batches, ["key", "p", "q"]):
         nodes, sizes = group.column("id").to_numpy(), group.column("n_shingles").to_numpy()
         signs = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-        left, right, same = _sides(group)
-        sets, out = _Sets(len(nodes)), []
-        for k, i in enumerate(left):
-            others = _candidates(i, right[k + 1 :] if same else right, sizes, signs)[0]
+        (sets, pairs), out = _pairs(group), []
+        for i, others in pairs:
+            others = _candidates(i, others[sets.roots()[others] != sets.find(i)], sizes, signs)[0]
             for j in others[np.unique(sets.roots()[others], return_index=True)[1]]:
                 if sets.join(i, j):
                     out.append((nodes[i], nodes[j]))
-        links = np.array(out, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(links.min(axis=1)), pa.array(links.max(axis=1))], names=["a", "b"])
+        yield _edges(out)
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of two blocks of a family, a spanning forest of the links between the full sets of their texts."""
-    for group in _groups(batches, ["family", "p", "q"]):
+    """Of the rows of a block of a family, a spanning forest of the links between the full sets of their texts."""
+    for group in _groups(batches, ["key", "p", "q"]):
         nodes = group.column("id").to_numpy()
         shingles = [s for _, _, texts in slices(group.column("text")) for s in texts.shingles()]
         sizes, signs = np.array([len(s) for s in shingles]), signatures(shingles)
-        left, right, same = _sides(group)
-        sets, out = _Sets(len(nodes)), []
-        for k, i in enumerate(left):
-            others, n = _candidates(i, right[k + 1 :] if same else right, sizes, signs)
+        (sets, pairs), out = _pairs(group), []
+        for i, others in pairs:
+            others, n = _candidates(i, others[sets.roots()[others] != sets.find(i)], sizes, signs)
             others = others[np.argsort(-n, kind="stable")]
             while len(others):
                 others = others[sets.roots()[others] != sets.find(i)]
@@ -185,20 +204,54 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if 100 * common >= SIMILARITY * (sizes[i] + sizes[j] - common):
                             sets.join(i, j)
                             out.append((nodes[i], nodes[j]))
-        links = np.array(out, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(links.min(axis=1)), pa.array(links.max(axis=1))], names=["a", "b"])
+        yield _edges(out)
 
 
-def in_blocks(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The rows dealt out as pairs of blocks (p, q) of their key, sorted by (key, p, q); keys with one row drop out.
+def linked(rows: DataFrame, key: str, columns: list[str], size: Column, compare: Callable) -> DataFrame:
+    """(a, b): a spanning forest of the links that ``compare`` finds within each key. ``rows`` are saved; ``size`` is a row's bytes.
 
-    Each row goes once to every block of its key, its own included. ``id`` gives the block.
+    The groups given to ``compare`` have key, p, q, id, component, is_left, is_right and ``columns``, sorted by (key, p, q); rows on
+    the left are to be compared with those on the right.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_rows")).where("_rows > 1").select(key, F.ceil(F.col("_rows") / BLOCK).cast("int").alias("_blocks"))
-    out = rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id"), "_blocks").cast("int"))
-    out = out.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    out = out.select(key, F.least("block", "_other").alias("p"), F.greatest("block", "_other").alias("q"), "block", *columns)
-    return out.repartition(key, "p", "q").sortWithinPartitions(key, "p", "q")
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_rows"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int").alias("_blocks"))
+    sizes = saved(sizes.where("_rows > 1").select(key, "_blocks"))
+    columns = [c for c in columns if c != "id"]
+
+    def grouped(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select(F.col(key).alias("key"), "p", "q", "id", "component", "is_left", "is_right", *columns)
+        return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(compare, "a long, b long")
+
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
+    small = rows.join(sizes.where("_blocks = 1").select(key), key)
+    links = grouped(small.select("*", zero.alias("p"), zero.alias("q"), F.col("id").alias("component"), yes.alias("is_left"), yes.alias("is_right")))
+    large = sizes.where("_blocks > 1")
+    if not large.limit(1).count():
+        return links
+    dealt = saved(rows.join(large, key).withColumn("block", F.pmod(F.xxhash64("id"), "_blocks").cast("int")))
+    everywhere = F.explode(F.sequence(zero, F.col("_blocks") - 1))
+
+    # the rows with the smallest of several hashes stand for their key
+    stand = dealt.groupBy(key).agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id")).alias(f"r{k}") for k in range(REPRESENTATIVES)])
+    stand = stand.select(key, F.explode(F.array_distinct(F.array(*[F.col(f"r{k}.id") for k in range(REPRESENTATIVES)]))).alias("id"))
+    stand = saved(dealt.join(stand, [key, "id"])).select("*", everywhere.alias("q"))
+    names = [key, "id", *columns]
+    left = stand.select(*names, zero.alias("p"), "q", F.col("id").alias("component"), yes.alias("is_left"), no.alias("is_right"))
+    right = dealt.select(*names, zero.alias("p"), F.col("block").alias("q"), F.col("id").alias("component"), no.alias("is_left"), yes.alias("is_right"))
+    stars = saved(grouped(left.unionByName(right)))
+
+    found = components(stars)
+    labelled = saved(dealt.join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node"))
+    parts = labelled.groupBy(key, "component").agg(F.count("*").alias("n"))
+    largest = parts.groupBy(key).agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select(key, F.col("top.component").alias("most"))
+    apart = labelled.join(saved(largest), key)
+    outside = apart.where("component <> most")
+    counts = outside.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int").alias("_outer"))
+    counts = saved(counts)
+    outer = outside.join(counts, key).withColumn("p", F.pmod(F.xxhash64("id", F.lit(0)), "_outer").cast("int")).select("*", everywhere.alias("q"))
+    left = outer.select(*names, "p", "q", "component", yes.alias("is_left"), no.alias("is_right"))
+    inner = apart.join(counts, key).select("*", F.explode(F.sequence(zero, F.col("_outer") - 1)).alias("p"))
+    right = inner.select(*names, "p", F.col("block").alias("q"), "component", no.alias("is_left"), yes.alias("is_right"))
+    return links.unionByName(stars).unionByName(grouped(left.unionByName(right)))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -208,14 +261,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     named = rows.where("n_shingles > 0 and doc_id is not null")
     classes = saved(named.groupBy(*sets).agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")))
 
-    lists = postings(classes.select("id", "signature")).join(classes.select("id", "n_shingles", "signature"), "id")
-    lists = in_blocks(saved(lists), "posting", ["id", "n_shingles", "signature"])
-    families = components(lists.mapInArrow(_forest, "a long, b long")).withColumnRenamed("component", "family").withColumnRenamed("node", "id")
+    lists = saved(postings(classes.select("id", "signature")).join(classes.select("id", "n_shingles", "signature"), "id"))
+    forests = linked(lists, "posting", ["id", "n_shingles", "signature"], F.lit(4 * COORDINATES + 16), _forest)
+    families = components(forests).withColumnRenamed("component", "family").withColumnRenamed("node", "id")
 
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    members = texts.join(saved(families), "id").dropDuplicates(["id", "text"])
-    links = in_blocks(saved(members), "family", ["id", "text"]).mapInArrow(_confirmed, "a long, b long")
-    joined = components(links)
+    members = saved(texts.join(saved(families), "id").dropDuplicates(["id", "text"]))
+    joined = components(linked(members, "family", ["id", "text"], F.octet_length("text"), _confirmed))
 
     names = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").select(*sets, F.coalesce("component", "id").alias("component_id"))
     out = rows.select("doc_id", *sets).join(names, sets, "left")

@@ -10,7 +10,8 @@ both bitmaps are clear, so the bin found is the tightest compatible one; failing
 Batches of about ``BATCH`` pieces, dealt by a hash of the document, are packed in tasks of their own; a hot source or a
 large group of copies is spread over all of them. Only lengths move, no texts. A text without words, or null, is one piece of
 length 0 and of no cluster, which goes into a bin like any other and so is kept. Rows without a source share none of its limits. Repeated rows
-are pieces like others; being copies they never share a bin. An empty table gives an empty result.
+are pieces like others; being copies they never share a bin, and where more than ``ALIKE`` rows are equal in all that the hash sees
+they are dealt by their place in the saved table as well. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import n_words, saved
+from lacuna.llm.common import looked_up, n_words, saved
 
 CAPACITY = 2048
 PER_SOURCE = 4
 BATCH = 4096
+ALIKE = 64
 
 
 def best_fit(lengths: list[int], clusters: list[int | None], sources: list[int | None], capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> list[tuple[int, int]]:
@@ -70,12 +72,15 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, cluster: str | None =
     return rows.select("doc_id", "piece", start.alias("start_word"), F.least(F.col("total") - start, F.lit(capacity)).alias("n_words"), "source", "cluster")
 
 
-
 def packed(documents: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, batch: int = BATCH, cluster: str | None = None) -> DataFrame:
     """doc_id, piece, start_word, n_words, source, cluster, bin, offset: where each piece of each document goes."""
     items = saved(pieces(documents, capacity, cluster))
     batches = max(1, -(-items.count() // batch))
-    items = items.withColumn("batch", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(batches)))
+    items = items.withColumn("batch", F.xxhash64("doc_id", "piece", "cluster"))
+    often = items.groupBy("batch").agg(F.count("*").alias("alike")).where(F.col("alike") > ALIKE)
+    items = looked_up(items, often, ["batch"], "left")
+    place = F.when(F.col("alike").isNotNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))
+    items = items.select("*", place.alias("place")).withColumn("batch", F.pmod(F.xxhash64("batch", "place"), F.lit(batches))).drop("alike", "place")
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n_words", "doc_id", "piece", "cluster", "source"], ascending=[False, True, True, True, True], kind="stable")

@@ -4,7 +4,8 @@ The statistics are counts and ratios over the whole text: length, letter case, s
 words and word pairs, repeated neighbours and equal lines. Labels, language, source and doc_id are no inputs.
 
 Training takes at most ``TRAIN_ROWS`` labelled documents, those with the smallest hash of their doc_id, from the rows whose
-``crc32(doc_id as text) mod 4`` is not ``HELD_OUT``; their statistics, a few numbers a row, are fitted on the driver. Each
+``crc32(doc_id as text) mod 4`` is not ``HELD_OUT``; of rows that repeat a doc_id and label the text with the smallest hash is
+taken. Their statistics, a few numbers a row, are fitted on the driver. Each
 level of a tree is chosen from one gradient histogram a feature. Trees are complete, so a forest is three arrays: feature,
 threshold and leaf value by (tree, node), and a batch of documents walks all trees at once.
 
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.common import free_name
 from lacuna.llm.textbatch import Texts, mix, slices
 
 TRAIN_ROWS = 10_000
@@ -147,7 +149,8 @@ def trained(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     usable = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    got = chosen.select("quality", "text").mapInArrow(_statistics, "quality int, x array<double>").limit(4 * rows).toArrow()
+    once = chosen.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    got = once.select("quality", "text").mapInArrow(_statistics, "quality int, x array<double>").toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = np.array(got.column("quality").to_pylist(), float)
     order = np.lexsort((*x.T, y))  # the same forest, however the rows arrive
@@ -157,18 +160,18 @@ def trained(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 def scored(documents: DataFrame, forest: Forest, name: str = "score") -> DataFrame:
     """``documents`` with all columns and the chance that a text's quality label is 1, in place of any column ``name``."""
     documents = documents.drop(name)
-    names = documents.columns
+    names, text = documents.columns, free_name(documents, "scored_text")
     where = documents.sparkSession.sparkContext.broadcast(forest)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in slices(batch.column("_scored_text")):
+            for a, b, texts in slices(batch.column(text)):
                 part = batch.slice(a, b - a)
                 score = pa.array(where.value.score(statistics(texts)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], score], names=[*names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + f", `{name}` double"
-    return documents.withColumn("_scored_text", F.col("text").cast("string")).mapInArrow(walk, schema)
+    return documents.withColumn(text, F.col("text").cast("string")).mapInArrow(walk, schema)
 
 
 def score_digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -180,5 +183,6 @@ def score_digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score reaches ``THRESHOLD``, with their own columns."""
-    out = scored(documents, trained(documents, labels), "_quality_score")
-    return out.where(F.col("_quality_score") >= THRESHOLD).select(*documents.columns)
+    name = free_name(documents, "quality_score")
+    out = scored(documents, trained(documents, labels), name)
+    return out.where(F.col(name) >= THRESHOLD).select(*documents.columns)

@@ -73,16 +73,20 @@ r as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1 wei
 f as (select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))::BIGINT rest, (sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following))::BIGINT of_ from r),
 l as (select rest level_rest, of_ level_of from f where rest * weight <= cap * of_ order by cap / weight, rest, of_ limit 1),
 t as (select source, source_size, least(cap::DOUBLE, (level_rest * weight)::DOUBLE / level_of::DOUBLE) target from f, l),
-x as (select w.*, source_size, target, least(case when source_size > 0 then target / source_size else 0 end, 3.0::DOUBLE) times from w join t on t.source is not distinct from w.source),
+o as (select w.*, case when size >= 500 then 4.0 when size >= 50 then 2.0 else 1.0 end::DOUBLE odds from w),
+g as (select source, odds, sum(size)::DOUBLE words from o group by 1, 2),
+h as (select g.source, odds, (target - 3 * coalesce(sum(words) over (partition by g.source order by odds desc rows between unbounded preceding and 1 preceding), 0)) / nullif(sum(odds * words) over (partition by g.source order by odds desc rows between current row and unbounded following), 0) as level from g join t on t.source is not distinct from g.source),
+v as (select source, coalesce(arg_max(level, odds) filter (level * odds <= 3), case when max(level) > 0 then 'inf'::DOUBLE end, 0) as level from h group by 1),
+x as (select o.*, source_size, target, least(level * odds, 3.0::DOUBLE) times from o join t on t.source is not distinct from o.source join v on v.source is not distinct from o.source),
 y as (select *, floor(times)::BIGINT whole, times - floor(times) p from x),
-z as (select *, case when p > 0 then (u * (1 - p)) / (u * (1 - p) + p * (1 - u)) else u end odds, sum(whole * size) over (partition by source) certain from y),
-b as (select *, coalesce(sum(case when p > 0 then size else 0 end) over (partition by source order by odds, doc_id rows between unbounded preceding and 1 preceding), 0) before from z),
+z as (select *, case when p > 0 then (u * (1 - p)) / (u * (1 - p) + p * (1 - u)) else u end rank_odds, sum(whole * size) over (partition by source) certain from y),
+b as (select *, coalesce(sum(case when p > 0 then size else 0 end) over (partition by source order by rank_odds, doc_id rows between unbounded preceding and 1 preceding), 0) before from z),
 c as (select *, whole + case when p > 0 and before + size / 2 <= target - certain then 1 else 0 end copies from b)
-select doc_id, size, source_size, target, (copies * size)::BIGINT taken, copies::BIGINT copies from c"""
+select doc_id, size, source_size, target, (copies * size)::BIGINT taken, odds, copies::BIGINT copies from c"""
 
 _SQL_TOP = """with v as (select vec_id id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) v from embeddings where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-p as (select q.id query_id, c.id vec_id, list_dot_product(q.v, c.v)::BIGINT score from v q join v c on q.id % 50 = 0 and c.id <> q.id and len(c.v) = len(q.v)),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::INT k from p)
+p as (select q.id query_id, q.v own, c.id vec_id, list_dot_product(q.v, c.v)::BIGINT score from (select distinct id, v from v) q join v c on q.id % 50 = 0 and c.id <> q.id and len(c.v) = len(q.v)),
+r as (select *, row_number() over (partition by query_id, own order by score desc, vec_id)::INT k from p)
 select query_id, k as rank, vec_id, score from r where k <= 5"""
 
 _SQL_RULES = (

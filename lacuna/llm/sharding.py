@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import n_bytes, running, saved, unit_hash
+from lacuna.llm.common import free_name, looked_up, n_bytes, numbered, running, saved, unit_hash
 
 SHARDS = 40
 SEED = "shard-1"
@@ -28,10 +28,10 @@ def placed(documents: DataFrame, shards: int = SHARDS, seed: str = SEED) -> Data
     rows = documents.select("doc_id", F.col("source").cast("string").alias("source"), (n_bytes(text) + OVERHEAD).alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("text_crc32"))
     rows = saved(rows.withColumn("u", unit_hash(seed, F.col("doc_id"), F.col("text_crc32"))).withColumn("one", F.lit(1).cast("long")))
     total = rows.count()
-    of_source = rows.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("of"))
+    of_source = rows.groupBy("source").agg(F.count("*").alias("of"))
     ranked = running(rows, ["source"], "u", ["doc_id", "text_crc32"], {"rank": "one"}, total)
-    ranked = ranked.join(of_source, F.col("source").eqNullSafe(F.col("_source"))).withColumn("turn", unit_hash(seed, F.col("source")))
-    ranked = saved(ranked.withColumn("fraction", (F.col("rank") + F.col("turn")) / F.col("of")).drop("_source"))
+    ranked = looked_up(ranked, of_source, ["source"]).withColumn("turn", unit_hash(seed, F.col("source")))
+    ranked = saved(ranked.withColumn("fraction", (F.col("rank") + F.col("turn")) / F.col("of")))
     lined = running(ranked, [], "fraction", ["turn", "source", "rank"], {"place": "one"}, total)
     shard = F.floor(F.col("place") * shards / total).cast("int") if total else F.lit(0)
     first = F.floor((shard * F.lit(total) + (shards - 1)) / shards).cast("long")
@@ -45,8 +45,30 @@ def shard_digest(documents: DataFrame) -> DataFrame:
 
 
 def write_shards(documents: DataFrame, path: str, shards: int = SHARDS, seed: str = SEED) -> None:
-    """Writes the documents with all their columns to ``path``/shard=k, each sorted by slot."""
-    keys = placed(documents, shards, seed).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot").dropDuplicates(["_id", "_crc"])
+    """Writes the documents with all their columns, but one called ``shard``, to ``path``/shard=k, each sorted by slot.
+
+    Rows equal in doc_id and text take their places in the order in which they were saved.
+    """
+    documents = documents.drop("shard", "slot")
+    crc, number = free_name(documents, "crc"), free_name(documents, "number")
     text = F.coalesce(F.crc32(F.col("text").cast("string").cast("binary")), F.lit(0))
-    both = documents.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (text == F.col("_crc"))).drop("_id", "_crc")
-    both.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    both = documents.withColumn(crc, text)
+    keys = saved(placed(documents, shards, seed).select("doc_id", F.col("text_crc32").alias(crc), "shard", "slot"))
+    often = saved(keys.groupBy("doc_id", crc).agg(F.count("*").alias(number)).where(F.col(number) > 1).drop(number))
+
+    def matched(rows: DataFrame, places: DataFrame, by: list[str]) -> DataFrame:
+        places = places.select(*[F.col(k).alias(f"_at_{j}") for j, k in enumerate(by)], "shard", "slot")
+        match = None
+        for j, k in enumerate(by):
+            same = rows[k].eqNullSafe(places[f"_at_{j}"])
+            match = same if match is None else match & same
+        return rows.join(places, match).select(*documents.columns, "shard", "slot")
+
+    on = ["doc_id", crc]
+    others = often.select(F.col("doc_id").alias("_id"), F.col(crc).alias("_crc"))
+    alone = lambda t: t.join(others, t["doc_id"].eqNullSafe(others["_id"]) & (t[crc] == others["_crc"]), "left_anti")
+    out = matched(alone(both), alone(keys), on)
+    if often.limit(1).count():
+        again = lambda t: numbered(looked_up(t, often, on, "left_semi"), on, number)
+        out = out.unionByName(matched(again(both), again(keys), [*on, number]))
+    out.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
