@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import broadcast_if_small, saved
+from lacuna.llm.common import free_name, looked_up, saved, shared_folder
 from lacuna.llm.minhash_dedup import near_duplicates
 from lacuna.llm.mixing import mix
 from lacuna.llm.packing import packed
-from lacuna.llm.pseudonyms import pseudonymised
+from lacuna.llm.pseudonyms import pseudonymised, session_key
 from lacuna.llm.quality_trees import good_documents
 
 
@@ -25,20 +27,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without doc_id are named by their text. Rows that share a doc_id but not the text are documents of their own.
     """
     key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
-    keyed = docs.withColumn("_key", key)
-    found = near_duplicates(docs.select(key.alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("_component"), F.count("*").alias("_n"))
-    ids = keyed.groupBy("_key").agg(F.min(F.col("doc_id").cast("long")).alias("_id"))
-    first = found.join(ids, "_key").groupBy("_component").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key", "_n")).alias("_first"))
-    kept = saved(first.select("_first._key", "_first._n"))
-    single = keyed.join(kept.where("_n = 1").select("_key"), "_key", "left_semi").select(*docs.columns)
-    repeated = keyed.join(broadcast_if_small(kept.where("_n > 1").select("_key")), "_key", "left_semi")
-    one = repeated.groupBy("_key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
+    name = free_name(docs, "key")
+    keyed = docs.withColumn(name, key)
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text")).groupBy(F.col("doc_id").alias(name)).agg(F.min("component_id").alias("component"), F.count("*").alias("n"))
+    ids = keyed.groupBy(name).agg(F.min(F.col("doc_id").cast("long")).alias("id"))
+    first = found.join(ids, name).groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", name, "n")).alias("first"))
+    kept = saved(first.select(f"first.{name}", "first.n"))
+    single = keyed.join(kept.where("n = 1").select(name), name, "left_semi").select(*docs.columns)
+    repeated = looked_up(keyed, kept.where("n > 1").select(name), [name], "left_semi")
+    one = repeated.groupBy(name).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
     return single.unionByName(one)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by pseudonyms of the same form."""
-    return pseudonymised(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pseudonymised(docs, session_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,17 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; what a stage returns is written to the shared folder before the next reads it."""
+    """All stages over the documents of ``sf_dir``; what a stage returns is written to the shared folder before the next reads it.
+
+    Each run has a folder of its own, so that a second one doesn't change what a first one still reads.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        folder = saved_path(spark, name)
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(folder)
-        docs = spark.read.parquet(folder)
+        path = f"{folder}/{name.replace(' ', '-')}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
-
-
-def saved_path(spark: SparkSession, name: str) -> str:
-    """A folder for a stage's rows beside this session's checkpoints."""
-    if not spark.sparkContext.getCheckpointDir():
-        saved(spark.range(0).toDF("none"))
-    return f"{spark.sparkContext.getCheckpointDir()}/pipeline-{name.replace(' ', '-')}"
