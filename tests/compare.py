@@ -3,6 +3,7 @@
 import math
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -44,7 +45,7 @@ if __name__ == "__main__":
     import __spark_entry__ as e
 
     sf_dir, names = sys.argv[1], sys.argv[2:]
-    spark = SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", "/tmp/ckpt").config("spark.sql.warehouse.dir", "/tmp/wh").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark = SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"{tempfile.mkdtemp()}/ckpt").config("spark.sql.warehouse.dir", f"{tempfile.mkdtemp()}/wh").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con, queries, sql = views(sf_dir), e.queries(), e.oracle_sql()
     for name in names or [n for n in queries if not n.startswith("op") and n != "pipeline"]:
