@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,9 +166,10 @@ def _candidates(i: int, others: np.ndarray, sizes: np.ndarray, signs: np.ndarray
     return others[n >= MATCHES], n[n >= MATCHES]
 
 
-def _edges(links: list[tuple[int, int]]) -> pa.RecordBatch:
+def _edges(group: pa.Table, links: list[tuple[int, int]]) -> pa.RecordBatch:
     table = np.array(links, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(table.min(axis=1)), pa.array(table.max(axis=1))], names=["a", "b"])
+    key = np.full(len(table), group.column("key")[0].as_py(), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(table[:, 0]), pa.array(table[:, 1])], names=["key", "a", "b"])
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +183,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for j in others[np.unique(sets.roots()[others], return_index=True)[1]]:
                 if sets.join(i, j):
                     out.append((nodes[i], nodes[j]))
-        yield _edges(out)
+        yield _edges(group, out)
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +206,16 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if 100 * common >= SIMILARITY * (sizes[i] + sizes[j] - common):
                             sets.join(i, j)
                             out.append((nodes[i], nodes[j]))
-        yield _edges(out)
+        yield _edges(group, out)
+
+
+def _roots(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Of one key's pairs of representatives, which are few, the smallest one that each hangs together with."""
+    ids = sorted(set(pairs["rep"]) | set(pairs["other"]))
+    sets = _Sets(len(ids))
+    for a, b in zip(pairs["rep"], pairs["other"], strict=True):
+        sets.join(ids.index(a), ids.index(b))
+    return pd.DataFrame({"key": pairs["key"].iloc[0], "rep": ids, "root": [ids[sets.find(i)] for i in range(len(ids))]})
 
 
 def linked(rows: DataFrame, key: str, columns: list[str], size: Column, compare: Callable) -> DataFrame:
@@ -213,45 +224,55 @@ def linked(rows: DataFrame, key: str, columns: list[str], size: Column, compare:
     The groups given to ``compare`` have key, p, q, id, component, is_left, is_right and ``columns``, sorted by (key, p, q); rows on
     the left are to be compared with those on the right.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_rows"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int").alias("_blocks"))
-    sizes = saved(sizes.where("_rows > 1").select(key, "_blocks"))
     columns = [c for c in columns if c != "id"]
+    rows = rows.select(F.col(key).alias("key"), "id", size.cast("long").alias("_size"), *columns)
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("_size") / BLOCK_BYTES)).cast("int")
+    sizes = saved(rows.groupBy("key").agg(F.count("*").alias("_rows"), blocks.alias("_blocks")).where("_rows > 1").select("key", "_blocks"))
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
 
     def grouped(dealt: DataFrame) -> DataFrame:
-        dealt = dealt.select(F.col(key).alias("key"), "p", "q", "id", "component", "is_left", "is_right", *columns)
-        return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(compare, "a long, b long")
+        dealt = dealt.select("key", "p", "q", "id", "component", "is_left", "is_right", *columns)
+        return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(compare, "key long, a long, b long")
 
-    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
-    small = rows.join(sizes.where("_blocks = 1").select(key), key)
+    small = rows.join(sizes.where("_blocks = 1").select("key"), "key")
     links = grouped(small.select("*", zero.alias("p"), zero.alias("q"), F.col("id").alias("component"), yes.alias("is_left"), yes.alias("is_right")))
     large = sizes.where("_blocks > 1")
     if not large.limit(1).count():
-        return links
-    dealt = saved(rows.join(large, key).withColumn("block", F.pmod(F.xxhash64("id"), "_blocks").cast("int")))
+        return links.select("a", "b")
+    dealt = rows.join(large, "key").withColumn("block", F.pmod(F.xxhash64("id"), "_blocks").cast("int"))
     everywhere = F.explode(F.sequence(zero, F.col("_blocks") - 1))
 
     # the rows with the smallest of several hashes stand for their key
-    stand = dealt.groupBy(key).agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id")).alias(f"r{k}") for k in range(REPRESENTATIVES)])
-    stand = stand.select(key, F.explode(F.array_distinct(F.array(*[F.col(f"r{k}.id") for k in range(REPRESENTATIVES)]))).alias("id"))
-    stand = saved(dealt.join(stand, [key, "id"])).select("*", everywhere.alias("q"))
-    names = [key, "id", *columns]
-    left = stand.select(*names, zero.alias("p"), "q", F.col("id").alias("component"), yes.alias("is_left"), no.alias("is_right"))
-    right = dealt.select(*names, zero.alias("p"), F.col("block").alias("q"), F.col("id").alias("component"), no.alias("is_left"), yes.alias("is_right"))
+    stand = dealt.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id")).alias(f"r{k}") for k in range(REPRESENTATIVES)])
+    stand = saved(stand.select("key", F.explode(F.array_distinct(F.array(*[F.col(f"r{k}.id") for k in range(REPRESENTATIVES)]))).alias("id")))
+    left = dealt.join(stand, ["key", "id"]).select("*", everywhere.alias("q"))
+    left = left.select("key", "id", *columns, zero.alias("p"), "q", F.col("id").alias("component"), yes.alias("is_left"), no.alias("is_right"))
+    right = dealt.select("key", "id", *columns, zero.alias("p"), F.col("block").alias("q"), F.col("id").alias("component"), no.alias("is_left"), yes.alias("is_right"))
     stars = saved(grouped(left.unionByName(right)))
 
-    found = components(stars)
-    labelled = saved(dealt.join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node"))
-    parts = labelled.groupBy(key, "component").agg(F.count("*").alias("n"))
-    largest = parts.groupBy(key).agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select(key, F.col("top.component").alias("most"))
-    apart = labelled.join(saved(largest), key)
-    outside = apart.where("component <> most")
-    counts = outside.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int").alias("_outer"))
-    counts = saved(counts)
-    outer = outside.join(counts, key).withColumn("p", F.pmod(F.xxhash64("id", F.lit(0)), "_outer").cast("int")).select("*", everywhere.alias("q"))
-    left = outer.select(*names, "p", "q", "component", yes.alias("is_left"), no.alias("is_right"))
-    inner = apart.join(counts, key).select("*", F.explode(F.sequence(zero, F.col("_outer") - 1)).alias("p"))
-    right = inner.select(*names, "p", F.col("block").alias("q"), "component", no.alias("is_left"), yes.alias("is_right"))
-    return links.unionByName(stars).unionByName(grouped(left.unionByName(right)))
+    # a row hangs on the smallest representative it links with, and representatives that share a row hang together
+    met = stars.unionByName(stand.select("key", F.col("id").alias("a"), F.col("id").alias("b")))
+    met = saved(met.groupBy("key", F.col("b").alias("id")).agg(F.min("a").alias("rep"), F.collect_set("a").alias("reps")))
+    pairs = met.where(F.size("reps") > 1).select("key", "rep", F.explode("reps").alias("other")).distinct()
+    roots = pairs.groupBy("key").applyInPandas(_roots, "key long, rep long, root long")
+    hung = met.select("key", "id", "rep").join(roots, ["key", "rep"], "left").select("key", "id", F.coalesce("root", "rep").alias("hung"))
+    labelled = dealt.select("key", "id", "_size", "_blocks", "block").join(hung, ["key", "id"], "left")
+    labelled = saved(labelled.withColumn("component", F.coalesce("hung", "id")).drop("hung"))
+
+    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("_size").alias("bytes"))
+    parts = parts.groupBy("key").agg(F.max(F.struct("n", "component", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts")).where("parts > 1")
+    outer = F.greatest(F.ceil((F.col("n") - F.col("top.n")) / BLOCK), F.ceil((F.col("bytes") - F.col("top.bytes")) / BLOCK_BYTES)).cast("int")
+    apart = saved(parts.select("key", F.col("top.component").alias("most"), outer.alias("_outer")))
+    found = links.unionByName(stars)
+    if not apart.limit(1).count():
+        return found.select("a", "b")
+    marks = labelled.drop("_size").join(apart, "key")
+    marked = rows.join(marks, ["key", "id"])
+    left = marked.where("component <> most").withColumn("p", F.pmod(F.xxhash64("id", zero), "_outer").cast("int")).select("*", everywhere.alias("q"))
+    left = left.select("key", "id", *columns, "p", "q", "component", yes.alias("is_left"), no.alias("is_right"))
+    right = marked.select("*", F.explode(F.sequence(zero, F.col("_outer") - 1)).alias("p"))
+    right = right.select("key", "id", *columns, "p", F.col("block").alias("q"), "component", no.alias("is_left"), yes.alias("is_right"))
+    return found.unionByName(grouped(left.unionByName(right))).select("a", "b")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
