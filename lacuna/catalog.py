@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna import queries_cloud, queries_tables
+from lacuna import queries_cloud, queries_reports, queries_tables
 
-QUERIES = queries_cloud.QUERIES | queries_tables.QUERIES
+QUERIES = queries_cloud.QUERIES | queries_tables.QUERIES | queries_reports.QUERIES
 SMOKE_NULLS = 50
-ORACLE_SQL = queries_cloud.SQL | queries_tables.SQL
+ORACLE_SQL = queries_cloud.SQL | queries_tables.SQL | queries_reports.SQL
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

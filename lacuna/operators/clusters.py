@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.checkpoints import cut
-from lacuna.operators.graph import components, spanning_tree_of_edges
-from lacuna.operators.neighbors import distance, pairwise
+from lacuna.operators.graph import block_trees, components, spanning_tree_of_edges
+from lacuna.operators.neighbors import BLOCK, distance
 
 
 def within(cloud: DataFrame, eps: float) -> DataFrame:
@@ -44,7 +44,9 @@ def dbscan(cloud: DataFrame, eps: float, min_samples: int = 3) -> DataFrame:
 
 
 def pca(cloud: DataFrame, k: int = 10) -> DataFrame:
-    """The cloud (one set) on its first k principal components, centred."""
+    """The cloud on its first k principal components, centred. It must be one set: several have no components in common."""
+    if cloud.select("set_id").distinct().limit(2).count() > 1:
+        raise ValueError("pca takes one set at a time")
     mean = cloud.select(F.posexplode("z").alias("p", "x")).groupBy("p").agg(F.avg("x").alias("m")).agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "m"))), lambda s: s["m"]).alias("_mean"))
     centred = cloud.crossJoin(F.broadcast(mean)).select("set_id", "id", F.zip_with("z", "_mean", lambda x, m: x - m).alias("z"))
     vectors = centred.withColumn("_v", array_to_vector("z"))
@@ -155,15 +157,14 @@ def condensed(edges: list[tuple[float, int, int]], n: int, min_size: int) -> lis
     return labels
 
 
-def hdbscan(cloud: DataFrame, neighbors: DataFrame, min_cluster_size: int = 10) -> DataFrame:
+def hdbscan(cloud: DataFrame, neighbors: DataFrame, min_cluster_size: int = 10, block: int = BLOCK) -> DataFrame:
     """(set_id, id, cluster): clusters of excess of mass over mutual-reachability distances, -1 for noise.
 
-    The distances and their spanning tree are Spark jobs; the tree's n - 1 edges of a set are condensed in a grouped function.
-    ``neighbors`` reach to the ``min_cluster_size``-th neighbour, the point itself counted.
+    The spanning tree comes from the trees of pairs of blocks, as that over plain distances does; its n - 1 edges of a set are condensed
+    in a grouped function. ``neighbors`` reach to the ``min_cluster_size``-th neighbour, the point itself counted.
     """
     core = neighbors.where(F.col("rank") == min_cluster_size - 1).select("set_id", F.col("i").alias("id"), F.col("d").alias("core"))
-    reach = pairwise(cloud).join(core.select("set_id", F.col("id").alias("i"), F.col("core").alias("ci")), ["set_id", "i"]).join(core.select("set_id", F.col("id").alias("j"), F.col("core").alias("cj")), ["set_id", "j"])
-    edges = spanning_tree_of_edges(cloud, reach.select("set_id", F.col("i").alias("u"), F.col("j").alias("v"), F.greatest("d", "ci", "cj").alias("w")))
+    edges = spanning_tree_of_edges(cloud, block_trees(cloud.join(core, ["set_id", "id"]), block, "core"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(set(rows["u"]) | set(rows["v"]))
@@ -212,6 +213,14 @@ def out_of_fold(df: DataFrame, features: str, label: str, folds: int = 5, fold:
     return out
 
 
+def standardised(cloud: DataFrame) -> DataFrame:
+    """Each coordinate of each set less its mean, over its population deviation (a constant coordinate: 0)."""
+    long = cloud.select("set_id", "id", F.posexplode("z").alias("p", "x"))
+    facts = long.groupBy("set_id", "p").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    facts = facts.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("p", "m", "s"))).alias("_f"))
+    return cloud.join(facts, "set_id").select("set_id", "id", F.zip_with("z", "_f", lambda x, f: F.coalesce(F.try_divide(x - f["m"], f["s"]), F.lit(0.0))).alias("z"))
+
+
 def verdict(share: Column, low: float, high: float) -> Column:
     """The decision rule of two cut-offs."""
     return F.when(share >= high, "informative").when(share < low, "uninformative").otherwise("undecided")

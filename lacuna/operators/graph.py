@@ -11,9 +11,59 @@ from lacuna.checkpoints import cut
 from lacuna.operators.neighbors import BLOCK, OFFSET, block_pairs, matrix, square
 
 
+#: So many edges of a set are joined within one task; the rest is done in rounds of Spark jobs.
+TASK_EDGES = 1_000_000
+
+
+class _Forest:
+    """Union-find over the distinct ends of some edges; the smallest end names a tree."""
+
+    def __init__(self, u: np.ndarray, v: np.ndarray):
+        self.ids, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+        self.u, self.v = ends[: len(u)].tolist(), ends[len(u) :].tolist()
+        self.parent = list(range(len(self.ids)))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return i
+
+    def join(self, k: int) -> bool:
+        """Joins the ends of edge k; whether they were apart."""
+        a, b = self.root(self.u[k]), self.root(self.v[k])
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _sized(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("set_id").agg(F.ceil(F.count("*") / TASK_EDGES).cast("int").alias("_parts"))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(set_id, id, comp): nodes (set_id, id) labelled with the smallest id reachable by edges (set_id, u, v).
 
+    Sets of up to ``TASK_EDGES`` edges are labelled in a task each, larger ones in rounds.
+    """
+    edges = cut(edges.select("set_id", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")))
+    sizes = cut(_sized(edges))
+
+    def label(rows: pd.DataFrame) -> pd.DataFrame:
+        forest = _Forest(rows["u"].to_numpy(), rows["v"].to_numpy())
+        for k in range(len(rows)):
+            forest.join(k)
+        return pd.DataFrame({"set_id": rows["set_id"].iloc[0], "id": forest.ids, "comp": forest.ids[[forest.root(i) for i in range(len(forest.ids))]]})
+
+    small = edges.join(sizes.where("_parts = 1").select("set_id"), "set_id")
+    found = small.groupBy("set_id").applyInPandas(label, "set_id string, id long, comp long")
+    large = sizes.where("_parts > 1").select("set_id")
+    if large.limit(1).count():
+        found = found.unionByName(components_in_rounds(nodes.join(large, "set_id", "left_semi"), edges.join(large, "set_id", "left_semi")))
+    return nodes.select("set_id", "id").join(found, ["set_id", "id"], "left").select("set_id", "id", F.coalesce("comp", "id").alias("comp"))
+
+
+def components_in_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(set_id, id, comp): nodes (set_id, id) labelled with the smallest id reachable by edges (set_id, u, v).
+
     Labels go over edges and then to the label's own label, so the rounds grow with the logarithm of the longest path.
     """
     labels = cut(nodes.select("set_id", "id", F.col("id").alias("comp")))
@@ -36,11 +86,38 @@ def contracted(labels: DataFrame, picked: DataFrame) -> DataFrame:
     """Labels (set_id, id, comp) after joining components by edges (set_id, u, v): only the graph of components is walked."""
     end = lambda c: labels.select("set_id", F.col("id").alias(c), F.col("comp").alias(f"_{c}"))
     between = picked.select("set_id", "u", "v").join(end("u"), ["set_id", "u"]).join(end("v"), ["set_id", "v"]).select("set_id", F.col("_u").alias("u"), F.col("_v").alias("v"))
-    merged = components(labels.select("set_id", F.col("comp").alias("id")).distinct(), between)
+    merged = components_in_rounds(labels.select("set_id", F.col("comp").alias("id")).distinct(), between)
     return cut(labels.join(merged.select("set_id", F.col("id").alias("comp"), F.col("comp").alias("_new")), ["set_id", "comp"]).select("set_id", "id", F.col("_new").alias("comp")))
 
 
+def thinned(rows: pd.DataFrame) -> pd.DataFrame:
+    """The minimum spanning forest of some edges (u, v, w), by (w, u, v)."""
+    rows = rows.sort_values(["w", "u", "v"]).reset_index(drop=True)
+    forest = _Forest(rows["u"].to_numpy(), rows["v"].to_numpy())
+    return rows[[forest.join(k) for k in range(len(rows))]]
+
+
 def spanning_tree_of_edges(cloud: DataFrame, edges: DataFrame) -> DataFrame:
+    """Minimum spanning tree (set_id, u, v, w) of a table of edges, ties by (w, u, v).
+
+    An edge that is in the tree is in the spanning forest of any part of the edges that has it. So the edges of a set are dealt into
+    parts of ``TASK_EDGES``, each part keeps its forest, and so on until one part is left. Where that no longer lessens them, as in
+    sets of more points than a task joins, rounds follow in which each component takes its best edge.
+    """
+    edges = cut(edges.select("set_id", "u", "v", "w"))
+    while True:
+        sizes = cut(_sized(edges))
+        one = (sizes.agg(F.max("_parts")).first()[0] or 1) == 1
+        dealt = edges.join(sizes, "set_id").withColumn("_part", F.pmod(F.xxhash64("u", "v"), "_parts"))
+        kept = cut(dealt.groupBy("set_id", "_part").applyInPandas(lambda rows: thinned(rows[["set_id", "u", "v", "w"]]), "set_id string, u long, v long, w double"))
+        if one:
+            return kept
+        if kept.count() > 0.8 * edges.count():
+            return spanning_tree_in_rounds(cloud, kept)
+        edges = kept
+
+
+def spanning_tree_in_rounds(cloud: DataFrame, edges: DataFrame) -> DataFrame:
     """Minimum spanning tree of a table of edges (set_id, u, v, w), by rounds in which each component takes its best edge."""
     edges = cut(edges)
     labels = cut(cloud.select("set_id", "id", F.col("id").alias("comp")))
@@ -56,12 +133,20 @@ def spanning_tree_of_edges(cloud: DataFrame, edges: DataFrame) -> DataFrame:
         labels = contracted(labels, picked)
 
 
-def small_tree(rows: pd.DataFrame) -> pd.DataFrame:
-    """The spanning tree (u, v, w) of a few points (id, z), grown from the first; equal lengths go by (u, v)."""
+def small_tree(rows: pd.DataFrame, core: str | None = None) -> pd.DataFrame:
+    """The spanning tree (u, v, w) of a few points (id, z), grown from the first; equal lengths go by (u, v).
+
+    ``core`` names a column of radii: an edge is then as long as the largest of its length and the radii of its ends.
+    """
     rows = rows.drop_duplicates("id").sort_values("id")
     ids, z = rows["id"].to_numpy(), matrix(rows)
     n = len(ids)
-    d = square(z, z) + OFFSET
+    d = square(z, z)
+    if core:
+        radius = rows[core].to_numpy()
+        d = np.maximum(d, np.maximum(radius[:, None], radius[None, :]))
+    else:
+        d += OFFSET
     best, source, outside = d[0].copy(), np.zeros(n, int), np.ones(n, bool)
     outside[0] = False
     edges = []
@@ -84,12 +169,17 @@ def minimum_spanning_tree(cloud: DataFrame, block: int = BLOCK) -> DataFrame:
     An edge of the whole tree is in the tree of any part that holds both its ends. So each pair of blocks gives the tree of its
     points, and the tree of all these edges is the result: no table of all pairs is made, and sets of one block are done at once.
     """
-    edges = block_pairs(cloud, lambda a, b: small_tree(pd.concat([a, b])), "u long, v long, w double", block, half=True).distinct()
+    edges = block_trees(cloud, block)
     if not cloud.groupBy("set_id").count().where(F.col("count") > block).limit(1).count():
         return edges
     return spanning_tree_of_edges(cloud, edges)
 
 
+def block_trees(cloud: DataFrame, block: int = BLOCK, core: str | None = None) -> DataFrame:
+    """(set_id, u, v, w): the trees of all pairs of blocks, each edge once. ``core``: see ``small_tree``."""
+    return block_pairs(cloud, lambda a, b: small_tree(pd.concat([a, b]), core), "u long, v long, w double", block, extra=(core,) if core else (), half=True).distinct()
+
+
 def ranked_edges(tree: DataFrame) -> DataFrame:
     """The edges with their rank e in each set by (w, u, v)."""
     return tree.withColumn("e", F.row_number().over(Window.partitionBy("set_id").orderBy("w", "u", "v")))

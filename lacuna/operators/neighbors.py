@@ -32,13 +32,6 @@ def points(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     return df.select(own.alias("set_id"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("z"))
 
 
-def pairwise(cloud: DataFrame) -> DataFrame:
-    """(set_id, i, j, d) for i < j: the theta join for small clouds. Sets that grow go through ``block_pairs``."""
-    a = cloud.select("set_id", F.col("id").alias("i"), F.col("z").alias("_a"))
-    b = cloud.select("set_id", F.col("id").alias("j"), F.col("z").alias("_b"))
-    return a.join(b, "set_id").where("i < j").select("set_id", "i", "j", distance(F.col("_a"), F.col("_b")).alias("d"))
-
-
 def square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of all rows of a to all rows of b, summed coordinate by coordinate."""
     total = np.zeros((len(a), len(b)))
@@ -76,6 +69,27 @@ def matrix(rows: pd.DataFrame) -> np.ndarray:
     return np.array(rows["z"].tolist(), float).reshape(len(rows), -1)
 
 
+def pairwise(cloud: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(set_id, i, j, d) for i < j: all pairs of each set, a pair of blocks in each task. As many rows as pairs: for small clouds."""
+
+    def every(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        d, i, j = square(matrix(a), matrix(b)), a["id"].to_numpy(), b["id"].to_numpy()
+        at, to = np.nonzero(i[:, None] < j[None, :])
+        return pd.DataFrame({"i": i[at], "j": j[to], "d": d[at, to]})
+
+    return block_pairs(cloud, every, "i long, j long, d double", block)
+
+
+def nearest_of_others(cloud: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(set_id, i, d): the distance of each point of a cloud with a column ``label`` (long) to the nearest one of another label."""
+
+    def other(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        d = np.where(a["label"].to_numpy()[:, None] == b["label"].to_numpy()[None, :], np.inf, square(matrix(a), matrix(b))).min(axis=1)
+        return pd.DataFrame({"i": a["id"].to_numpy(), "d": d})[np.isfinite(d)]
+
+    return block_pairs(cloud, other, "i long, d double", block, extra=("label",)).groupBy("set_id", "i").agg(F.min("d").alias("d"))
+
+
 def knn(cloud: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     """(set_id, i, j, d, rank): the k nearest others of each point by (d, j). Each block pair passes k rows a point on."""
 

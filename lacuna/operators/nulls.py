@@ -27,31 +27,49 @@ def null_cloud(shape: str, n: int, dim: int, rng: np.random.Generator) -> np.nda
     return draw[shape]((n, dim))
 
 
-def largest_gap(z: np.ndarray, k: int = K, min_group: int = MIN_GROUP) -> float:
-    """The largest local gap of one small cloud in memory; 0 without a merge of two large groups."""
-    n = len(z)
-    if n <= k:
-        raise ValueError(f"a cloud needs more than {k} points")
-    d = np.zeros((n, n))
-    for x in z.T:
-        d += (x[:, None] - x[None, :]) ** 2
-    d = np.sqrt(d) + OFFSET
-    np.fill_diagonal(d, 0.0)
-    near = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
-    radius = np.take_along_axis(d, near, 1).max(axis=1)
-    # grow the tree from point 0, always by the nearest point outside it
-    best, source, outside = d[0].copy(), np.zeros(n, int), np.ones(n, bool)
+#: Rows of a simulated cloud whose distances are held at once.
+ROWS_AT_ONCE = 256
+
+
+def nearest(z: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each point the indices of its k nearest others and itself, and the distance of the farthest of them plus the offset."""
+    near, radius = np.empty((len(z), k + 1), int), np.empty(len(z))
+    for a in range(0, len(z), ROWS_AT_ONCE):
+        part = z[a : a + ROWS_AT_ONCE]
+        d2 = np.zeros((len(part), len(z)))
+        for x, y in zip(part.T, z.T, strict=True):
+            d2 += (x[:, None] - y[None, :]) ** 2
+        best = np.argpartition(d2, k, axis=1)[:, : k + 1]
+        near[a : a + len(part)] = best
+        radius[a : a + len(part)] = np.sqrt(np.take_along_axis(d2, best, 1).max(axis=1)) + OFFSET
+    return near, radius
+
+
+def tree_edges(z: np.ndarray) -> list[tuple[float, int, int]]:
+    """The spanning tree (length plus the offset, u, v), grown from point 0 by the nearest point outside; distances are made as needed."""
+    best, source = ((z - z[0]) ** 2).sum(axis=1), np.zeros(len(z), int)
+    outside = np.ones(len(z), bool)
     outside[0] = False
     edges = []
-    for _ in range(n - 1):
-        j = int(np.argmin(np.where(outside, best, np.inf)))
-        edges.append((best[j], source[j], j))
+    for _ in range(len(z) - 1):
+        j = int(np.where(outside, best, np.inf).argmin())
+        edges.append((float(np.sqrt(best[j])) + OFFSET, int(source[j]), j))
         outside[j] = False
-        closer = d[j] < best
-        best[closer], source[closer] = d[j][closer], j
-    edges.sort()
-    sizes = merge_sizes([int(u) for _, u, _ in edges], [v for _, _, v in edges])
-    gaps = [w / np.median(radius[np.union1d(near[u], near[v])]) for (w, u, v), (a, b) in zip(edges, sizes, strict=True) if min(a, b) >= min_group]
+        away = z - z[j]
+        d2 = np.einsum("ij,ij->i", away, away)
+        closer = d2 < best
+        best[closer], source[closer] = d2[closer], j
+    return edges
+
+
+def largest_gap(z: np.ndarray, k: int = K, min_group: int = MIN_GROUP) -> float:
+    """The largest local gap of one simulated cloud; 0 without a merge of two large groups. Memory grows with n, not n squared."""
+    if len(z) <= k:
+        raise ValueError(f"a cloud needs more than {k} points")
+    near, radius = nearest(z, k)
+    edges = sorted(tree_edges(z))
+    sizes = merge_sizes([u for _, u, _ in edges], [v for _, _, v in edges])
+    gaps = [w / np.median(radius[np.union1d(near[u], near[v])]) for (w, u, v), both in zip(edges, sizes, strict=True) if min(both) >= min_group]
     return float(max(gaps, default=0.0))
 
 
@@ -88,6 +106,11 @@ def cached_null_table(spark: SparkSession, path: str, cells: list[tuple[int, int
     return kept.join(F.broadcast(wanted), ["n", "dim"]).select("n", "dim", "shape", "rep", "max_gap")
 
 
+def null_quantiles(nulls: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """(shape, dim, q50, q95, q99): quantiles of the largest gaps of each cell."""
+    return nulls.groupBy("shape", "dim").agg(*[F.percentile("max_gap", F.lit(q)).alias(f"q{round(100 * q)}") for q in quantiles])
+
+
 def shape_invariance(nulls: DataFrame, quantile: float = 0.95) -> DataFrame:
     """(dim, ratio): largest over smallest quantile of the shapes; near 1 if the null doesn't depend on the shape."""
     cells = nulls.groupBy("dim", "shape").agg(F.percentile("max_gap", F.lit(quantile)).alias("q"))

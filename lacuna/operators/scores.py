@@ -52,28 +52,34 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     return mi.crossJoin(entropy(rows, "na", "h_a")).crossJoin(entropy(cols, "nb", "h_b"))
 
 
+def chance_information(a: int, b: int, n: int) -> float:
+    """What a group of a and one of b of n rows add to the expected mutual information of random labellings (hypergeometric)."""
+    k = np.arange(max(1, a + b - n), min(a, b) + 1)
+    log_f = np.vectorize(math.lgamma, otypes=[float])
+    fixed = sum(math.lgamma(x + 1) for x in (a, b, n - a, n - b)) - math.lgamma(n + 1)
+    log_p = fixed - log_f(k + 1) - log_f(a - k + 1) - log_f(b - k + 1) - log_f(n - a - b + k + 1)
+    return float((k / n * np.log(n * k / (a * b)) * np.exp(log_p)).sum())
+
+
 def expected_information(sizes_a: list[int], sizes_b: list[int]) -> float:
-    """Expected mutual information of two random labellings with these group sizes (hypergeometric)."""
-    n = sum(sizes_a)
-    log_f = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
-    total = 0.0
-    for a in sizes_a:
-        for b in sizes_b:
-            k = np.arange(max(1, a + b - n), min(a, b) + 1)
-            logp = log_f[a] + log_f[b] + log_f[n - a] + log_f[n - b] - log_f[n] - log_f[k] - log_f[a - k] - log_f[b - k] - log_f[n - a - b + k]
-            total += float((k / n * np.log(n * k / (a * b)) * np.exp(logp)).sum())
-    return total
+    """Expected mutual information of two random labellings with these group sizes."""
+    return sum(chance_information(a, b, sum(sizes_a)) for a in sizes_a for b in sizes_b)
 
 
-def adjusted_information(df: DataFrame, a: str, b: str) -> float:
-    """Adjusted mutual information with the arithmetic mean of the entropies. Only group sizes come to the driver."""
-    row = mutual_information(df, a, b).first()
-    sizes = [[r.n for r in df.groupBy(c).agg(F.count("*").alias("n")).collect()] for c in (a, b)]
-    if len(sizes[0]) == len(sizes[1]) == 1:
-        return 1.0
-    chance = expected_information(*sizes)
-    below = (row.h_a + row.h_b) / 2 - chance
-    return (row.mi - chance) / below if below else 1.0
+def adjusted_information(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(ami): adjusted mutual information with the arithmetic mean of the entropies.
+
+    The expectation is a sum over pairs of distinct group sizes, of which n rows have at most about sqrt(2 n), dealt over tasks.
+    """
+    of_size = lambda c, name: df.groupBy(c).agg(F.count("*").alias(name)).groupBy(name).agg(F.count("*").alias(f"{name}_times"))
+    total = df.agg(F.count("*").alias("t"))
+    pairs = of_size(a, "na").crossJoin(F.broadcast(of_size(b, "nb"))).crossJoin(F.broadcast(total))
+    each = F.pandas_udf(lambda x, y, n: pd.Series([chance_information(int(i), int(j), int(m)) for i, j, m in zip(x, y, n, strict=True)], dtype=float), "double")
+    chance = pairs.agg(F.sum(F.col("na_times") * F.col("nb_times") * each("na", "nb", "t")).alias("chance"), F.sum("na_times").alias("ka"), F.sum("nb_times").alias("kb"), F.count("*").alias("cells"))
+    both = mutual_information(df, a, b).crossJoin(chance)
+    below = (F.col("h_a") + F.col("h_b")) / 2 - F.col("chance")
+    one = (F.col("h_a") <= 0) & (F.col("h_b") <= 0)
+    return both.select(F.when(one, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(F.col("mi") - F.col("chance"), below), F.lit(1.0))).alias("ami"))
 
 
 def chi_square(df: DataFrame, group: str, category: str, by: list[str], min_total: int = 0) -> DataFrame:
@@ -117,12 +123,16 @@ def chi_square_tail(x: float, dof: int) -> float:
     return total
 
 
+def bonferroni(tests: DataFrame, p: str = "p", name: str = "p_bonf") -> DataFrame:
+    """Adds p times the number of all rows, at most 1."""
+    count = tests.agg(F.count("*").alias("_m"))
+    return tests.crossJoin(F.broadcast(count)).withColumn(name, F.least(F.col(p) * F.col("_m"), F.lit(1.0))).drop("_m")
+
+
 def with_p(tests: DataFrame, chi2: str = "chi2", dof: str = "dof") -> DataFrame:
     """Adds p and, over all rows together, Bonferroni's p_bonf."""
-    tail = F.pandas_udf(lambda x, d: pd.Series([chi_square_tail(float(a), int(b)) for a, b in zip(x, d, strict=True)]), "double")
-    out = tests.withColumn("p", tail(F.col(chi2), F.col(dof)))
-    count = tests.agg(F.count("*").alias("_m"))
-    return out.crossJoin(F.broadcast(count)).withColumn("p_bonf", F.least(F.col("p") * F.col("_m"), F.lit(1.0))).drop("_m")
+    tail = F.pandas_udf(lambda x, d: pd.Series([chi_square_tail(float(a), int(b)) for a, b in zip(x, d, strict=True)], dtype=float), "double")
+    return bonferroni(tests.withColumn("p", tail(F.col(chi2), F.col(dof))))
 
 
 def balanced_accuracy(df: DataFrame, truth: str, predicted: str, by: list[str] | None = None) -> DataFrame:

@@ -43,41 +43,68 @@ def welch(x: np.ndarray, fs: float, nperseg: int = 1024) -> tuple[np.ndarray, np
     return f, p.mean(axis=1)
 
 
-def call_pixels(x: np.ndarray, fs: float, duration_ms: float | None, longest_ms: float, low: float, high: float, nperseg: int = 256, noverlap: int = 224, floor: float = 1e-12, side: int = 32, decades: float = 4.0, full_width: bool = False) -> np.ndarray:
-    """A side x side image: log frequency up, log duration across (or full width), the top ``decades`` of power from 0 to 1.
+#: A call's log power counts from this many decades below its maximum.
+DECADES = 4.0
 
-    The last column of a call is covered by the fraction of it that the call reaches.
+
+def log_power(power: np.ndarray, floor: float, decades: float = DECADES) -> np.ndarray:
+    """Decimal logarithm of power densities, its top ``decades`` scaled from 0 to 1."""
+    level = np.log10(power + floor)
+    return np.clip(1 + (level - level.max()) / decades, 0, 1)
+
+
+def resampled(values: np.ndarray, at: np.ndarray, new: np.ndarray, axis: int) -> np.ndarray:
+    """Linear interpolation of a table along one axis."""
+    return np.apply_along_axis(lambda line: np.interp(new, at, line), axis, values)
+
+
+def call_pixels(x: np.ndarray, fs: float, duration_ms: float | None, longest_ms: float, low: float, high: float, nperseg: int = 256, noverlap: int = 224, floor: float = 1e-12, side: int = 32, decades: float = DECADES, full_width: bool = False) -> np.ndarray:
+    """A side x side image, row after row: log frequency from ``low`` to ``high`` up, log duration across (or full width).
+
+    Column j of a call that is w columns wide shows the moment (j + 0.5) / w of it, and is covered by the fraction of the column
+    that the call reaches. Without a duration that of the samples counts, after they are padded to one segment.
     """
+    if len(x) < nperseg:
+        x = np.pad(np.asarray(x, float), (0, nperseg - len(x)))
     f, _, p = spectrogram(x, fs, nperseg, noverlap)
     band = (f >= low) & (f <= high)
-    db = np.log10(p[band] + floor)
-    rows = np.geomspace(max(low, f[band][0]), min(high, f[band][-1]), side)
-    up = np.array([np.interp(rows, f[band], c) for c in db.T]).T
-    up = np.clip((up - (up.max() - decades)) / decades, 0, 1)
-    if duration_ms is None:
-        duration_ms = 1000 * max(len(x), nperseg) / fs
-    width = float(side) if full_width else max(side * np.log1p(duration_ms) / np.log1p(longest_ms), 2.0)
-    width = min(width, float(side))
-    n = int(np.ceil(width))
-    across = np.linspace(0, up.shape[1] - 1, n)
-    out = np.zeros((side, side))
-    out[:, :n] = np.array([np.interp(across, np.arange(up.shape[1]), r) for r in up])
-    out[:, n - 1] *= width - (n - 1)
-    return out.ravel()
-
-
-def aligned_spectrum(x: np.ndarray, fs: float, start: int, length: int, grid_ms: np.ndarray, low: float, high: float, nperseg: int = 256, noverlap: int = 224) -> np.ndarray:
-    """Log power by (frequency, time after onset) on the grid; not a number outside the call."""
-    pad = nperseg // 2
+    up = resampled(np.log10(p[band] + floor), f[band], np.geomspace(low, high, side), 0)
+    up = np.clip(1 + (up - up.max()) / decades, 0, 1)
+    if full_width:
+        width = float(side)
+    else:
+        ms = 1000 * len(x) / fs if duration_ms is None else duration_ms
+        width = max(side * np.log1p(ms) / np.log1p(longest_ms), 2.0)
+    column = np.arange(side)
+    moment = np.minimum((column + 0.5) / width, 1) * (up.shape[1] - 1)
+    return (resampled(up, np.arange(up.shape[1]), moment, 1) * np.clip(width - column, 0, 1)).ravel()
+
+
+def aligned_spectrum(x: np.ndarray, fs: float, start: int, length: int, grid_ms: np.ndarray, low: float, high: float, pad_ms: float = 20.0, nperseg: int = 256, noverlap: int = 224) -> np.ndarray:
+    """Log power, scaled as in images, by (frequency, time after onset) on the grid; not a number where there is no frame.
+
+    The call is taken with ``pad_ms`` on both sides.
+    """
+    pad = int(pad_ms * fs / 1000)
     a = max(start - pad, 0)
     f, t, p = spectrogram(x[a : start + length + pad], fs, nperseg, noverlap)
     band = (f >= low) & (f <= high)
     ms = 1000 * (t - (start - a) / fs)
-    out = np.array([np.interp(grid_ms, ms, r) for r in np.log10(p[band] + 1e-12)])
-    out[:, (grid_ms < 0) | (grid_ms > 1000 * length / fs)] = np.nan
+    out = resampled(log_power(p[band], 1e-12), ms, grid_ms, 1)
+    out[:, (grid_ms < ms[0]) | (grid_ms > ms[-1])] = np.nan
     return out
 
 
+def aligned_spectra(calls: DataFrame, grid_ms: np.ndarray, low: float, high: float, pad_ms: float = 20.0) -> DataFrame:
+    """Adds ``spectrum`` to calls (x, fs, start, length), x being the whole recording: frequency after frequency on the grid."""
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series, fs: pd.Series, start: pd.Series, length: pd.Series) -> pd.Series:
+        return pd.Series([aligned_spectrum(np.asarray(a, float), r, int(s), int(n), grid_ms, low, high, pad_ms).ravel() for a, r, s, n in zip(x, fs, start, length, strict=True)])
+
+    return calls.withColumn("spectrum", run("x", F.col("fs").cast("double"), F.col("start").cast("long"), F.col("length").cast("long")))
+
+
 def frames(recordings: DataFrame, low: float, high: float, nperseg: int = 512, noverlap: int = 384, keys: tuple[str, ...] = ("file",)) -> DataFrame:
     """(keys, frame, t, tonal_db, peak_hz) of recordings (keys, fs, x): how far the band's maximum stands above its median."""
 

@@ -11,28 +11,44 @@ from lacuna.operators.signal import frames
 #: Bands in Hz, tonality in dB, times in ms and the largest median jump in Hz of ultrasonic mouse calls.
 LOW, HIGH, TONAL_DB, MERGE_MS, SHORTEST_MS, LONGEST_MS, JUMP_HZ = 30e3, 110e3, 15.0, 10.0, 5.0, 300.0, 6e3
 NPERSEG, NOVERLAP = 512, 384
+CLEAN_DB = 20.0
 
 
 def detect(recordings: DataFrame, keys: tuple[str, ...] = ("file",), low: float = LOW, high: float = HIGH, tonal_db: float = TONAL_DB) -> DataFrame:
     """(keys, fs, onset_s, offset_s, dur_ms, peak_khz, tonality_db) of recordings (keys, fs, x).
 
-    Frames whose band maximum stands ``tonal_db`` above the median are active; runs join over gaps up to ``MERGE_MS``; an event
-    lasts ``SHORTEST_MS`` to ``LONGEST_MS`` and has jumps of at most ``JUMP_HZ`` in the median.
+    Frames whose band maximum stands ``tonal_db`` above the median are active; runs join over gaps of up to ``MERGE_MS``, one frame
+    at least. A run from its first to its last frame lasts ``SHORTEST_MS`` to ``LONGEST_MS``, and its active frames have jumps of at
+    most ``JUMP_HZ`` in the median. The event reaches half a window further on both sides, within the recording; ``dur_ms`` is
+    from onset to offset, and peak and tonality are the medians of its active frames.
     """
     by = list(keys)
     rates = recordings.select(*by, F.col("fs").cast("double").alias("fs"), F.size("x").alias("_n"))
     active = frames(recordings, low, high, NPERSEG, NOVERLAP, keys).where(F.col("tonal_db") >= tonal_db).join(rates, by)
     step = (NPERSEG - NOVERLAP) / F.col("fs")
-    runs = sequence.islands(active, by, "frame", F.floor(MERGE_MS / 1000 / step))
+    runs = sequence.islands(active, by, "frame", F.greatest(F.floor(MERGE_MS / 1000 / step), F.lit(1)))
     runs = sequence.jumps(runs, "peak_hz", [*by, "island"], ["frame"])
+    events = runs.groupBy(*by, "fs", "_n", "island").agg(
+        F.min("t").alias("a"), F.max("t").alias("b"), (1000 * (F.max("frame") - F.min("frame") + 1)).alias("span"),
+        F.median("peak_hz").alias("peak"), F.median("tonal_db").alias("tonal"), F.median("jump").alias("jump"), F.count("jump").alias("jumps"),
+    )
+    events = events.where((F.col("span") * step).between(SHORTEST_MS, LONGEST_MS) & (F.col("jumps") > 0) & (F.col("jump") <= JUMP_HZ))
     half = NPERSEG / 2 / F.col("fs")
-    events = runs.groupBy(*by, "fs", "_n", "island").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.max(F.struct("tonal_db", "peak_hz")).alias("top"), F.median("jump").alias("jump"), F.count("jump").alias("jumps"))
     onset, offset = F.greatest(F.col("a") - half, F.lit(0.0)), F.least(F.col("b") + half, F.col("_n") / F.col("fs"))
-    out = events.select(*by, F.col("fs").cast("int").alias("fs"), onset.alias("onset_s"), offset.alias("offset_s"), (1000 * (F.col("b") - F.col("a") + step)).alias("dur_ms"), (F.col("top.peak_hz") / 1000).alias("peak_khz"), F.col("top.tonal_db").alias("tonality_db"), "jump", "jumps")
-    return out.where(F.col("dur_ms").between(SHORTEST_MS, LONGEST_MS) & (F.col("jumps") > 0) & (F.col("jump") <= JUMP_HZ)).drop("jump", "jumps")
+    return events.select(*by, F.col("fs").cast("int").alias("fs"), onset.alias("onset_s"), offset.alias("offset_s"), (1000 * (offset - onset)).alias("dur_ms"), (F.col("peak") / 1000).alias("peak_khz"), F.col("tonal").alias("tonality_db"))
+
+
+def clean(events: DataFrame, least_db: float = CLEAN_DB) -> DataFrame:
+    """The events that stand out clearly."""
+    return events.where(F.col("tonality_db") >= least_db)
 
 
 def capped(df: DataFrame, by: list[str], key: str, most: int = 1500) -> DataFrame:
-    """At most ``most`` rows of each group, those with the smallest hash of the key: a sample that reruns agree on."""
-    w = Window.partitionBy(*by).orderBy(F.xxhash64(key), key)
+    """At most ``most`` rows of each group, those with the smallest MD5 of the key: a sample that reruns agree on."""
+    w = Window.partitionBy(*by).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+
+
+def looked_at(df: DataFrame, key: str, rows: int = 24) -> DataFrame:
+    """A fixed number of rows to look at, those with the smallest MD5 of the key."""
+    return df.orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(rows)

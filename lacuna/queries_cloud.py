@@ -60,10 +60,9 @@ def global_rms_scale(spark, sf_dir):
 
 
 def cross_nearest(spark, sf_dir):
-    """Nearest point of another label for each point: two sets, joined block against block within the generated code."""
-    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").alias("l"), F.col("embedding").cast("array<double>").alias("z"))
-    pairs = table.alias("a").join(table.alias("b"), F.col("a.l") != F.col("b.l"))
-    return pairs.groupBy(F.col("a.id").alias("i")).agg(_r(F.min(neighbors.distance(F.col("a.z"), F.col("b.z")))).alias("d"))
+    """Nearest point of another label for each point, block against block."""
+    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"))
+    return neighbors.nearest_of_others(_cloud(spark, sf_dir).join(labels, "id")).select("i", _r("d").alias("d"))
 
 
 def mst_edges(spark, sf_dir):
@@ -210,11 +209,9 @@ def prominences(spark, sf_dir):
 
 
 def silverman(spark, sf_dir):
-    """On the self-test's clusters, a cloud of a fixed size."""
-    import numpy as np
-
-    z = np.array([r.z[:2] for r in known_case(spark, "clusters", 96).collect()])
-    return density.silverman_test(spark, (z - z.mean(axis=0)) / z.std(axis=0), n_null=16)
+    """Density peaks and modes of each label's points, on their first two coordinates scaled to a deviation of 1."""
+    cloud = neighbors.points(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), set_col="label").withColumn("z", F.slice("z", 1, 2))
+    return density.peak_and_mode_tests(clusters.standardised(cloud))
 
 
 def synthetic_repertoires(spark, sf_dir):
@@ -238,7 +235,7 @@ def hopkins(spark, sf_dir):
 
 def adjusted_information(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.floor(F.col("embedding")[0] * 20).alias("other"))
-    return spark.createDataFrame([(scores.adjusted_information(df, "label", "other"),)], "ami double")
+    return scores.adjusted_information(df, "label", "other")
 
 
 def detected_calls(spark, sf_dir):
@@ -249,7 +246,7 @@ def detected_calls(spark, sf_dir):
 
 def call_images(spark, sf_dir):
     users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
-    return signal.images(synth.bursts(users, "user_id"), 300.0, 30e3, 110e3, nperseg=512, noverlap=448).select("file", F.size("image").alias("n"))
+    return signal.images(synth.bursts(users, "user_id"), 300.0, 30e3, 110e3, nperseg=512, noverlap=448, floor=1e-20).select("file", "image")
 
 
 def power_by_bin(spark, sf_dir):

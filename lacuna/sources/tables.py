@@ -85,28 +85,58 @@ def looked_up(df: DataFrame, codes: DataFrame, on: str) -> DataFrame:
     return df.join(codes, on, "left")
 
 
-def profile(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(column, compressed, values) of Parquet files by their footers, read in tasks, one file each; largest first."""
-    import io
+def _footer_rows(spark: SparkSession, paths: list[str], rows_of, schema: str) -> DataFrame:
+    """``rows_of(path, footer)`` for each Parquet file, one file each task; only the footer's bytes are read.
 
+    The paths are opened by pyarrow's file systems, which know local and common remote ones.
+    """
     import pandas as pd
     import pyarrow.parquet as pq
+    from pyarrow import fs
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    names = schema.replace(",", " ").split()[::2]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(paths).select("path", "length")
 
     def run(batches):
         for batch in batches:
-            for content in batch["content"]:
-                meta = pq.ParquetFile(io.BytesIO(content)).metadata
-                rows = [(meta.row_group(g).column(c).path_in_schema.split(".")[0], meta.row_group(g).column(c).total_compressed_size, meta.row_group(g).column(c).num_values) for g in range(meta.num_row_groups) for c in range(meta.num_columns)]
-                yield pd.DataFrame(rows, columns=["column", "compressed", "values"])
+            for path, length in zip(batch["path"], batch["length"], strict=True):
+                system, inner = fs.FileSystem.from_uri(path)
+                with system.open_input_file(inner) as f:
+                    yield pd.DataFrame(rows_of(path, length, pq.ParquetFile(f).metadata), columns=names)
+
+    count = files.count()
+    return files.repartition(max(1, min(count, 1000))).mapInPandas(run, schema)
+
+
+def profile(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(column, compressed, values) of Parquet files by their footers; largest first."""
+
+    def rows_of(path, length, meta):
+        chunks = [meta.row_group(g).column(c) for g in range(meta.num_row_groups) for c in range(meta.num_columns)]
+        return [(c.path_in_schema.split(".")[0], c.total_compressed_size, c.num_values) for c in chunks]
+
+    rows = _footer_rows(spark, paths, rows_of, "column string, compressed long, values long")
+    return rows.groupBy("column").agg(F.sum("compressed").alias("compressed"), F.sum("values").alias("values")).orderBy(F.desc("compressed"), "column")
+
+
+def footers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, rows, bytes, row_groups, info) of Parquet files: ``info`` is the JSON that a dataset keeps with its schema, or null."""
+
+    def rows_of(path, length, meta):
+        info = (meta.metadata or {}).get(b"huggingface")
+        return [(path, meta.num_rows, length, meta.num_row_groups, info.decode() if info else None)]
+
+    return _footer_rows(spark, paths, rows_of, "path string, rows long, bytes long, row_groups long, info string")
+
 
-    sums = files.mapInPandas(run, "column string, compressed long, values long").groupBy("column").agg(F.sum("compressed").alias("compressed"), F.sum("values").alias("values"))
-    return sums.orderBy(F.desc("compressed"), "column")
+def with_payload(df: DataFrame, column: str) -> DataFrame:
+    """The rows whose payload isn't null."""
+    return df.where(F.col(column).isNotNull())
 
 
-def peek(df: DataFrame, column: str, rows: int = 3, magic: str = "RIFF") -> DataFrame:
-    """The first rows' payload sizes and whether they begin with the magic bytes; payloads stay where they are."""
+def peek(df: DataFrame, column: str, rows: int = 3, magic: str = "RIFF", most_bytes: int = 300_000_000) -> DataFrame:
+    """The first rows' payload sizes and whether they begin with the magic bytes; payloads above ``most_bytes`` aren't looked into."""
+    df = df.withColumn(column, F.when(F.length(column) <= most_bytes, F.col(column)))
     return df.limit(rows).select(F.length(column).alias("bytes"), (F.substring(column, 1, len(magic)) == F.lit(magic).cast("binary")).alias("is_magic"))
 
 
