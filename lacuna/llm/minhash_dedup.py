@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import saved
+from lacuna.llm.common import looked_up, saved
 from lacuna.llm.components import components
 from lacuna.llm.textbatch import mix, slices
 
@@ -227,19 +227,21 @@ def linked(rows: DataFrame, key: str, columns: list[str], size: Column, compare:
     columns = [c for c in columns if c != "id"]
     rows = rows.select(F.col(key).alias("key"), "id", size.cast("long").alias("_size"), *columns)
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("_size") / BLOCK_BYTES)).cast("int")
-    sizes = saved(rows.groupBy("key").agg(F.count("*").alias("_rows"), blocks.alias("_blocks")).where("_rows > 1").select("key", "_blocks"))
+    large = saved(rows.groupBy("key").agg(blocks.alias("_blocks")).where("_blocks > 1"))
     yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
 
     def grouped(dealt: DataFrame) -> DataFrame:
         dealt = dealt.select("key", "p", "q", "id", "component", "is_left", "is_right", *columns)
         return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(compare, "key long, a long, b long")
 
-    small = rows.join(sizes.where("_blocks = 1").select("key"), "key")
+    some = large.limit(1).count() > 0
+    # the rows themselves are shuffled once, to their groups; only those of large keys, which are few, go further
+    sized = looked_up(rows, large, ["key"], "left") if some else rows
+    small = sized.where("_blocks is null") if some else rows
     links = grouped(small.select("*", zero.alias("p"), zero.alias("q"), F.col("id").alias("component"), yes.alias("is_left"), yes.alias("is_right")))
-    large = sizes.where("_blocks > 1")
-    if not large.limit(1).count():
+    if not some:
         return links.select("a", "b")
-    dealt = rows.join(large, "key").withColumn("block", F.pmod(F.xxhash64("id"), "_blocks").cast("int"))
+    dealt = sized.where("_blocks is not null").withColumn("block", F.pmod(F.xxhash64("id"), "_blocks").cast("int"))
     everywhere = F.explode(F.sequence(zero, F.col("_blocks") - 1))
 
     # the rows with the smallest of several hashes stand for their key
@@ -266,8 +268,8 @@ def linked(rows: DataFrame, key: str, columns: list[str], size: Column, compare:
     found = links.unionByName(stars)
     if not apart.limit(1).count():
         return found.select("a", "b")
-    marks = labelled.drop("_size").join(apart, "key")
-    marked = rows.join(marks, ["key", "id"])
+    marks = looked_up(labelled.select("key", "id", "component"), apart, ["key"])
+    marked = looked_up(dealt, apart.select("key"), ["key"], "left_semi").join(marks, ["key", "id"])
     left = marked.where("component <> most").withColumn("p", F.pmod(F.xxhash64("id", zero), "_outer").cast("int")).select("*", everywhere.alias("q"))
     left = left.select("key", "id", *columns, "p", "q", "component", yes.alias("is_left"), no.alias("is_right"))
     right = marked.select("*", F.explode(F.sequence(zero, F.col("_outer") - 1)).alias("p"))
