@@ -235,7 +235,7 @@ def hopkins(spark, sf_dir):
 
 def adjusted_information(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.floor(F.col("embedding")[0] * 20).alias("other"))
-    return scores.adjusted_information(df, "label", "other")
+    return scores.adjusted_information(df, "label", "other").select(_r("ami").alias("ami"))
 
 
 def detected_calls(spark, sf_dir):
@@ -309,6 +309,17 @@ select pts.id, coalesce(lab.c, border.c, -1) as cluster, lab.c is not null core
     "n_types_given_nulls": _DECIDED + " select r.set_id, 1 + count(f.gap) n_types from rules r left join found f on f.set_id = r.set_id and f.gap > r.threshold group by 1",
     "shape_invariance_ratio": f"with {_NULLS} select dim::BIGINT dim, round(max(q) / min(q), 6) ratio from (select dim, shape, quantile_cont(max_gap, 0.95) q from nulls group by 1, 2) group by 1",
     "hopkins_given_points": f"with {_PAIRS}, w as (select label rep, sum(d * d) w from (select i, min(d) d from p group by 1) join embeddings on vec_id = i group by 1), u as (select rep, sum(d * d) u from (select a.label rep, a.vec_id, min(list_distance(list_transform(a.embedding::DOUBLE[], lambda x: x * 0.5), b.embedding::DOUBLE[])) d from embeddings a, embeddings b group by 1, 2) group by 1) select round(avg(w / (u + w)), 6) hopkins from w join u using (rep)",
+    "adjusted_information": """with t as (select label a, floor(embedding[1] * 20) b from embeddings), c as (select a, b, count(*)::DOUBLE k from t group by 1, 2), ra as (select a, sum(k) na from c group by 1), rb as (select b, sum(k) nb from c group by 1), s as (select sum(k) n from c),
+mi as (select sum(k / n * ln(n * k / (na * nb))) mi from c join ra using (a) join rb using (b), s), ha as (select -sum(na / n * ln(na / n)) h from ra, s), hb as (select -sum(nb / n * ln(nb / n)) h from rb, s),
+g as (select na, nb, n, unnest(generate_series(greatest(1, na + nb - n)::BIGINT, least(na, nb)::BIGINT)) k from ra, rb, s),
+chance as (select sum(k / n * ln(n * k / (na * nb)) * exp(lgamma(na + 1) + lgamma(nb + 1) + lgamma(n - na + 1) + lgamma(n - nb + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(na - k + 1) - lgamma(nb - k + 1) - lgamma(n - na - nb + k + 1))) e from g)
+select round((mi - e) / ((ha.h + hb.h) / 2 - e), 6) ami from mi, ha, hb, chance""",
+    "convex_hull": """with p as (select distinct label::VARCHAR set_id, embedding[1]::DOUBLE x, embedding[2]::DOUBLE y from embeddings),
+e as (select a.set_id, a.x, a.y, b.x - a.x dx, b.y - a.y dy from p a join p b on a.set_id = b.set_id and (a.x <> b.x or a.y <> b.y)),
+r as (select e.*, dx * (p.y - e.y) - dy * (p.x - e.x) side, dx * (p.x - e.x) + dy * (p.y - e.y) along from e join p using (set_id)),
+corners as (select set_id, x, y from r group by set_id, x, y, dx, dy having not bool_or(side < 0 or (side = 0 and (along < 0 or along > dx * dx + dy * dy)))),
+first as (select *, row_number() over (partition by set_id order by x, y) k from corners)
+select c.set_id, row_number() over (partition by c.set_id order by c.k > 1, atan2(c.y - f.y, c.x - f.x)) - 1 corner, c.x, c.y from first c join first f on f.set_id = c.set_id and f.k = 1""",
     "stratified_folds": "select vec_id, label::BIGINT as label, (row_number() over (partition by label order by vec_id) - 1) % 5 fold from embeddings",
 }
 
