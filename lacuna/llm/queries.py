@@ -6,12 +6,15 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lacuna.llm.conversation_repair import repair_digest
+from lacuna.llm.conversation_sql import REPAIR, TRIE
 from lacuna.llm.exact_topk import neighbour_digest
 from lacuna.llm.language_evidence import identified
 from lacuna.llm.minhash_dedup import near_duplicates
 from lacuna.llm.mixing import mix_digest
 from lacuna.llm.packing import packed
 from lacuna.llm.page_crf import extracted
+from lacuna.llm.prefix_trie import trie_digest
 from lacuna.llm.pseudonyms import pii_report
 from lacuna.llm.quality_rules import MEASURES, RULES, STOP_WORDS, rule_digest
 from lacuna.llm.quality_trees import score_digest
@@ -62,9 +65,17 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_earley_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digest(_table(spark, sf_dir, "conversations"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_digest(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     q.__name__: q
-    for q in (op1_html_crf, op2_pareto_mix, op3_best_fit_packing, op4_minhash_dedup, op5_pseudonyms, op6_exact_topk, op7_quality_rules, op8_stratified_shards, op9_language_evidence, op10_quality_trees)
+    for q in (op1_html_crf, op2_pareto_mix, op3_best_fit_packing, op4_minhash_dedup, op5_pseudonyms, op6_exact_topk, op7_quality_rules, op8_stratified_shards, op9_language_evidence, op10_quality_trees, op11_earley_repair, op13_prefix_trie)
 }
 
 _SQL_MIX = r"""with w as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT size, ('0x' || substr(md5('mix-1|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE u from documents),
@@ -107,4 +118,4 @@ _SQL_RULES = re.sub(r"div0\((\w+), (\w+)\)", r"(\1 / nullif(\2, 0))", _SQL_RULES
 
 #: The other operators have no SQL form (trained models, searches that depend on order, keyed hashes, CRC-32); tests/llm has their
 #: brute-force versions.
-ORACLE_SQL: dict[str, str] = {"op2_pareto_mix": _SQL_MIX, "op6_exact_topk": _SQL_TOP, "op7_quality_rules": _SQL_RULES}
+ORACLE_SQL: dict[str, str] = {"op2_pareto_mix": _SQL_MIX, "op6_exact_topk": _SQL_TOP, "op7_quality_rules": _SQL_RULES, "op11_earley_repair": REPAIR, "op13_prefix_trie": TRIE}
