@@ -42,6 +42,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows written to ``path`` in the shared folder and read again.
+
+    For rounds of joins: a checkpoint keeps the sizes Spark has estimated, which multiply from round to round, and a table has its own.
+    """
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of df is called so (in any case of letters)."""
     taken = {c.lower() for c in df.columns}
@@ -98,20 +107,21 @@ def table_bytes(df: DataFrame) -> int:
     return int(df.agg(F.coalesce(F.sum(sum(sizes, F.lit(16)).cast("long")), F.lit(0))).first()[0])
 
 
-def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", most: int = BROADCAST_BYTES, size: int | None = None) -> DataFrame:
     """``rows`` joined (null keys meet null keys) with ``table``, which has one row a key: a hot key never makes one large task.
 
     A table of at most ``most`` counted bytes is broadcast. A larger one goes along ``SALTS`` times, and the rows of each key are
     dealt over its copies. ``how`` is inner, left or left_semi; ``rows`` keeps its columns, ``table`` adds those that aren't keys.
+    Where the bytes of a saved table are known they are given as ``size``.
     """
-    table = saved(table)
+    table = saved(table) if size is None else table
     mine = {k: free_name(rows, f"_of_{k}") for k in keys}
     right = table.select(*[F.col(k).alias(mine[k]) if k in mine else F.col(k) for k in table.columns])
     match = None
     for k in keys:
         same = rows[k].eqNullSafe(right[mine[k]])
         match = same if match is None else match & same
-    if table_bytes(table) <= most:
+    if (table_bytes(table) if size is None else size) <= most:
         return rows.join(F.broadcast(right), match, how).drop(*mine.values())
     salt, other = free_name(rows, "_salt"), free_name(rows, "_salted")
     left = rows.withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))

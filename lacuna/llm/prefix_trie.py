@@ -20,6 +20,7 @@ conv_id belong to no conversation and are left out. Conversations without turns
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import looked_up, n_words, numbered, saved
+from lacuna.llm.common import looked_up, n_words, numbered, saved, shared_folder, written
 
 #: Rows of turns in a subtree from which on a task takes the whole subtree.
 SUBTREE = 50_000
@@ -70,54 +71,70 @@ def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def trie(ids: DataFrame, steps: DataFrame, subtree: int = SUBTREE, chunk: int = CHUNK) -> DataFrame:
     """The nodes over all conversations of ``ids`` (conv_id) with the turns ``steps`` (conv_id, depth from 1 without gaps, turn_sha, words)."""
+    spark = steps.sparkSession
+    folder = f"{shared_folder(spark)}/trie-{uuid.uuid4().hex}"
     steps = saved(steps)
     lengths = steps.groupBy("conv_id").agg(F.count("*").alias("turns"))
-    live = ids.distinct().join(lengths, "conv_id", "left").select("conv_id", F.coalesce("turns", F.lit(0)).alias("turns"))
-    top = live.agg(F.min("conv_id").alias("node"), F.count("*").alias("n_convs"), F.coalesce(F.sum("turns"), F.lit(0)).alias("rows")).where("n_convs > 0")
-    live = saved(live.crossJoin(top.select("node")))
-    level = saved(top.select("node", F.lit(None).cast("long").alias("parent"), "n_convs", F.lit(0).cast("long").alias("words"), "rows"))
-    large: list[tuple[DataFrame, DataFrame]] = []  # of each depth: nodes, and their conversations
-    below: list[DataFrame] = []  # of each depth: conversations whose subtree goes to a task, with what is known of its top
-    depth = 0
+    live = ids.distinct().join(lengths, "conv_id", "left").select("conv_id", F.coalesce("turns", F.lit(0)).cast("long").alias("turns"))
+    live = saved(live)
+    least, n_convs, n_turns = live.agg(F.min("conv_id"), F.count("*"), F.sum("turns")).first()
+    if not n_convs:
+        return spark.createDataFrame([], NODE)
+    top = [F.lit(least).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("words")]
+    live = live.select("conv_id", "turns", *top, (F.lit(n_turns) > subtree).alias("large"))
+    level = spark.range(1).select(*top, F.lit(n_convs).cast("long").alias("n_convs"))
+    large: list[DataFrame] = []  # the nodes of each depth that Spark handles
+    tops: list[DataFrame] = []  # conversations whose subtree goes to a task, with what is known of its top
+    ends: list[DataFrame] = []  # conversations that end at large nodes
+    n_large, n_small, n_ends = (int(n_turns > subtree), int(n_turns <= subtree), 1)
     while True:
-        small = level.where(F.col("rows") <= subtree)
-        tops = small.select("node", F.col("parent"), F.col("words").alias("top_words"))
-        below.append(looked_up(live, tops, ["node"]).select("conv_id", "node", "parent", "top_words", F.lit(depth).cast("long").alias("top_depth")))
-        level = level.where(F.col("rows") > subtree)
-        if not level.limit(1).count():
+        depth = len(large)
+        if n_small:
+            tops.append(live.where("not large").select("conv_id", "node", "parent", F.col("words").alias("top_words"), F.lit(depth).cast("long").alias("top_depth")))
+        if not n_large:
             break
-        live = looked_up(live, level.select("node"), ["node"], "left_semi")
-        large.append((level, live.where(F.col("turns") == depth).select("conv_id", "node")))
+        live = live.where("large")
+        large.append(level)
+        if n_ends:
+            ends.append(live.where(F.col("turns") == depth).select(F.lit(depth).cast("long").alias("depth"), "node", "conv_id"))
         depth += 1
-        on = live.where(F.col("turns") >= depth).join(steps.where(F.col("depth") == depth).select("conv_id", "turn_sha", "words"), "conv_id")
-        on = saved(on)
-        left = (F.col("turns") - depth + 1).cast("long")
-        groups = on.groupBy("node", "turn_sha").agg(F.min("conv_id").alias("child"), F.count("*").alias("n_convs"), F.max("words").alias("words"), F.sum(left).alias("rows"))
-        groups = saved(groups)
-        level = groups.select(F.col("child").alias("node"), F.col("node").alias("parent"), "n_convs", "words", "rows")
-        live = saved(looked_up(on, groups.select("node", "turn_sha", "child"), ["node", "turn_sha"]).select("conv_id", "turns", F.col("child").alias("node")))
-    done = saved(_subtrees(below, steps, subtree))
-    return _rolled_up(large, done, chunk)
-
-
-def _subtrees(below: list[DataFrame], steps: DataFrame, subtree: int) -> DataFrame:
-    """The nodes of all small subtrees, tops included, and for each top what it passes on."""
-    tops = below[0]
-    for more in below[1:]:
-        tops = tops.unionByName(more)
-    tops = saved(tops)
+        next_turns = steps.where(F.col("depth") == depth).select("conv_id", "turn_sha", F.col("words").alias("said"))
+        on = live.select("conv_id", "turns", "node").join(next_turns, "conv_id")
+        rows, ending = (F.col("turns") - depth + 1).cast("long"), F.when(F.col("turns") == depth, 1)
+        groups = on.groupBy("node", "turn_sha").agg(F.min("conv_id").alias("child"), F.count("*").alias("n_convs"), F.max("said").alias("words"), (F.sum(rows) > subtree).alias("large"), F.count(ending).alias("n_ends"))
+        groups = written(groups, f"{folder}/groups-{depth}")
+        count = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0))
+        n_all, n_large, n_ends = groups.agg(F.count("*"), count(F.col("large")), count(F.col("large") & (F.col("n_ends") > 0))).first()
+        n_small = n_all - n_large
+        level = groups.where("large").select(F.col("child").alias("node"), F.col("node").alias("parent"), "words", "n_convs")
+        found = looked_up(on.select("conv_id", "turns", "node", "turn_sha"), groups.select("node", "turn_sha", "child", "words", "large"), ["node", "turn_sha"], size=100 * n_all)
+        live = written(found.select("conv_id", "turns", F.col("child").alias("node"), F.col("node").alias("parent"), "words", "large"), f"{folder}/live-{depth}")
+    done = _subtrees(tops, steps, subtree)
+    return _rolled_up(large, saved(done), ends, chunk, folder) if large else done
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
+def _subtrees(tops: list[DataFrame], steps: DataFrame, subtree: int) -> DataFrame:
+    """The nodes of all small subtrees, their tops included."""
+    if not tops:
+        return steps.sparkSession.createDataFrame([], NODE)
     columns = ["conv_id", "node", "parent", "top_words", "top_depth"]
-    rows = tops.select(*columns, F.lit(None).cast("long").alias("depth"), F.lit(None).cast("binary").alias("turn_sha"), F.lit(0).cast("long").alias("words"))
-    deeper = tops.join(steps, "conv_id").where(F.col("depth") > F.col("top_depth"))
+    members = saved(_all(tops))
+    rows = members.select(*columns, F.lit(None).cast("long").alias("depth"), F.lit(None).cast("binary").alias("turn_sha"), F.lit(0).cast("long").alias("words"))
+    deeper = members.join(steps, "conv_id").where(F.col("depth") > F.col("top_depth"))
     rows = rows.unionByName(deeper.select(*columns, "depth", "turn_sha", "words"))
-    total = rows.count()
-    tasks = max(1, -(-total // subtree))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", "top_depth"), F.lit(tasks)))
+    tasks = max(1, -(-rows.count() // subtree))
 
     def build(table: pa.Table) -> pa.Table:
         return pa.Table.from_pandas(levels(table.to_pandas(integer_object_nulls=True)), schema=_NODE, preserve_index=False)
 
-    return rows.groupBy("part").applyInArrow(build, NODE)
+    return rows.withColumn("part", F.pmod(F.xxhash64("node", "top_depth"), F.lit(tasks))).groupBy("part").applyInArrow(build, NODE)
 
 
 def levels(rows: pd.DataFrame) -> pd.DataFrame:
@@ -178,31 +195,24 @@ def deep_of(deep: list[np.ndarray], starts: list[int], nodes: np.ndarray) -> np.
     return deep[-1][nodes - starts[-2]]
 
 
-def _rolled_up(large: list[tuple[DataFrame, DataFrame]], done: DataFrame, chunk: int) -> DataFrame:
-    """``done`` and the nodes of the large levels, from the deepest to the root."""
-    out = done
-    if not large:
-        return out
-    ends = None
-    for depth, (_, ending) in enumerate(large):
-        one = ending.withColumn("depth", F.lit(depth).cast("long"))
-        ends = one if ends is None else ends.unionByName(one)
-    hashes = saved(_hashed(ends, chunk))
-    deeper = None
+def _rolled_up(large: list[DataFrame], done: DataFrame, ends: list[DataFrame], chunk: int, folder: str) -> DataFrame:
+    """``done`` and the nodes of the large levels, from the deepest to the root, each written before the next reads it."""
+    spark = done.sparkSession
+    hashes = saved(_hashed(_all(ends), chunk)) if ends else spark.createDataFrame([], "depth long, node long, ends_sha256 string")
+    zero = lambda c, d=0: F.coalesce(F.col(c), F.lit(d).cast("long"))
+    children = done
     for depth in range(len(large) - 1, -1, -1):
-        level = large[depth][0]
-        children = done.where(F.col("depth") == depth + 1)
-        children = children if deeper is None else children.unionByName(deeper)
+        children = children.where(F.col("depth") == depth + 1)
+        if depth < len(large) - 1:
+            children = children.unionByName(done.where(F.col("depth") == depth + 1))
         sums = children.groupBy(F.col("parent_conv_id").alias("node")).agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("below"))
         ended = hashes.where(F.col("depth") == depth).select("node", "ends_sha256")
-        zero = lambda c, d=0: F.coalesce(F.col(c), F.lit(d).cast("long"))
-        deeper = level.join(sums, "node", "left").join(ended, "node", "left").select(
+        level = large[depth].join(sums, "node", "left").join(ended, "node", "left").select(
             F.col("node").alias("conv_id"), F.lit(depth).cast("long").alias("depth"), F.col("parent").alias("parent_conv_id"), "n_convs",
             zero("n_children").alias("n_children"), zero("n_leaves", 1).alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("words") + zero("below")).alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(EMPTY_SHA)).alias("ends_sha256"),
         )
-        deeper = saved(deeper)
-        out = out.unionByName(deeper)
-    return out
+        children = written(level, f"{folder}/nodes-{depth}")
+    return done.unionByName(spark.read.schema(NODE).parquet(*(f"{folder}/nodes-{d}" for d in range(len(large)))))
 
 
 def _hashed(ends: DataFrame, chunk: int) -> DataFrame:

@@ -19,6 +19,7 @@ from lacuna.llm.pseudonyms import pii_report
 from lacuna.llm.quality_rules import MEASURES, RULES, STOP_WORDS, rule_digest
 from lacuna.llm.quality_trees import score_digest
 from lacuna.llm.sharding import shard_digest
+from lacuna.llm.suffix_dedup import suffix_digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,13 +70,17 @@ def op11_earley_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digest(_table(spark, sf_dir, "conversations"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_digest(_table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_digest(_table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_html_crf, op2_pareto_mix, op3_best_fit_packing, op4_minhash_dedup, op5_pseudonyms, op6_exact_topk, op7_quality_rules, op8_stratified_shards, op9_language_evidence, op10_quality_trees, op11_earley_repair, op13_prefix_trie)
+    for q in (op1_html_crf, op2_pareto_mix, op3_best_fit_packing, op4_minhash_dedup, op5_pseudonyms, op6_exact_topk, op7_quality_rules, op8_stratified_shards, op9_language_evidence, op10_quality_trees, op11_earley_repair, op12_suffix_dedup, op13_prefix_trie)
 }
 
 _SQL_MIX = r"""with w as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT size, ('0x' || substr(md5('mix-1|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE u from documents),

@@ -180,6 +180,6 @@ def test_trie_of_given_tables_and_of_none(spark, sf):
 
 def test_trie_of_copies_and_long_texts_in_small_chunks(spark):
     rows = [(c, t, "user", ("long " * 50_000 if t == 1 else f"word {t}")) for c in range(20, 120) for t in range(3)]
-    rows += [(c, t, "user", f"{t}") for c in (400, 405) for t in range(90)]
+    rows += [(c, t, "user", f"{t}") for c in (400, 405) for t in range(40)]
     steps = prefix_trie.rebuilt(spark.createDataFrame(rows, SCHEMA))
     assert nodes(prefix_trie.trie(*steps, subtree=20, chunk=7)) == trie(rows)
