@@ -25,20 +25,25 @@ from pyspark.sql import functions as F
 from lacuna.llm.common import looked_up, n_words, saved
 
 CAPACITY = 2048
-PER_SOURCE = 4
+#: Of a bin's words a source may have this share, or so many times its share of the batch, before the bin is closed to it.
+LEAST_SHARE, SHARE_TIMES = 0.5, 2
 BATCH = 4096
 ALIKE = 64
 
 
-def best_fit(lengths: list[int], clusters: list[int | None], sources: list[int | None], capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> list[tuple[int, int]]:
-    """(bin, offset) of each piece, in the order given, which should be longest first. Clusters and sources are small numbers."""
-    bins: list[list[int]] = []  # for each bin: room, cluster bitmap, source bitmap
+def best_fit(lengths: list[int], clusters: list[int | None], sources: list[int | None], capacity: int = CAPACITY, per_source: int | None = None, shares: list[float] | None = None) -> list[tuple[int, int]]:
+    """(bin, offset) of each piece, in the order given, which should be longest first. Clusters and sources are small numbers.
+
+    ``shares`` has the words of a bin after which it is closed to each source.
+    """
+    bins: list[list] = []  # for each bin: room, cluster bitmap, source bitmap, words by source
     order: list[tuple[int, int]] = []  # (room, bin), in order of room
-    seats = (1 << per_source) - 1
+    width = per_source or 1
+    seats = (1 << width) - 1
     out = []
     for length, cluster, source in zip(lengths, clusters, sources, strict=True):
         own = 0 if cluster is None else 1 << cluster
-        full = 0 if source is None else seats << source * per_source
+        full = 0 if source is None or not (per_source or shares) else seats << source * width
         at = bisect_left(order, (length, -1))
         while at < len(order):
             held = bins[order[at][1]]
@@ -49,18 +54,32 @@ def best_fit(lengths: list[int], clusters: list[int | None], sources: list[int |
             b = order.pop(at)[1]
         else:
             b = len(bins)
-            bins.append([capacity, 0, 0])
+            bins.append([capacity, 0, 0, {}])
         held = bins[b]
         out.append((b, capacity - held[0]))
         held[0] -= length
         held[1] |= own
-        if full:
-            taken = (held[2] >> source * per_source) & seats
-            held[2] |= (taken + 1) << source * per_source
+        if full and per_source:
+            taken = (held[2] >> source * width) & seats
+            held[2] |= (taken + 1) << source * width
+        elif full:
+            held[3][source] = held[3].get(source, 0) + length
+            if held[3][source] >= shares[source]:
+                held[2] |= full
         insort(order, (held[0], b))
     return out
 
 
+def source_shares(lengths: list[int], sources: list[int | None], capacity: int = CAPACITY) -> list[float]:
+    """The words of a bin after which it is closed to each source, from what each has of all words."""
+    words: dict[int, int] = {}
+    for length, source in zip(lengths, sources, strict=True):
+        if source is not None:
+            words[source] = words.get(source, 0) + length
+    total = sum(lengths) or 1
+    return [capacity * min(1.0, max(LEAST_SHARE, SHARE_TIMES * words.get(k, 0) / total)) for k in range(max(words, default=-1) + 1)]
+
+
 def pieces(documents: DataFrame, capacity: int = CAPACITY, cluster: str | None = None) -> DataFrame:
     """doc_id, piece, start_word, n_words, source, cluster. ``cluster`` names a column; else equal texts are a cluster."""
     text = F.col("text").cast("string")
@@ -72,7 +91,7 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, cluster: str | None =
     return rows.select("doc_id", "piece", start.alias("start_word"), F.least(F.col("total") - start, F.lit(capacity)).alias("n_words"), "source", "cluster")
 
 
-def packed(documents: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, batch: int = BATCH, cluster: str | None = None) -> DataFrame:
+def packed(documents: DataFrame, capacity: int = CAPACITY, per_source: int | None = None, batch: int = BATCH, cluster: str | None = None) -> DataFrame:
     """doc_id, piece, start_word, n_words, source, cluster, bin, offset: where each piece of each document goes."""
     items = saved(pieces(documents, capacity, cluster))
     batches = max(1, -(-items.count() // batch))
@@ -88,7 +107,8 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, per_source: int = PER
         clusters = pd.factorize(rows["cluster"].where(size > 1))[0].tolist()
         sources = pd.factorize(rows["source"])[0].tolist()
         none = lambda codes: [None if c < 0 else c for c in codes]
-        found = best_fit(rows["n_words"].tolist(), none(clusters), none(sources), capacity, per_source)
+        lengths, sources = rows["n_words"].tolist(), none(sources)
+        found = best_fit(lengths, none(clusters), sources, capacity, per_source, None if per_source else source_shares(lengths, sources, capacity))
         first = int(rows["batch"].iloc[0]) << 24
         return rows.drop(columns="batch").assign(bin=[first + b for b, _ in found], offset=[o for _, o in found])
 
