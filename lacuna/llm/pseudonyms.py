@@ -4,19 +4,22 @@ Numbers and dates are recognised by pattern, validated, and mapped to another va
 keeps its length, spacing, first digit and a right check digit; an IBAN its country, spacing, letters and right check digits; a
 telephone number a possible area and exchange, or behind a plus its country's code and length; a social security number a possible
 area, group and serial; an address of IP version 4 four octets, one of version 6 in full eight groups; a date, year first or
-last, stays a day of the same 400 years. Each kind is a permutation of its values under the key, so equal values stay linked
+last, with one-digit days or the month's English name, stays a day of the same 400 years (1800-2199, those before, and so on;
+only before the year 200 and after 9799 dates stay), and a time behind it stays. Each kind is a permutation of its values under the key, so equal values stay linked
 across documents and different ones apart. What only looks alike (a wrong check digit, 31 April, an octet of 300) is left as it is.
 
 A value is a pair (a, b) of numbers below A and B; round r makes it (b, (a + f(r, b)) mod A) with the sizes exchanged, f being
 48 bits of a keyed SHA-256. ``ROUNDS`` is even, so the sizes are back in place.
 
-E-mail addresses and secrets (access keys, values of ``password=`` or ``token =``) have no numeric form. They become keyed
-digests of the same length and alphabet, which link alike. Empty and null texts stay as they are; every row and column
+E-mail addresses are permuted letter by letter: the two halves of the local part, and of the host's name, shift each other's letters
+and digits in turn by a keyed digest, so addresses of equal form stay apart. Secrets (access keys, values of ``password=`` or
+``token =``; behind a bare colon only what has a digit or a capital inside, since words may follow a colon) have no form to keep
+but their length. They become keyed digests, which link alike. Empty and null texts stay as they are; every row and column
 is kept, and repeated rows give repeated results. No pattern repeats a group without bound, so a text of any length is matched
 in one walk and without recursion. Addresses of version 6 with ``::`` are left as they are.
 
 The key comes from the caller, or with ``session_key`` from the session's setting ``KEY_SETTING``. Who has it can undo the numbers;
-``TEST_KEY``, which stands in where nothing is set, is public.
+``TEST_KEY``, which stands in where a local session sets nothing, is public.
 """
 
 from __future__ import annotations
@@ -31,9 +34,12 @@ TEST_KEY = "pseudonym-key-1"
 ROUNDS = 8
 
 _L, _R = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
+#: The months, and the country codes of two digits (1 and 7 have one, all others three).
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+TWO_DIGIT_CODES = (20, 27, 30, 31, 32, 33, 34, 36, 39, 40, 41, 43, 44, 45, 46, 47, 48, 49, 51, 52, 53, 54, 55, 56, 57, 58, 60, 61, 62, 63, 64, 65, 66, 81, 82, 84, 86, 90, 91, 92, 93, 94, 95, 98)
 #: (kind, pattern). The first that matches at a place counts.
 PATTERNS = (
-    ("secret", r"(?i:(?:password|passwd|pwd|secret|token|api_?key)\x20?[=:]\x20?[\"']?)[0-9A-Za-z_+/\-]{8,}+"),
+    ("secret", r"(?i:(?:password|passwd|pwd|secret|token|api_?key)\x20?)(?:=\x20?[\"']?|:\x20?(?:[\"']|(?=[A-Za-z_+/\-]*+[0-9]|[A-Z_+/\-]*+[a-z_+/\-]++[A-Z])))[0-9A-Za-z_+/\-]{8,}+"),
     ("access_key", _L + r"AKIA[0-9A-Z]{16}" + _R),
     ("email", r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z._%+-]++@[0-9A-Za-z.-]*(?<=[0-9A-Za-z-])\.[A-Za-z]{2,}+"),
     ("iban", _L + r"[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}+|(?:\x20[0-9A-Z]{4}){2,7}+(?:\x20[0-9A-Z]{1,3}+)?+)" + _R),
@@ -42,15 +48,18 @@ PATTERNS = (
     ("ssn", _L + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _R),
     ("ip", r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])"),
     ("ip6", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
-    ("date", _L + r"[0-9]{4}-[0-9]{2}-[0-9]{2}" + _R),
+    ("date", _L + r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:" + _R + r"|(?=T[0-9]{2}:[0-9]{2}))"),
     ("late_year", r"(?<![0-9A-Za-z./])[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)[0-9]{4}(?![./]?[0-9A-Za-z])"),
+    ("short_date", r"(?<![0-9A-Za-z./])[0-9]{1,2}(?:\.[0-9]{1,2}\.|/[0-9]{1,2}/)[0-9]{4}(?![./]?[0-9A-Za-z])"),
+    ("named_month", _L + r"(?:[0-9]{1,2}\x20(?:" + "|".join(MONTHS) + r")\x20[0-9]{4}|(?:" + "|".join(MONTHS) + r")\x20[0-9]{1,2},\x20[0-9]{4})" + _R),
     ("card", _L + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _R),
 )
 ANY = "|".join(p for _, p in PATTERNS)
 #: What each of the patterns needs somewhere: a text without it is left alone, without a walk for each pattern.
 NEEDED = "[0-9@=:]|AKIA[A-Z]"
-#: The 400 years from 1800 on have 146097 = 189 * 773 days.
+#: The 400 years from 1800 on have 146097 = 189 * 773 days, and so have all others; days from the year 200 to 9799.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
+CYCLES = (-4, 19)
 
 
 def _digest(key: str, *parts: Column | str) -> Column:
@@ -131,12 +140,14 @@ def _iban(key: str, m: Column) -> Column:
 
 
 def _world_phone(key: str, m: Column) -> Column:
-    digits = _digits(m)
-    code = F.length(_digits(F.regexp_extract(m, r"^\+([0-9]{1,3})", 1)))
-    code = F.least(code, F.lit(2))
+    """The country's code stays, and so does a zero in brackets, which is no part of the number from abroad."""
+    shape = F.replace(m, F.lit("(0)"), F.lit("(#)"))
+    digits = _digits(shape)
+    first = F.substr(digits, F.lit(1), F.lit(2))
+    code = F.when(first.startswith("7"), 1).when(first.isin(*map(str, TWO_DIGIT_CODES)), 2).otherwise(3)
     number = F.substr(digits, code + 1, F.length(digits) - code)
-    new = _refill(m, F.concat(F.substr(digits, F.lit(1), code), _decimal(key, "world_phone", number)))
-    return F.when(F.length(digits).between(9, 15), new).otherwise(m)
+    new = _refill(shape, F.concat(F.substr(digits, F.lit(1), code), _decimal(key, "world_phone", number)))
+    return F.when(F.length(digits).between(9, 15), F.replace(new, F.lit("(#)"), F.lit("(0)"))).otherwise(m)
 
 
 def _ip6(key: str, m: Column) -> Column:
@@ -196,9 +207,54 @@ def _ip(key: str, m: Column) -> Column:
 
 def _date(key: str, m: Column) -> Column:
     day = F.datediff(F.try_to_date(m, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
-    moved = _number(key, "date", day.cast("long"), F.lit(DAYS[0]), F.lit(DAYS[1]))
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), moved.cast("int")).cast("string")
-    return F.when(day.between(0, DAYS[0] * DAYS[1] - 1), new).otherwise(m)
+    cycle = F.floor(day / (DAYS[0] * DAYS[1]))
+    moved = _number(key, "date", F.pmod(day, F.lit(DAYS[0] * DAYS[1])).cast("long"), F.lit(DAYS[0]), F.lit(DAYS[1]))
+    new = F.date_add(F.lit(FIRST_DAY).cast("date"), (moved + cycle * (DAYS[0] * DAYS[1])).cast("int")).cast("string")
+    return F.when(cycle.between(*CYCLES), new).otherwise(m)
+
+
+def _short_date(key: str, m: Column) -> Column:
+    """Like ``_late_year``, for days or months of one digit; what begins with a zero or is below ten with one digit is written so again."""
+    part = lambda k: F.regexp_extract(m, r"^([0-9]+)([./])([0-9]+)[./]([0-9]+)$", k)
+    two = lambda x: F.lpad(x, 2, "0")
+    bare = lambda x: x.cast("int").cast("string")
+    day_first, month_first = F.concat_ws("-", part(4), two(part(3)), two(part(1))), F.concat_ws("-", part(4), two(part(1)), two(part(3)))
+    ok = F.try_to_date(day_first, "yyyy-MM-dd").isNotNull()
+    given = F.when(ok, day_first).otherwise(month_first)
+    day, month = (lambda x: bare(F.substr(x, F.lit(9), F.lit(2)))), (lambda x: bare(F.substr(x, F.lit(6), F.lit(2))))
+    new = F.transform(F.array(_date(key, given)), lambda x: F.concat(F.when(ok, day(x)).otherwise(month(x)), part(2), F.when(ok, month(x)).otherwise(day(x)), part(2), F.substr(x, F.lit(1), F.lit(4))))[0]
+    return F.when(F.try_to_date(given, "yyyy-MM-dd").isNotNull(), new).otherwise(m)
+
+
+def _named_month(key: str, m: Column) -> Column:
+    months = F.array(*map(F.lit, MONTHS))
+    month = F.array_position(months, F.regexp_extract(m, "[A-Z][a-z]+", 0)).cast("string")
+    day, year = F.regexp_extract(m, r"\b([0-9]{1,2})\b", 1), F.regexp_extract(m, "[0-9]{4}", 0)
+    given = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+    name = lambda x: F.element_at(months, F.substr(x, F.lit(6), F.lit(2)).cast("int"))
+    number = lambda x: F.substr(x, F.lit(9), F.lit(2)).cast("int").cast("string")
+    late = lambda x: F.substr(x, F.lit(1), F.lit(4))
+    new = F.transform(F.array(_date(key, given)), lambda x: F.when(m.rlike("^[0-9]"), F.concat_ws(" ", number(x), name(x), late(x))).otherwise(F.concat(name(x), F.lit(" "), number(x), F.lit(", "), late(x))))[0]
+    return F.when(F.try_to_date(given, "yyyy-MM-dd").isNotNull(), new).otherwise(m)
+
+
+def _written(key: str, kind: str, value: Column) -> Column:
+    """The lower-case letters and digits of ``value`` permuted, each staying a letter or a digit: two halves shift each other in turn."""
+    characters = F.filter(F.split(value, ""), lambda c: c != "")
+    half = lambda c: F.floor(F.size(c) / 2).cast("int")
+    start = F.transform(F.array(characters), lambda c: F.struct(F.slice(c, F.lit(1), half(c)).alias("a"), F.slice(c, half(c) + 1, F.size(c) - half(c)).alias("b")))[0]
+
+    def shifted(c: Column, by: Column) -> Column:
+        turned = lambda first, n: F.char(F.pmod(F.ascii(c) - first + by, F.lit(n)) + first)
+        return F.when(c.between("a", "z"), turned(97, 26)).when(c.between("0", "9"), turned(48, 10)).otherwise(c)
+
+    def turn(s: Column, r: Column) -> Column:
+        bytes_ = F.repeat(_digest(key, kind, r, F.array_join(s["b"], "")), F.ceil(F.size(s["a"]) / 32).cast("int") + 1)
+        moved = F.transform(F.arrays_zip(s["a"].alias("c"), F.sequence(F.lit(0), F.size(s["a"])).alias("i")), lambda x: F.when(x["c"].isNotNull(), shifted(x["c"], F.conv(F.substr(bytes_, x["i"] * 2 + 1, F.lit(2)), 16, 10).cast("int"))))
+        return F.struct(s["b"].alias("a"), F.filter(moved, lambda c: c.isNotNull()).alias("b"))
+
+    out = F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), start, turn)
+    return F.transform(F.array(out), lambda s: F.concat(F.array_join(s["a"], ""), F.array_join(s["b"], "")))[0]
 
 
 def _alike(key: str, kind: str, value: Column) -> Column:
@@ -210,8 +266,7 @@ def _alike(key: str, kind: str, value: Column) -> Column:
 def _email(key: str, m: Column) -> Column:
     local, host = F.split(F.lower(m), "@")[0], F.split(F.lower(m), "@")[1]
     name = F.regexp_extract(host, r"^(.*)(\.[a-z]+)$", 1)
-    letters = lambda x: F.translate(x, "0123456789", "ghijklmnop")
-    return F.concat(letters(_alike(key, "email", local)), F.lit("@"), letters(_alike(key, "host", name)), F.regexp_extract(host, r"(\.[a-z]+)$", 1))
+    return F.concat(_written(key, "email", local), F.lit("@"), _written(key, "host", name), F.regexp_extract(host, r"(\.[a-z]+)$", 1))
 
 
 def _secret(key: str, m: Column) -> Column:
@@ -223,7 +278,7 @@ def _access_key(key: str, m: Column) -> Column:
     return F.concat(F.lit("AKIA"), F.upper(_alike(key, "access_key", F.substr(m, F.lit(5), F.lit(16)))))
 
 
-_MAKERS = {"secret": _secret, "access_key": _access_key, "email": _email, "iban": _iban, "phone": _phone, "world_phone": _world_phone, "ssn": _ssn, "ip": _ip, "ip6": _ip6, "date": _date, "late_year": _late_year, "card": _card}
+_MAKERS = {"secret": _secret, "access_key": _access_key, "email": _email, "iban": _iban, "phone": _phone, "world_phone": _world_phone, "ssn": _ssn, "ip": _ip, "ip6": _ip6, "date": _date, "late_year": _late_year, "short_date": _short_date, "named_month": _named_month, "card": _card}
 
 
 def _renamed(key: str, m: Column) -> Column:
@@ -235,8 +290,11 @@ def _renamed(key: str, m: Column) -> Column:
 
 
 def session_key(spark: SparkSession) -> str:
-    """The key that the session's setting ``KEY_SETTING`` gives; ``TEST_KEY`` where there is none."""
-    return spark.conf.get(KEY_SETTING, TEST_KEY)
+    """The key that the session's setting ``KEY_SETTING`` gives; without one a local session takes ``TEST_KEY``, and a cluster's fails."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {KEY_SETTING}: the key that stands in without it is public")
+    return key or TEST_KEY
 
 
 def pseudonymised(documents: DataFrame, key: str, column: str = "text", count: str | None = None) -> DataFrame:
