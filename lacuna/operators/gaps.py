@@ -1,85 +1,51 @@
 """Local gaps of the merges of a spanning tree, and the groups that cutting them leaves.
 
 Going up the tree's edges by length, a merge of two groups of at least ``min_group`` points has a gap: the edge's length over
-the median distance-to-the-k-th-neighbour around it. The tree and the neighbours are Spark jobs over all pairs; the fold over
-the n - 1 edges of a set, which only needs the sizes of the groups it joins, is a small grouped function.
+the median distance-to-the-k-th-neighbour around it. The tree and the neighbours are Spark jobs over all pairs; the sizes of the
+groups that its edges join come from the dendrogram, which is made in blocks of edges.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.operators.graph import components, ranked_edges
+from lacuna.operators.dendrogram import PART, dendrogram
+from lacuna.operators.graph import components
 from lacuna.operators.neighbors import K, kth_radius
+from lacuna.operators.ranges import range_medians
 
 MIN_GROUP = 10
 
 
-def merge_sizes(u: list[int], v: list[int]) -> list[tuple[int, int]]:
-    """For edges in order: the sizes of the two groups that each one joins."""
-    parent: dict[int, int] = {}
-    size: dict[int, int] = {}
+def merges(tree: DataFrame, part: int = PART) -> DataFrame:
+    """The edges with their rank e and the sizes size_a and size_b of the groups they join, and the group's smallest id, ``first``."""
+    return dendrogram(tree, part)[0].select("set_id", "u", "v", "w", "e", "size_a", "size_b", "first")
 
-    def root(i: int) -> int:
-        parent.setdefault(i, i)
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
 
-    out = []
-    for a, b in zip(u, v, strict=True):
-        a, b = root(a), root(b)
-        n, m = size.get(a, 1), size.get(b, 1)
-        out.append((n, m))
-        parent[max(a, b)] = min(a, b)
-        size[min(a, b)] = n + m
-    return out
-
-
-def merges(tree: DataFrame) -> DataFrame:
-    """The edges with their rank e and the sizes size_a and size_b of the groups they join."""
-
-    def fold(edges: pd.DataFrame) -> pd.DataFrame:
-        edges = edges.sort_values(["w", "u", "v"]).reset_index(drop=True)
-        sizes = merge_sizes(edges["u"].tolist(), edges["v"].tolist())
-        return edges.assign(size_a=[a for a, _ in sizes], size_b=[b for _, b in sizes])
-
-    return ranked_edges(tree).groupBy("set_id").applyInPandas(fold, "set_id string, u long, v long, w double, e int, size_a long, size_b long")
-
-
-def gap_tree(tree: DataFrame, neighbors: DataFrame, k: int = K, min_group: int = MIN_GROUP, norm: str = "local") -> DataFrame:
+def gap_tree(tree: DataFrame, neighbors: DataFrame, k: int = K, min_group: int = MIN_GROUP, norm: str = "local", part: int = PART) -> DataFrame:
     """(set_id, u, v, w, e, gap) of every merge of two groups of at least ``min_group`` points.
 
     ``norm="local"``: median over the k nearest of both ends, themselves included. ``norm="group"``: over all members of both
-    groups, the older measure; its members come from the components of the shorter edges.
+    groups, the older measure; they stand next to each other in the dendrogram's order, so each median is one over a range.
     """
-    big = merges(tree).where((F.col("size_a") >= min_group) & (F.col("size_b") >= min_group)).select("set_id", "u", "v", "w", "e")
+    joins, places = dendrogram(tree, part)
+    big = joins.where((F.col("size_a") >= min_group) & (F.col("size_b") >= min_group))
     rk = kth_radius(neighbors, k)
     if norm == "local":
         near = neighbors.where(F.col("rank") <= k).select("set_id", F.col("i").alias("end"), F.col("j").alias("id"))
         near = near.unionByName(rk.select("set_id", F.col("id").alias("end"), "id"))
         ends = big.select("set_id", "e", F.col("u").alias("end")).unionByName(big.select("set_id", "e", F.col("v").alias("end")))
         around = ends.join(near, ["set_id", "end"]).select("set_id", "e", "id").distinct()
+        scale = around.join(rk, ["set_id", "id"]).groupBy("set_id", "e").agg(F.median("rk").alias("scale"))
     else:
-        around = _members(tree, big)
-    scale = around.join(rk, ["set_id", "id"]).groupBy("set_id", "e").agg(F.median("rk").alias("scale"))
+        values = places.join(rk, ["set_id", "id"]).select("set_id", "place", F.col("rk").alias("x"))
+        first = places.select("set_id", F.col("id").alias("first"), "place")
+        spans = big.join(first, ["set_id", "first"]).select("set_id", F.col("e").cast("long").alias("e"), F.col("place").alias("lo"), (F.col("place") + F.col("size_a") + F.col("size_b")).alias("hi"))
+        scale = range_medians(values, spans).withColumnRenamed("median", "scale")
     return big.join(scale, ["set_id", "e"]).select("set_id", "u", "v", "w", "e", (F.col("w") / F.col("scale")).alias("gap"))
 
 
-def _members(tree: DataFrame, big: DataFrame) -> DataFrame:
-    """(set_id, e, id): the points of both groups that each large merge joins. One labelling over (merge, shorter edges)."""
-    edges = ranked_edges(tree)
-    upto = big.select("set_id", F.col("e").alias("m"), F.col("u").alias("mu")).join(edges, "set_id").where("e <= m")
-    tagged = upto.withColumn("set_id", F.concat_ws("|", "set_id", "m"))
-    ends = tagged.select("set_id", F.col("u").alias("id")).unionByName(tagged.select("set_id", F.col("v").alias("id"))).distinct()
-    labels = components(ends, tagged.select("set_id", "u", "v"))
-    own = upto.select(F.concat_ws("|", "set_id", "m").alias("tag"), "set_id", "m", "mu").distinct()
-    named = own.join(labels.select(F.col("set_id").alias("tag"), F.col("id").alias("mu"), "comp"), ["tag", "mu"])
-    return named.join(labels.select(F.col("set_id").alias("tag"), "id", "comp"), ["tag", "comp"]).select("set_id", F.col("m").alias("e"), "id")
-
-
 def max_gap(sets: DataFrame, gaps: DataFrame) -> DataFrame:
     """(set_id, max_gap): 0 where no merge has a gap."""
     top = gaps.groupBy("set_id").agg(F.max("gap").alias("max_gap"))

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.operators.gaps import MIN_GROUP, merge_sizes
+from lacuna.operators.dendrogram import merge_sizes
+from lacuna.operators.gaps import MIN_GROUP
 from lacuna.operators.neighbors import K, OFFSET
 
 SHAPES = ("uniform", "gauss", "exponential")
