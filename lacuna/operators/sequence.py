@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.operators.quantiles import exact_quantiles
+
 
 def previous_label(df: DataFrame, label: str, by: list[str], order: list[str], name: str = "prev") -> DataFrame:
     """The label before, or START."""
@@ -56,10 +58,10 @@ def rank_quartile(df: DataFrame, by: list[str], order: list[str], name: str = "r
 
 
 def value_tertile(df: DataFrame, value: str, name: str = "tertile") -> DataFrame:
-    """1 to 3 by value: cut at the thirds' quantiles, ties together, upper bounds inclusive. The two cuts are one small row."""
-    cuts = df.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_cuts"))
-    place = F.when(F.col(value) <= F.col("_cuts")[0], 1).when(F.col(value) <= F.col("_cuts")[1], 2).when(F.col(value).isNotNull(), 3)
-    return df.crossJoin(F.broadcast(cuts)).withColumn(name, place).drop("_cuts")
+    """1 to 3 by value: cut at the thirds' exact quantiles, ties together, upper bounds inclusive; null: null."""
+    low, high = exact_quantiles(df, F.col(value), [1 / 3, 2 / 3])
+    place = F.when(F.col(value) <= F.lit(low), 1).when(F.col(value) <= F.lit(high), 2).when(F.col(value).isNotNull(), 3)
+    return df.withColumn(name, place)
 
 
 def islands(df: DataFrame, by: list[str], frame: str, gap: Column | float, name: str = "island") -> DataFrame:

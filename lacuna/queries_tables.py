@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.operators import scores, sequence, tracks
+from lacuna.operators.quantiles import exact_quantiles
 from lacuna.plans import context
 from lacuna.sources import tables
 from lacuna.streaming.sessions import session_events
@@ -179,7 +180,8 @@ def percentiles_exact(spark, sf_dir):
 
 def exploded_quantile_band(spark, sf_dir):
     x = _t(spark, sf_dir, "embeddings").select(F.explode(F.col("embedding").cast("array<double>")).alias("x"))
-    return x.agg(_r(F.percentile("x", F.lit(0.01))).alias("lo"), _r(F.percentile("x", F.lit(0.99))).alias("hi"))
+    low, high = exact_quantiles(x, F.col("x"), [0.01, 0.99])
+    return spark.range(1).select(_r(F.lit(low)).alias("lo"), _r(F.lit(high)).alias("hi"))
 
 
 def nan_skipping_percentiles(spark, sf_dir):
