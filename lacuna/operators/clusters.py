@@ -193,6 +193,61 @@ def grouped_folds(df: DataFrame, group: str, folds: int = 5, name: str = "fold")
     return df.withColumn(name, F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(folds)).cast("int"))
 
 
+def _dealt_greedily(rows: pd.DataFrame, folds: int) -> pd.DataFrame:
+    """A fold for each group (grp, labels, counts), largest first: the one where it adds least to the squared shares of its labels.
+
+    Rows with a ``fold`` are there already. ``totals`` has each label's rows in all.
+    """
+    have = np.zeros((folds, 0))
+    column: dict = {}
+
+    def at(labels: list) -> list[int]:
+        nonlocal have
+        for x in labels:
+            column.setdefault(x, len(column))
+        if len(column) > have.shape[1]:
+            have = np.concatenate([have, np.zeros((folds, len(column) - have.shape[1]))], axis=1)
+        return [column[x] for x in labels]
+
+    for row in rows[rows["fold"] >= 0].itertuples(index=False):
+        where = at(row.labels)
+        have[row.fold, where] += np.asarray(row.counts) * row.part
+    todo = rows[rows["fold"] < 0].assign(n=lambda d: d["counts"].map(sum)).sort_values(["n", "grp"], ascending=[False, True])
+    out = []
+    for row in todo.itertuples(index=False):
+        where, counts, totals = at(row.labels), np.asarray(row.counts, float), np.asarray(row.totals, float)
+        cost = ((2 * have[:, where] * counts + counts**2) / totals**2).sum(axis=1)
+        fold = int(np.lexsort((np.arange(folds), have.sum(axis=1), cost))[0])
+        have[fold, where] += counts
+        out.append(fold)
+    return pd.DataFrame({"grp": todo["grp"], "fold": np.array(out, np.int32)})
+
+
+def stratified_group_folds(df: DataFrame, group: str, label: str, folds: int = 5, name: str = "fold", batch: int = 10_000) -> DataFrame:
+    """A fold from 0 on for each row: a group is in one fold only, and each fold has about its share of each label's rows.
+
+    The table of rows by group and label is dealt greedily, largest groups first. Groups of at least 1 / (20 * folds) of all rows, of
+    which there are few, go first; the others follow in batches of about ``batch`` groups, in a task each, which start from an equal
+    part of what the large ones left uneven. Where there are as many groups as folds, no fold is empty. Null is a group and a label.
+    """
+    text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731  null apart from the empty text
+    cells = cut(df.groupBy(text(group).alias("grp"), text(label).alias("label")).agg(F.count("*").alias("n")))
+    totals = cells.groupBy("label").agg(F.sum("n").alias("total"))
+    groups = cells.join(totals, "label").groupBy("grp").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("label", "n", "total"))).alias("c"))
+    groups = cut(groups.select("grp", "size", F.col("c.label").alias("labels"), F.col("c.n").alias("counts"), F.col("c.total").alias("totals"), F.lit(-1).alias("fold"), F.lit(1.0).alias("part")))
+    n, rows = groups.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    batches = max(1, -(-n // batch))
+    large = F.col("size") * (20 * folds) >= rows
+    deal = lambda t: _dealt_greedily(t, folds)
+    first = cut(groups.where(large).withColumn("b", F.lit(0)).groupBy("b").applyInPandas(deal, "grp string, fold int"))
+    there = groups.drop("fold", "part").join(first, "grp").select("grp", "size", "labels", "counts", "totals", "fold", F.lit(1.0 / batches).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("b"))
+    small = groups.where(~large).withColumn("b", F.pmod(F.xxhash64("grp"), F.lit(batches)).cast("int"))
+    found = first.unionByName(small.unionByName(there).groupBy("b").applyInPandas(deal, "grp string, fold int"))
+    key = "_group_of_fold"
+    found = found.select(F.col("grp").alias(key), F.col("fold").alias(name))
+    return df.withColumn("_g", text(group)).join(found, F.col("_g") == F.col(key)).select(*df.columns, name)
+
+
 def out_of_fold(df: DataFrame, features: str, label: str, folds: int = 5, fold: str = "fold", strength: float = 1.0) -> DataFrame:
     """df with ``predicted``: each fold by a class-balanced multinomial logistic regression fitted on the others."""
     from pyspark.ml.classification import LogisticRegression

@@ -119,10 +119,10 @@ def symmetric_graph(neighbors: DataFrame) -> DataFrame:
 
 
 def intrinsic_dim(neighbors: DataFrame, k: int = K) -> DataFrame:
-    """(set_id, d_hat): maximum-likelihood dimension, inverse of the mean over points of mean log distance ratios."""
+    """(set_id, d_hat): maximum-likelihood dimension, inverse of the mean over points of mean log distance ratios; null where all ratios are 1."""
     far = neighbors.withColumn("t", F.col("d") + LOG_OFFSET).withColumn("tk", F.max("t").over(Window.partitionBy("set_id", "i")))
     per_point = far.where(F.col("rank") < k).groupBy("set_id", "i").agg((F.sum(F.ln(F.col("tk") / F.col("t"))) / (k - 1)).alias("m"))
-    return per_point.groupBy("set_id").agg((1 / F.avg("m")).alias("d_hat"))
+    return per_point.groupBy("set_id").agg(F.try_divide(F.lit(1.0), F.avg("m")).alias("d_hat"))
 
 
 def null_dims(dims: DataFrame, max_dim: int = 10) -> DataFrame:

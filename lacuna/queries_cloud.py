@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.checkpoints import cut
-from lacuna.operators import clusters, density, gaps, geometry, graph, neighbors, nulls, scores, signal, synth
+from lacuna.operators import clusters, density, gaps, geometry, graph, neighbors, nulls, scores, signal, synth, umap
 from lacuna.operators.gate import decide, gap_test
 from lacuna.operators.synth import known_case, repertoire
 from lacuna.plans import detection, repertoires
@@ -193,9 +193,34 @@ def group_relative_gaps(spark, sf_dir):
     return gaps.gap_tree(tree, near, norm="group").select("u", "v", "gap")
 
 
+def _dense_clusters(cloud: DataFrame) -> DataFrame:
+    """Density clusters of at least ten points, or a hundredth of all."""
+    size = max(10, int(0.01 * cloud.count()))
+    return clusters.hdbscan(cloud, neighbors.knn(cloud, size - 1), size)
+
+
 def hdbscan(spark, sf_dir):
+    return _dense_clusters(cut(_typed(spark, sf_dir)))
+
+
+def umap_layout(spark, sf_dir):
+    """Places in the plane that keep neighbours near."""
+    found = umap.umap(_typed(spark, sf_dir))
+    return found.select("id", _r(F.col("z")[0], 4).alias("x"), _r(F.col("z")[1], 4).alias("y"))
+
+
+def umap_neighbours_kept(spark, sf_dir):
+    """The share of each point's 15 nearest that stay so, in the layout and on the first two principal components it begins with."""
     cloud = cut(_typed(spark, sf_dir))
-    return clusters.hdbscan(cloud, neighbors.knn(cloud))
+    near = cut(neighbors.knn(cloud))
+    start = cut(umap.start_from_components(cloud))
+    layouts = {"components": start, "umap": umap.layout(umap.fuzzy_graph(near), start)}
+    out = [umap.neighbours_kept(near, neighbors.knn(z)).select(F.lit(name).alias("layout"), "kept") for name, z in layouts.items()]
+    return out[0].unionByName(out[1])
+
+
+def hdbscan_umap(spark, sf_dir):
+    return _dense_clusters(cut(umap.umap(_typed(spark, sf_dir))))
 
 
 def gmm_bic(spark, sf_dir):
@@ -233,6 +258,11 @@ def hopkins(spark, sf_dir):
     return geometry.hopkins_test(clusters.pca(_cloud(spark, sf_dir), 2))
 
 
+def hopkins_in_space(spark, sf_dir):
+    """On three principal components, against points of their hull."""
+    return geometry.hopkins_test(clusters.pca(_cloud(spark, sf_dir), 3))
+
+
 def adjusted_information(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.floor(F.col("embedding")[0] * 20).alias("other"))
     return scores.adjusted_information(df, "label", "other").select(_r("ami").alias("ami"))
@@ -272,6 +302,12 @@ def grouped_folds(spark, sf_dir):
     return clusters.grouped_folds(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label"), "label")
 
 
+def stratified_group_folds(spark, sf_dir):
+    """Events of a user share a fold, and each fold has its part of each type of event."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+    return clusters.stratified_group_folds(events, "user_id", "event_type")
+
+
 def logistic_out_of_fold(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("z"), F.col("label").cast("string").alias("label"))
     folded = clusters.stratified_folds(df, "label", ["vec_id"], 3)
@@ -328,6 +364,6 @@ QUERIES = {
     for f in (
         pairwise_distance, knn_k15, kth_nn_radius, knn_graph_symmetric, intrinsic_dim, null_dims, global_rms_scale, cross_nearest, mst_edges, gap_merges, max_gap, top_k_gaps, fixed_threshold_types, cut_groups, array_union_median,
         dbscan_core_points, knn_vote, threshold_given_nulls, pvalue_given_nulls, n_types_given_nulls, shape_invariance_ratio, hopkins_given_points, gate, gate_many_sets, gate_known_clusters, null_table, group_relative_gaps, hdbscan, gmm_bic, prominences, silverman,
-        synthetic_repertoires, repertoire_cloud, convex_hull, hopkins, adjusted_information, detected_calls, call_images, power_by_bin, file_profile, pca_cloud, stratified_folds, grouped_folds, logistic_out_of_fold,
+        synthetic_repertoires, repertoire_cloud, convex_hull, hopkins, adjusted_information, detected_calls, call_images, power_by_bin, file_profile, pca_cloud, stratified_folds, grouped_folds, stratified_group_folds, logistic_out_of_fold, umap_layout, umap_neighbours_kept, hdbscan_umap, hopkins_in_space,
     )
 }
