@@ -111,7 +111,7 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "in
     """``rows`` joined (null keys meet null keys) with ``table``, which has one row a key: a hot key never makes one large task.
 
     A table of at most ``most`` counted bytes is broadcast. A larger one goes along ``SALTS`` times, and the rows of each key are
-    dealt over its copies. ``how`` is inner, left or left_semi; ``rows`` keeps its columns, ``table`` adds those that aren't keys.
+    dealt over its copies. ``how`` is inner, left, left_semi or left_anti; ``rows`` keeps its columns, ``table`` adds those that aren't keys.
     Where the bytes of a saved table are known they are given as ``size``.
     """
     table = saved(table) if size is None else table

@@ -296,7 +296,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     ids = saved(keyed.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes")))
     copies = saved(ids.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("copies")).where("copies > 1"))
     texts = keyed.where(F.octet_length("text") >= length).select("sha", "text")
-    single = texts.join(copies, "sha", "left_anti")
+    single = looked_up(texts, copies.select("sha"), ["sha"], "left_anti")
     several = looked_up(texts, copies.select("sha"), ["sha"], "left_semi").groupBy("sha").agg(F.first("text").alias("text"))
     texts = single.unionByName(several)
 
