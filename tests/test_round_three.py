@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacuna import queries_cloud
-from lacuna.operators import clusters, dendrogram, geometry, graph, neighbors, ordering, quantiles, ranges, sequence, umap
+from lacuna.operators import clusters, dendrogram, density, geometry, graph, neighbors, ordering, quantiles, ranges, sequence, umap
 
 
 def cloud_of(spark, z, set_id="s"):
@@ -210,6 +210,32 @@ def test_hulls_in_space(spark):
     assert geometry.hopkins_test(cloud_of(spark, ball).limit(0)).count() == 0
 
 
+def test_mean_shift_in_blocks_equals_that_in_memory(spark):
+    r = np.random.default_rng(8)
+    sets = {"one": r.normal(size=(120, 2)), "two": np.concatenate([r.normal(size=(50, 2)) * 0.3, r.normal(size=(50, 2)) * 0.3 + 3])}
+    cloud = cloud_of(spark, sets["one"], "one").unionByName(cloud_of(spark, sets["two"], "two")).cache()
+    widths = spark.createDataFrame([("one", 0.9), ("two", 0.5)], "set_id string, h double")
+    ends = defaultdict(dict)
+    for x in density.ascended_in_blocks(cloud, widths, block=50, rounds=60).collect():
+        ends[x.set_id][x.id] = x.y
+    for s, h in (("one", 0.9), ("two", 0.5)):
+        want = density.ascended(sets[s], h, 60)
+        assert np.allclose([ends[s][i] for i in range(len(want))], want, atol=1e-6)
+        # a definition without blocks: the mean under the kernel around each end is where it is, or near
+        weight = np.exp(-((want[:, None] - sets[s][None]) ** 2).sum(axis=2) / (2 * h * h))
+        assert np.abs(weight @ sets[s] / weight.sum(axis=1, keepdims=True) - want).max() < 1e-2 * h
+    many = {x.set_id: x.many for x in density.modes_in_blocks(cloud, widths, block=50, rounds=60).collect()}
+    assert many == {s: density.modes(sets[s], h, rounds=60) for s, h in (("one", 0.9), ("two", 0.5))} and many["two"]
+
+
+def test_bootstraps_keep_the_variance(spark):
+    z = np.random.default_rng(9).normal(size=(400, 2)) * [1.0, 5.0] + 7
+    drawn = density.smoothed_bootstraps(cloud_of(spark, z), spark.createDataFrame([("s", 0.8)], "set_id string, h double"), 6).toPandas()
+    assert drawn.groupby("rep").size().tolist() == [400] * 6
+    x = np.array(drawn["z"].tolist())
+    assert np.allclose(x.mean(axis=0), z.mean(axis=0), rtol=0.03) and np.allclose(x.std(axis=0), z.std(axis=0), rtol=0.06)
+
+
 def test_identical_points_have_no_dimension(spark):
     assert neighbors.intrinsic_dim(neighbors.knn(cloud_of(spark, np.ones((20, 2))))).first().d_hat is None
 
