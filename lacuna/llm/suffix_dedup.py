@@ -303,15 +303,15 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     found = texts.mapInArrow(_anchored(length, gram), "sha binary, anchor array<long>, place array<int>, lo array<smallint>, hi array<smallint>")
     found = saved(found.withColumn("uid", F.monotonically_increasing_id()))
     suffix = found.select("uid", F.explode(F.arrays_zip("anchor", "place", "lo", "hi")).alias("s")).select("uid", "s.*")
-    buckets = suffix.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    live = suffix.join(buckets, "anchor").groupBy("uid").agg(F.collect_list(F.struct("anchor", "place", "lo", "hi", "n")).alias("suffixes"))
+    # saved, so that the join below reads two plain shuffles and Spark may split an anchor with very many suffixes
+    buckets = saved(suffix.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    live = suffix.join(buckets, "anchor").groupBy("uid").agg(F.collect_list(F.struct("anchor", "place", "lo", "hi")).alias("suffixes"))
     live = saved(live.join(found.select("uid", "sha"), "uid"))
-    hot_anchors = live.select(F.explode("suffixes").alias("s")).where(F.col("s.n") > hot).select("s.anchor").distinct()
     contexts = live.join(texts, "sha").select("uid", "suffixes", "text").mapInArrow(_contexts(length), "anchor long, uid long, place long, lo int, hi int, bytes binary")
     contexts = saved(contexts)
     told = contexts.where("bytes is null").select("uid", (F.col("place") - F.col("hi")).alias("first"), (F.col("place") - F.col("lo")).alias("last"))
     contexts = contexts.where("bytes is not null")
-    hot_anchors = saved(hot_anchors)
+    hot_anchors = saved(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"))
     if hot_anchors.limit(1).count():
         strings = saved(looked_up(contexts, hot_anchors, ["anchor"], "left_semi").mapInArrow(_hashed_strings(length), "one long, two long, uid long, first long"))
         several = strings.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1")
