@@ -14,33 +14,89 @@ from pyspark.sql import functions as F
 
 from lacuna.checkpoints import cut
 from lacuna.operators.graph import block_trees, components, spanning_tree_of_edges
-from lacuna.operators.neighbors import BLOCK, distance
+from lacuna.operators.neighbors import BLOCK, matrix, square
 
 
-def within(cloud: DataFrame, eps: float) -> DataFrame:
-    """(set_id, i, j) with a distance of at most eps, both directions, for points of up to 3 dimensions or small sets.
+#: Cells are over the coordinates, at most so many, that spread the widest.
+GRID = 3
 
-    Points are put into cells of the first coordinate of width eps and meet the next cell only, so the join is on a key.
+
+def _grid_pairs(cloud: DataFrame, eps: float, work, schema: str, extra: tuple[str, ...], left: Column, right: Column, block: int) -> DataFrame:
+    """``work(a, b)`` for pieces of points whose distance may be at most eps: a of those with ``left``, b of those with ``right``.
+
+    A point lies in the cell of width eps of its widest coordinates, and meets the points of its cell and of those next to it. A cell
+    with more than ``block`` points is split into pieces, and each pair of pieces is a task of its own.
+    """
+    some = cloud.select("z").first()
+    dim = len(some.z) if some else 1
+    ends = cloud.agg(*[(F.max(F.col("z")[k]) - F.min(F.col("z")[k])).alias(f"s{k}") for k in range(dim)]).first()
+    axes = sorted(range(dim), key=lambda k: -(ends[k] or 0.0))[:GRID]
+    cell = F.array(*[F.floor(F.col("z")[k] / eps) for k in axes])
+    keep = ["id", "z", *extra]
+    own = cloud.select("set_id", *keep, cell.alias("cell"))
+    pieces = lambda c: c.groupBy("set_id", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    steps = [[]]
+    for _ in axes:
+        steps = [[*s, d] for s in steps for d in (-1, 0, 1)]
+    around = F.explode(F.array(*[F.array(*[F.lit(d).cast("long") for d in s]) for s in steps]))
+    a = own.where(left).select("set_id", *keep, F.col("cell").alias("home"), around.alias("step"))
+    a = a.select("set_id", *keep, F.zip_with("home", "step", lambda x, d: x + d).alias("cell"))
+    b = own.where(right)
+    na, nb = cut(pieces(a)), cut(pieces(b))
+    counts = na.withColumnRenamed("n", "na").join(nb.withColumnRenamed("n", "nb"), ["set_id", "cell"])
+    deal = lambda c, mine, others, p, q: c.join(counts, ["set_id", "cell"]).select("set_id", "cell", *keep, F.pmod(F.xxhash64("id"), mine).cast("int").alias(p), F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(q))
+    key = ["set_id", "cell", "p", "q"]
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in (*key, *keep)])
+    first, second = fresh(deal(a, "na", "nb", "p", "q")), fresh(deal(b, "nb", "na", "q", "p"))
+
+    def run(k: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        names = [c.split()[0] for c in schema.split(", ")]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"set_id": pd.Series(dtype=object), **{c: pd.Series(dtype="int64") for c in names}})
+        near = square(matrix(x), matrix(y)) <= eps
+        out = work(x, y, near)
+        return pd.DataFrame({"set_id": np.full(len(out), k[0], object), **{c: out[c].to_numpy() for c in names}})
+
+    return first.groupBy(*key).cogroup(second.groupBy(*key)).applyInPandas(run, f"set_id string, {schema}")
+
+
+def _stars(x: pd.DataFrame, y: pd.DataFrame, near: np.ndarray) -> pd.DataFrame:
+    """Edges (u, v) from each point to the smallest that it is linked with by near pairs: labels spread until they stand."""
+    i, j = x["id"].to_numpy(), y["id"].to_numpy()
+    most = np.iinfo(np.int64).max
+    a, b = i.copy(), j.copy()
+    while True:
+        down = np.minimum(b, np.where(near, a[:, None], most).min(axis=0))
+        back = np.minimum(a, np.where(near, down[None, :], most).min(axis=1))
+        if (down == b).all() and (back == a).all():
+            break
+        a, b = back, down
+    u, v = np.concatenate([i, j]), np.concatenate([a, b])
+    return pd.DataFrame({"u": u, "v": v})[u != v]
+
+
+def dbscan(cloud: DataFrame, eps: float, min_samples: int = 3, block: int = BLOCK) -> DataFrame:
+    """(set_id, id, cluster, core): clusters named by their smallest core id, -1 for noise; a border point goes to the smallest.
+
+    Near pairs are looked at in three passes over a grid and never listed: the first passes on how many each point has, the second for
+    each point the smallest core it is linked with in the task, the third for each border point the smallest cluster near it.
     """
-    cell = F.floor(F.col("z")[0] / eps)
-    a = cloud.select("set_id", F.col("id").alias("i"), F.col("z").alias("_a"), F.explode(F.array(cell, cell + 1)).alias("_cell"), cell.alias("_own"))
-    b = cloud.select("set_id", F.col("id").alias("j"), F.col("z").alias("_b"), cell.alias("_cell"))
-    near = a.join(b, ["set_id", "_cell"]).where((F.col("_cell") > F.col("_own")) | (F.col("i") < F.col("j"))).where(distance(F.col("_a"), F.col("_b")) <= eps).select("set_id", "i", "j")
-    return near.unionByName(near.select("set_id", F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
-
-
-def dbscan(cloud: DataFrame, eps: float, min_samples: int = 3) -> DataFrame:
-    """(set_id, id, cluster, core): clusters named by their smallest core id, -1 for noise; a border point goes to the smallest."""
-    near = cut(within(cloud, eps))
-    counts = near.groupBy("set_id", F.col("i").alias("id")).agg(F.count("*").alias("n"))
-    marked = cut(cloud.select("set_id", "id").join(counts, ["set_id", "id"], "left").select("set_id", "id", (F.coalesce("n", F.lit(0)) + 1 >= min_samples).alias("core")))
-    cores = marked.where("core").select("set_id", "id")
-    start = near.join(cores.withColumnRenamed("id", "i"), ["set_id", "i"], "left_semi")
-    inner = start.join(cores.withColumnRenamed("id", "j"), ["set_id", "j"], "left_semi").where("i < j")
-    labels = components(cores, inner.select("set_id", F.col("i").alias("u"), F.col("j").alias("v")))
-    border = start.join(labels.withColumnRenamed("id", "i"), ["set_id", "i"]).groupBy("set_id", F.col("j").alias("id")).agg(F.min("comp").alias("near"))
-    out = marked.join(labels, ["set_id", "id"], "left").join(border, ["set_id", "id"], "left")
-    return out.select("set_id", "id", F.coalesce("comp", "near", F.lit(-1)).cast("long").alias("cluster"), "core")
+    true = F.lit(True)
+    count = lambda x, y, near: pd.DataFrame({"id": x["id"], "n": near.sum(axis=1)})
+    counts = _grid_pairs(cloud, eps, count, "id long, n long", (), true, true, block).groupBy("set_id", "id").agg(F.sum("n").alias("n"))
+    marked = cut(cloud.join(counts, ["set_id", "id"], "left").select("set_id", "id", "z", (F.coalesce("n", F.lit(1)) >= min_samples).alias("core")))
+    cores = marked.where("core")
+    edges = _grid_pairs(cores, eps, _stars, "u long, v long", (), true, true, block).distinct()
+    labels = components(cores.select("set_id", "id"), edges)
+    labelled = cut(marked.join(labels, ["set_id", "id"], "left").withColumn("comp", F.coalesce("comp", F.lit(-1))))
+
+    def smallest(x: pd.DataFrame, y: pd.DataFrame, near: np.ndarray) -> pd.DataFrame:
+        hit = near.any(axis=1)
+        found = np.where(near, y["comp"].to_numpy()[None, :], np.iinfo(np.int64).max).min(axis=1)
+        return pd.DataFrame({"id": x["id"], "near": found})[hit]
+
+    border = _grid_pairs(labelled, eps, smallest, "id long, near long", ("comp",), ~F.col("core"), F.col("core"), block).groupBy("set_id", "id").agg(F.min("near").alias("near"))
+    return labelled.join(border, ["set_id", "id"], "left").select("set_id", "id", F.when(F.col("core"), F.col("comp")).otherwise(F.coalesce("near", F.lit(-1))).cast("long").alias("cluster"), "core")
 
 
 def pca(cloud: DataFrame, k: int = 10) -> DataFrame:

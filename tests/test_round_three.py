@@ -1,8 +1,11 @@
 """Layouts, dendrograms, range medians, exact quantiles, folds and hulls against their definitions."""
 
+import io
 import math
 import random
 import statistics
+import struct
+import wave
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacuna import queries_cloud
+from lacuna.sources import sounds
 from lacuna.operators import clusters, dendrogram, density, geometry, graph, neighbors, ordering, quantiles, ranges, sequence, umap
 
 
@@ -236,6 +240,76 @@ def test_bootstraps_keep_the_variance(spark):
     assert np.allclose(x.mean(axis=0), z.mean(axis=0), rtol=0.03) and np.allclose(x.std(axis=0), z.std(axis=0), rtol=0.06)
 
 
+def plain_dbscan(z, eps, least):
+    near = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2)) <= eps
+    core = near.sum(axis=1) >= least
+    label = [-1] * len(z)
+    for i in np.flatnonzero(core):
+        todo = [i] if label[i] < 0 else []
+        while todo:
+            x = todo.pop()
+            if label[x] < 0:
+                label[x] = int(i)
+                todo += list(np.flatnonzero(near[x] & core))
+    return [(label[i] if core[i] else min((label[j] for j in np.flatnonzero(near[i] & core)), default=-1), bool(core[i])) for i in range(len(z))]
+
+
+def test_density_grid_of_dense_cells_stripes_and_many_coordinates(spark):
+    r = np.random.default_rng(11)
+    stripe = np.c_[np.zeros(150), r.uniform(0, 30, 150), r.normal(size=150) * 0.1]
+    for z, eps, least in ((stripe, 0.5, 3), (np.concatenate([r.normal(size=(90, 2)) * 0.2, r.uniform(-5, 5, size=(60, 2))]), 0.6, 4), (r.normal(size=(80, 64)), 10.2, 3), (np.ones((40, 3)), 0.1, 3)):
+        out = clusters.dbscan(cloud_of(spark, z), eps, least, block=16).orderBy("id").collect()
+        assert [(x.cluster, x.core) for x in out] == plain_dbscan(z, eps, least)
+    assert clusters.dbscan(cloud_of(spark, stripe).limit(0), 0.5).count() == 0
+
+
+def test_slices_over_chunk_borders(spark):
+    r = random.Random(12)
+    heard = {"a": [float(k) for k in range(100)], "b": [float(-k) for k in range(7)], "none": []}
+    events = [(k, r.choice(["a", "b", "absent"]), r.choice([None, -3, 0, 5, 9, 10, 11, 50, 99, 100, 400]), r.choice([None, -1, 0, 1, 9, 10, 11, 35, 400])) for k in range(120)]
+    recordings = spark.createDataFrame(list(heard.items()), "file string, x array<double>")
+    found = sounds.slices(spark.createDataFrame(events, "k long, file string, start long, length long"), recordings, "start", "length", size=10)
+    got = {x.k: x.x for x in found.collect()}
+    want = {k: heard[f][max(a or 0, 0) : max(a or 0, 0) + max(n or 0, 0)] for k, f, a, n in events if f in heard}
+    assert got == want
+
+
+def wav_bytes(rate, channels, width, frames, before=b"", claimed=None):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(channels)
+        w.setsampwidth(width)
+        w.setframerate(rate)
+        w.writeframes(bytes(frames * channels * width))
+    b = out.getvalue()
+    at = b.index(b"data")
+    size = struct.pack("<I", claimed) if claimed is not None else b[at + 4 : at + 8]
+    return b[:at] + before + b"data" + size + b[at + 8 :]
+
+
+def test_riff_chunks_are_walked(spark, tmp_path):
+    odd = b"LIST" + struct.pack("<I", 5) + b"abcde\0" + b"bext" + struct.pack("<I", 0)
+    files = [wav_bytes(44100, 2, 2, 441), wav_bytes(250000, 1, 3, 999, odd), wav_bytes(8000, 1, 1, 80, odd, 0xFFFFFFFF), b"RIFF", b"no sound at all", b"RIFF\0\0\0\0AVI data", None]
+    out = sounds.with_facts(spark.createDataFrame([(k, b) for k, b in enumerate(files)], "k long, content binary")).orderBy("k").collect()
+    assert [(x.rate, x.channels, x.bits, x.frames) for x in out[:3]] == [(44100, 2, 16, 441), (250000, 1, 24, 999), (8000, 1, 8, 80)]
+    assert math.isclose(out[0].seconds, 0.01) and all(x.frames is None and x.seconds is None for x in out[3:])
+    with wave.open(io.BytesIO(files[1])) as w:
+        assert (w.getframerate(), w.getnchannels(), w.getnframes()) == (out[1].rate, out[1].channels, out[1].frames)
+    for k, b in enumerate(files[:4]):
+        (tmp_path / f"{k}.wav").write_bytes(b)
+    folder = {x.file[-5]: (x.rate, x.frames, x.length) for x in sounds.wav_facts(spark, str(tmp_path)).collect()}
+    assert folder == {"0": (44100, 441, len(files[0])), "1": (250000, 999, len(files[1])), "2": (8000, 80, len(files[2])), "3": (None, None, 4)}
+    facts = sounds.with_facts(spark.createDataFrame([(b,) for b in files], "content binary"))
+    assert sum(x.files for x in sounds.rates_and_durations(facts).collect()) == 3
+
+
+def test_band_levels_of_a_tone(spark):
+    t = np.arange(20_000) / 50_000
+    tone = np.sin(2 * np.pi * 12_000 * t) + 1e-4 * np.random.default_rng(1).normal(size=len(t))
+    bands = {x.low_hz: x.level_db for x in sounds.band_levels(spark.createDataFrame([(50_000, tone.tolist()), (50_000, tone[:500].tolist()), (8000, [0.0] * 50)], "fs int, x array<double>")).collect()}
+    assert set(bands) == {0, 10_000, 20_000} and max(bands, key=bands.get) == 10_000 and all(b <= 0 for b in bands.values())
+
+
 def test_identical_points_have_no_dimension(spark):
     assert neighbors.intrinsic_dim(neighbors.knn(cloud_of(spark, np.ones((20, 2))))).first().d_hat is None
 
