@@ -1,13 +1,15 @@
 """Cases that the tests before missed: bins of short texts, country codes, written dates, addresses alike in form, words behind colons."""
 
+import math
 import re
 from collections import Counter, defaultdict
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.llm import packing, pseudonyms
+from lacuna.llm import language_evidence, packing, pseudonyms
 
 
 @pytest.mark.parametrize("sources", [1, 2, 3, 12])
@@ -101,3 +103,44 @@ def test_dates_of_other_centuries_move_apart(spark):
     cycle = lambda year: (year - 1800) // 400
     assert all(cycle(date.fromisoformat(a).year) == cycle(d.year) for a, d in zip(out, days, strict=True))
     assert renamed(spark, ["0199-12-31", "9800-01-01"]) == ["0199-12-31", "9800-01-01"]
+
+
+def test_fused_evidence_by_plain_sums(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    strays = [(10_000 + k, None if k % 2 else "", f"<p>{t}</p>") for k, t in enumerate(["der", "the", "", "le la les", "und die", "of and to"])] + [(20_000, "http://localhost/x", "<p>und</p>"), (20_001, None, None)]
+    pages = pages.unionByName(spark.createDataFrame(strays, "page_id long, url string, html string"))
+    langs, table = language_evidence._trained(docs, 300)
+    out = language_evidence.identified(pages, docs, 300).collect()
+    html = {r.page_id: r.html for r in pages.collect()}
+    n, smooth = len(langs), language_evidence.SMOOTHING
+    own, keys = {}, {}
+    for r in out:
+        counts = np.array(language_evidence.trigrams(language_evidence._HIDDEN.sub(b" ", (html[r.page_id] or "").encode())), float)
+        score = table @ counts / language_evidence.DAMPING
+        for said, trust in ((r.declared, language_evidence.TRUST_MARKUP), (r.address, language_evidence.TRUST_ADDRESS)):
+            if said in langs:
+                score += [math.log(trust if x == said else (1 - trust) / (n - 1)) for x in langs]
+        score = np.exp(score - score.max())
+        own[r.page_id] = score / score.sum()
+        host = re.match(r"[a-z]+://([^/:?#]+)", r.url or "")
+        host = host[1].lower() if host else ""
+        parts = host.split(".")
+        cut = 3 if len(parts) > 2 and parts[-2] in ("co", "com", "org", "ac", "gov") else 2
+        keys[r.page_id] = [("all",), ("suffix", parts[-1]), ("domain", ".".join(parts[-cut:]) if len(parts) > 1 else ""), ("host", host)]
+    sums = defaultdict(lambda: np.zeros(n))
+    for i, x in own.items():
+        for k in keys[i]:
+            sums[k] += x
+    for r in out:
+        prior = np.full(n, 1 / n)
+        for k in keys[r.page_id]:
+            if k[-1] != "":
+                without = np.maximum(sums[k] - own[r.page_id], 0)
+                prior = (without + smooth * prior) / (without.sum() + smooth)
+        want = own[r.page_id] * prior
+        assert math.isclose(r.confidence, want.max() / want.sum(), rel_tol=1e-3), r
+        if np.sort(want)[-1] > 1.01 * np.sort(want)[-2]:
+            assert r.language == langs[int(want.argmax())]
+    alone = {r.page_id: r for r in out}
+    assert alone[10_002].confidence < 0.9 and alone[20_001].confidence < 0.9
