@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -229,6 +230,8 @@ def _runs(uid: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
 
 
 def _refined_buckets(length: int, gram: int, together: int):
+    """Runs of repeated strings of whole buckets; what is known to be repeated (``bytes`` null) passes through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
@@ -239,7 +242,10 @@ def _refined_buckets(length: int, gram: int, together: int):
             return _runs(at("uid")[row], at("place")[row] - offset)
 
         for batch in batches:
-            for row in batch.to_pylist():
+            known = batch.filter(batch.column("bytes").is_null())
+            if len(known):
+                yield _batch({"uid": known.column("uid"), "first": pc.subtract(known.column("place"), known.column("hi")), "last": pc.subtract(known.column("place"), known.column("lo"))}, _RUNS)
+            for row in batch.filter(batch.column("bytes").is_valid()).to_pylist():
                 if len(held) >= together and row["anchor"] != held[-1]["anchor"]:
                     yield work(held)
                     held = []
@@ -304,21 +310,23 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     found = saved(found.withColumn("uid", F.monotonically_increasing_id()))
     suffix = found.select("uid", F.explode(F.arrays_zip("anchor", "place", "lo", "hi")).alias("s")).select("uid", "s.*")
     # saved, so that the join below reads two plain shuffles and Spark may split an anchor with very many suffixes
-    buckets = saved(suffix.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    live = suffix.join(buckets, "anchor").groupBy("uid").agg(F.collect_list(F.struct("anchor", "place", "lo", "hi")).alias("suffixes"))
+    buckets = saved(suffix.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    live = suffix.join(buckets.select("anchor"), "anchor").groupBy("uid").agg(F.collect_list(F.struct("anchor", "place", "lo", "hi")).alias("suffixes"))
     live = saved(live.join(found.select("uid", "sha"), "uid"))
     contexts = live.join(texts, "sha").select("uid", "suffixes", "text").mapInArrow(_contexts(length), "anchor long, uid long, place long, lo int, hi int, bytes binary")
-    contexts = saved(contexts)
-    told = contexts.where("bytes is null").select("uid", (F.col("place") - F.col("hi")).alias("first"), (F.col("place") - F.col("lo")).alias("last"))
-    contexts = contexts.where("bytes is not null")
-    hot_anchors = saved(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"))
+    # an anchor's contexts are at most its suffixes; as a rule no anchor has too many, and contexts go straight to their buckets
+    hot_anchors = saved(buckets.where(F.col("n") > hot).select("anchor"))
+    told = None
     if hot_anchors.limit(1).count():
-        strings = saved(looked_up(contexts, hot_anchors, ["anchor"], "left_semi").mapInArrow(_hashed_strings(length), "one long, two long, uid long, first long"))
+        contexts = saved(contexts)
+        too_many = looked_up(contexts.where("bytes is not null"), hot_anchors, ["anchor"], "left_semi")
+        strings = saved(too_many.mapInArrow(_hashed_strings(length), "one long, two long, uid long, first long"))
         several = strings.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1")
-        told = told.unionByName(strings.join(several, ["one", "two"]).select("uid", "first", F.col("first").alias("last")))
-        contexts = contexts.join(hot_anchors, "anchor", "left_anti")
-    runs = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_refined_buckets(length, gram, together), RUNS)
-    runs = told.unionByName(runs).groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+        told = strings.join(several, ["one", "two"]).select("uid", "first", F.col("first").alias("last"))
+        contexts = contexts.where("bytes is null").unionByName(looked_up(contexts.where("bytes is not null"), hot_anchors, ["anchor"], "left_anti"))
+    dealt = contexts.withColumn("part", F.when(F.col("bytes").isNull(), F.col("uid")).otherwise(F.col("anchor")))
+    runs = dealt.repartition("part").sortWithinPartitions("anchor").drop("part").mapInArrow(_refined_buckets(length, gram, together), RUNS)
+    runs = (runs if told is None else runs.unionByName(told)).groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     cut = saved(runs).join(found.select("uid", "sha"), "uid").join(copies, "sha", "left_anti").join(single, "sha")
     cut = cut.select("sha", "text", "runs").mapInArrow(_cut_out(length), "sha binary, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
     twice = copies.select("sha", F.lit(True).alias("twice"))
