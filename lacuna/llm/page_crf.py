@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from lacuna.llm.page_blocks import Block, blocks
 from lacuna.llm.training_pages import labelled_page
 
-TRAIN_PAGES = 400
+TRAIN_PAGES = 900
 EPOCHS = 6
 _STEP, _PENALTY = 0.2, 1e-4
+#: Tags that say what a part of a page is; a block below none of them, and without names, has only its text to go by.
+STRUCTURE = frozenset(("nav", "header", "footer", "aside", "article", "main", "section", "form"))
 
 
 def features(block: Block) -> list[str]:
@@ -36,7 +38,9 @@ def features(block: Block) -> list[str]:
     size = min(words.bit_length(), 6)
     share = 4 * block.linked // max(len(block.text), 1)
     out = [f"own={own}", f"size={size}", f"links={share}", f"own={own},links={share > 2}", f"end={block.text[-1] in '.!?:;”»'}"]
-    out += [f"above={t}" for t in dict.fromkeys(block.tags)]
+    out += [f"above={t}" for t in dict.fromkeys(block.tags)] + ["path=" + "/".join(block.tags[-3:])]
+    if not block.names and STRUCTURE.isdisjoint(block.tags):
+        out.append(f"bare={size},{share > 1},{block.text[-1] in '.!?:;”»'}")
     out += [f"named={n}" for n in block.names]
     if "©" in block.text:
         out.append("rights")
@@ -80,7 +84,7 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 0) -> Ch
     index: dict[str, int] = {}
     data = []
     for k in range(pages):
-        page, labels = labelled_page(seed + k)
+        page, labels = labelled_page(seed + k, wide=k % 3 == 2)
         rows = [[index.setdefault(f, len(index)) for f in features(b)] for b in blocks(page)]
         if len(rows) != len(labels):
             raise ValueError(f"page {seed + k} has {len(rows)} blocks and {len(labels)} labels")
