@@ -151,7 +151,7 @@ def identified(pages: DataFrame, documents: DataFrame, rows: int = TRAIN_ROWS) -
     named = {"a": F.lit(True), "s": F.col("suffix") != "", "d": F.col("domain") != "", "h": F.col("host") != ""}
     prior = [F.lit(1.0 / n)] * n
     for level in "asdh":
-        both = both.select("*", F.when(named[level], F.array(*smoothed(level, prior))).otherwise(F.array(*prior)).alias(f"prior_{level}"))
+        both = both.select("*", F.array(*[F.when(named[level], x).otherwise(p) for x, p in zip(smoothed(level, prior), prior, strict=True)]).alias(f"prior_{level}"))
         prior = [F.col(f"prior_{level}")[i] for i in range(n)]
     posterior = F.array(*[F.col("own")[i] * prior[i] for i in range(n)])
     both = both.withColumn("posterior", posterior)
