@@ -106,8 +106,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, cell_queries: i
     query_groups = max(1, -(-queries.count() // cell_queries))
     candidate_groups = max(1, -(-candidates.count() // cell_candidates))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.dropDuplicates(["id", "v"]).select("id", "v", F.xxhash64("v").alias("own"), F.size("v").alias("dims"), F.pmod(F.xxhash64("id"), F.lit(query_groups)).cast("int").alias("qg"), spread(candidate_groups).alias("cg"))
-    c = candidates.select("id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(candidate_groups)).cast("int").alias("cg"), spread(query_groups).alias("qg"))
+    q = queries.dropDuplicates(["id", "v"]).select("id", "v", F.xxhash64("v").alias("own"), F.size("v").alias("dims"), F.pmod(F.xxhash64("id", "v"), F.lit(query_groups)).cast("int").alias("qg"), spread(candidate_groups).alias("cg"))
+    # dealt by row, as one id may have very many
+    dealt = candidates.select("id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(candidate_groups)).cast("int").alias("cg"))
+    c = dealt.select("*", spread(query_groups).alias("qg"))
 
     def matrix(rows: pd.DataFrame) -> np.ndarray:
         return np.array(rows["v"].tolist(), float).reshape(len(rows), -1)
