@@ -59,6 +59,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names for ``select`` and the like, whatever characters they hold."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def unit_hash(seed: str, *columns: Column) -> Column:
     """A number in [0, 1) fixed by the seed and the columns (null counts as a value of its own): 52 bits of MD5."""
     parts = [F.coalesce(c.cast("string"), F.lit("\0")) for c in columns]
@@ -70,8 +75,8 @@ def running(df: DataFrame, group: list[str], unit: str, ties: list[str], sums: d
     """Adds, for each output name of ``sums``, the running total of its column before the row, within ``group`` by (unit, ties).
 
     ``unit`` lies in [0, 1) and cuts each group into buckets of about ``bucket_rows`` of the ``rows`` in all. Totals of the
-    buckets are made with map-side sums, and only the rows of one bucket meet in a task, however large the group.
-    The input is read twice; give it saved.
+    buckets are made with map-side sums, and only the rows of one bucket meet in a task, however large the group. Rows of equal
+    ``unit`` share a bucket: give one that tells all rows apart (``told_apart``). The input is read twice; give it saved.
     """
     buckets = max(1, -(-rows // bucket_rows))
     cut = df.withColumn("_bucket", F.least(F.floor(F.col(unit) * buckets), F.lit(buckets - 1)).cast("long"))
@@ -84,7 +89,7 @@ def running(df: DataFrame, group: list[str], unit: str, ties: list[str], sums: d
     within = Window.partitionBy(*names, "_bucket").orderBy(unit, *ties).rowsBetween(Window.unboundedPreceding, -1)
     inside = cut.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_in_{o}") for o, c in sums.items()])
     out = inside.join(offsets, [*names, "_bucket"])
-    return out.select(*df.columns, *[(F.col(f"_in_{o}") + F.col(f"_off_{o}")).alias(o) for o in sums])
+    return out.select(*quoted(df.columns), *[(F.col(f"_in_{o}") + F.col(f"_off_{o}")).alias(o) for o in sums])
 
 
 #: A table may be broadcast if its rows, as counted, hold at most so many bytes.
@@ -116,7 +121,7 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "in
     """
     table = saved(table) if size is None else table
     mine = {k: free_name(rows, f"_of_{k}") for k in keys}
-    right = table.select(*[F.col(k).alias(mine[k]) if k in mine else F.col(k) for k in table.columns])
+    right = table.select(*[F.col(q).alias(mine.get(k, k)) for k, q in zip(table.columns, quoted(table.columns), strict=True)])
     match = None
     for k in keys:
         same = rows[k].eqNullSafe(right[mine[k]])
@@ -124,7 +129,7 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "in
     if (table_bytes(table) if size is None else size) <= most:
         return rows.join(F.broadcast(right), match, how).drop(*mine.values())
     salt, other = free_name(rows, "_salt"), free_name(rows, "_salted")
-    left = rows.withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    left = rows.withColumn(salt, F.pmod(F.xxhash64(*quoted(rows.columns)), F.lit(SALTS)).cast("int"))
     right = right.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     match = left[salt] == right[other]
     for k in keys:
@@ -149,4 +154,20 @@ def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     for k, v in mine.items():
         same = own[k].eqNullSafe(counts[v])
         match = same if match is None else match & same
-    return own.join(counts, match).withColumn(name, (F.col(name) + F.col(before)).cast("long")).select(*rows.columns, name)
+    return own.join(counts, match).withColumn(name, (F.col(name) + F.col(before)).cast("long")).select(*quoted(rows.columns), name)
+
+
+def told_apart(rows: DataFrame, keys: list[str], name: str, among: list[str] | None = None) -> DataFrame:
+    """``rows``, which are saved, with a number in ``name``: null where no other row is equal in ``keys``, else from 0 among those equal in ``among``.
+
+    ``among`` are the keys unless given. Which of several rows that are equal in ``among`` has which number follows from where they lie; the
+    numbers as a whole don't.
+    """
+    count = free_name(rows, "_count")
+    often = saved(rows.groupBy(*keys).agg(F.count("*").alias(count)).where(F.col(count) > 1).drop(count))
+    alone = rows.withColumn(name, F.lit(None).cast("long"))
+    size = table_bytes(often)
+    if not size:
+        return alone
+    again = numbered(looked_up(rows, often, keys, "left_semi", size=size), among or keys, name)
+    return saved(looked_up(alone, often, keys, "left_anti", size=size).unionByName(again))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import free_name, looked_up, n_words, numbered, running, saved, unit_hash
+from lacuna.llm.common import free_name, looked_up, n_words, numbered, quoted, running, saved, told_apart, unit_hash
 
 MAX_COPIES = 3
 WEIGHTS = 3
@@ -89,10 +89,13 @@ def mixed(documents: DataFrame, odds: str | None = None, seed: str = SEED, max_c
     text = F.col("text").cast("string")
     base = documents.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("text_hash"), n_words(text).alias("size"), *([F.col(odds).cast("double").alias("odds")] if odds else []))
     base = base.withColumn("odds", stepped(F.col("odds")) if odds else length_odds(F.col("size")))
-    base = saved(base.withColumn("u", unit_hash(seed, F.col("doc_id"))))
+    base = saved(base)
     aims = saved(targets(base))
     facts = aims.join(levels(base, aims, max_copies).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    wanted = looked_up(base, facts, ["source"])
+    # rows that share a doc_id, or have none, are drawn one by one, so that their numbers don't all fall together
+    drawn = told_apart(base, ["doc_id"], "number", among=["doc_id", "text_hash"])
+    one = F.when(F.col("number").isNull(), unit_hash(seed, F.col("doc_id"))).otherwise(unit_hash(seed, F.col("doc_id"), F.col("text_hash"), F.col("number")))
+    wanted = looked_up(drawn.withColumn("u", one).drop("number"), facts, ["source"])
     times = F.least(F.col("level") * F.col("odds"), F.lit(float(max_copies)))
     wanted = wanted.withColumn("times", times).withColumn("whole", F.floor("times").cast("long")).withColumn("p", F.col("times") - F.col("whole"))
     certain = wanted.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("certain_words"), F.least(F.greatest(F.round(F.avg(F.when(F.col("p") > 0, F.col("p"))), 6), F.lit(1e-6)), F.lit(1 - 1e-6)).alias("mean_p"))
@@ -122,8 +125,7 @@ def mix(documents: DataFrame) -> DataFrame:
     taken = mixed(documents).groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     names = {c: free_name(documents, c) for c in ("text_hash", "mix_source", "copies", "rows", "number", "copy")}
     keys = ["doc_id", names["text_hash"], names["mix_source"]]
-    own = {c: documents[c] for c in documents.columns}
-    keyed = documents.select("*", F.xxhash64(own["text"].cast("string")).alias(names["text_hash"]), own["source"].cast("string").alias(names["mix_source"]))
+    keyed = documents.select("*", F.xxhash64(F.col("text").cast("string")).alias(names["text_hash"]), F.col("source").cast("string").alias(names["mix_source"]))
     taken = saved(taken.where("copies > 0")).select(*[F.col(c).alias(f"_mix_{k}") for k, c in enumerate(("doc_id", "text_hash", "source"))], F.col("copies").alias(names["copies"]), F.col("rows").alias(names["rows"]))
 
     def with_copies(rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -131,7 +133,7 @@ def mix(documents: DataFrame) -> DataFrame:
         return rows.join(counts, match[0] & match[1] & match[2]).drop("_mix_0", "_mix_1", "_mix_2")
 
     def as_often(rows: DataFrame, times: Column) -> DataFrame:
-        return rows.withColumn(names["copy"], F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*documents.columns)
+        return rows.withColumn(names["copy"], F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*quoted(documents.columns))
 
     single = as_often(with_copies(keyed, taken.where(F.col(names["rows"]) == 1)), F.col(names["copies"]))
     several = taken.where(F.col(names["rows"]) > 1)

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.llm import language_evidence, packing, pseudonyms
+import corpus_pipeline
+from lacuna.llm import common, exact_topk, language_evidence, mixing, packing, pseudonyms, sharding
 
 
 @pytest.mark.parametrize("sources", [1, 2, 3, 12])
@@ -144,3 +145,68 @@ def test_fused_evidence_by_plain_sums(spark, sf):
             assert r.language == langs[int(want.argmax())]
     alone = {r.page_id: r for r in out}
     assert alone[10_002].confidence < 0.9 and alone[20_001].confidence < 0.9
+
+
+def most_in_a_bucket(monkeypatch, module):
+    """Takes down how many rows the fullest bucket of each running sum has."""
+    found = []
+    plain = common.running
+
+    def watched(df, group, unit, ties, sums, rows, bucket_rows=500):
+        cell = F.floor(F.col(unit) * max(1, -(-rows // bucket_rows)))
+        found.append(df.groupBy(*[F.col(g) for g in group], cell.alias("cell")).count().agg(F.max("count")).first()[0])
+        return plain(df, group, unit, ties, sums, rows, bucket_rows)
+
+    monkeypatch.setattr(module, "running", watched)
+    return found
+
+
+def test_rows_without_an_id_or_of_one_id_share_no_bucket(spark, monkeypatch):
+    ids = F.when(F.col("id") % 4 == 0, F.col("id")).when(F.col("id") % 4 == 1, F.lit(7))
+    text = F.when(F.col("id") % 3 == 0, F.concat(F.lit("a b "), F.col("id").cast("string"))).otherwise(F.lit("one two three"))
+    docs = common.saved(spark.range(20_000).select(ids.alias("doc_id"), text.alias("text"), F.lit("s").alias("source")))
+    found = most_in_a_bucket(monkeypatch, mixing)
+    mix = mixing.mixed(docs, seed="x")
+    assert mix.count() == 20_000 and max(found) < 1500
+    found = most_in_a_bucket(monkeypatch, sharding)
+    assert sorted(r.slot + 500 * r.shard for r in sharding.placed(docs).collect()) == list(range(20_000)) and max(found) < 1500
+    # the numbers as a whole don't follow from where the rows lie
+    turned = common.saved(docs.orderBy(F.desc("text"), F.xxhash64("doc_id")).repartition(3))
+    totals = [sorted(Counter((r.doc_id, r.text_hash, r.copies) for r in x.collect()).items(), key=str) for x in (mix, mixing.mixed(turned, seed="x"))]
+    assert totals[0] == totals[1]
+
+
+def test_search_deals_rows_of_one_id(spark):
+    rng = np.random.default_rng(5)
+    rows = [(1 if k % 2 else k, [float(x) for x in rng.integers(-9, 9, 4)]) for k in range(400)]
+    candidates = spark.createDataFrame(rows, "id long, v array<double>")
+    out = exact_topk.top_k(candidates.where("id < 40"), candidates, cell_queries=7, cell_candidates=30).collect()
+    expected = Counter()
+    for q, v in {(i, tuple(v)) for i, v in rows if i < 40}:
+        best = sorted((-int(np.dot(v, w)), i) for i, w in rows if i != q)[:5]
+        expected.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert Counter(map(tuple, out)) == expected
+
+
+def test_large_shards_are_written_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "FILE_BYTES", 1000)
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"), F.lit(1).alias("a.b"))
+    sharding.write_shards(docs, str(tmp_path / "out"), shards=2)
+    for k in range(2):
+        files = sorted((tmp_path / "out" / f"shard={k}").glob("*.parquet"))
+        slots = [s for f in files for s in spark.read.parquet(str(f)).toPandas()["slot"].tolist()]
+        assert len(files) > 1 and slots == list(range(150))
+
+
+def test_pipeline_of_columns_with_dots_and_clashing_names(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = docs.select("*", (F.col("doc_id") * 2).alias("a.b"), F.lit("x").alias("key"), F.lit(3).alias("copies"), F.lit("`").alias("tick`s"))
+    more.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = more
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = common.saved(stage(spark, kept, str(tmp_path)))
+        assert kept.columns == more.columns
+        assert not kept.where("`a.b` <> 2 * doc_id or key <> 'x' or copies <> 3").count()
+    rows = lambda df: sorted(tuple(r[c] for c in ("doc_id", "piece", "n_words", "source")) for r in df.collect())
+    assert rows(corpus_pipeline.packing(spark, kept, str(tmp_path))) == rows(corpus_pipeline.run(spark, sf))
