@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import free_name, looked_up, saved, shared_folder
+from lacuna.llm.common import free_name, looked_up, quoted, saved, shared_folder
 from lacuna.llm.minhash_dedup import near_duplicates
 from lacuna.llm.mixing import mix
 from lacuna.llm.packing import packed
@@ -33,15 +33,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = keyed.groupBy(name).agg(F.min(F.col("doc_id").cast("long")).alias("id"))
     first = found.join(ids, name).groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", name, "n")).alias("first"))
     kept = saved(first.select(f"first.{name}", "first.n"))
-    single = keyed.join(kept.where("n = 1").select(name), name, "left_semi").select(*docs.columns)
+    single = keyed.join(kept.where("n = 1").select(name), name, "left_semi").select(*quoted(docs.columns))
     repeated = looked_up(keyed, kept.where("n > 1").select(name), [name], "left_semi")
-    one = repeated.groupBy(name).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    one = repeated.groupBy(name).agg(F.min_by(F.struct(*quoted(docs.columns)), F.xxhash64(*quoted(docs.columns))).alias("row")).select("row.*")
     return single.unionByName(one)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by pseudonyms of the same form."""
-    return pseudonymised(docs, session_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pseudonymised(docs, session_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*quoted(docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

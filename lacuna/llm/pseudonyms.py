@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import free_name
+from lacuna.llm.common import free_name, quoted
 
 KEY_SETTING = "spark.lacuna.pseudonym.key"
 TEST_KEY = "pseudonym-key-1"
@@ -310,7 +310,7 @@ def pseudonymised(documents: DataFrame, key: str, column: str = "text", count: s
     done = F.when(F.size(found) > 0, joined).otherwise(text)
     changed = F.size(F.filter(F.zip_with(F.col(found), F.col(renamed), lambda a, b: a != b), lambda x: x))
     extra = [F.when(F.size(found) > 0, changed).otherwise(0).cast("long").alias(count)] if count else []
-    return rows.select(*[done.alias(c) if c == column else F.col(c) for c in names], *extra)
+    return rows.select(*[done.alias(c) if c == column else F.col(q) for c, q in zip(names, quoted(names), strict=True)], *extra)
 
 
 def pii_report(documents: DataFrame, key: str | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import free_name
+from lacuna.llm.common import free_name, quoted
 from lacuna.llm.textbatch import Texts, mix, slices
 
 TRAIN_ROWS = 10_000
@@ -165,13 +165,15 @@ def scored(documents: DataFrame, forest: Forest, name: str = "score") -> DataFra
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in slices(batch.column(text)):
+            for a, b, texts in slices(batch.column(len(names))):
                 part = batch.slice(a, b - a)
                 score = pa.array(where.value.score(statistics(texts)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], score], names=[*names, name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + f", `{name}` double"
-    return documents.withColumn(text, F.col("text").cast("string")).mapInArrow(walk, schema)
+    fields = documents.select(*quoted(documents.columns), F.lit(0.0).alias(name)).schema
+    # numbered names on the way in, as any name may come
+    whole = documents.select("*", F.col("text").cast("string").alias(text))
+    return whole.toDF(*[f"c{k}" for k in range(len(names) + 1)]).mapInArrow(walk, fields)
 
 
 def score_digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -185,4 +187,4 @@ def good_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score reaches ``THRESHOLD``, with their own columns."""
     name = free_name(documents, "quality_score")
     out = scored(documents, trained(documents, labels), name)
-    return out.where(F.col(name) >= THRESHOLD).select(*documents.columns)
+    return out.where(F.col(name) >= THRESHOLD).select(*quoted(documents.columns))
