@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lacuna.checkpoints import cut
 from lacuna.operators import clusters, density, gaps, geometry, graph, neighbors, nulls, scores, signal, synth, umap
 from lacuna.operators.gate import decide, gap_test
-from lacuna.operators.synth import known_case, repertoire
 from lacuna.plans import detection, repertoires
 from lacuna.sources import tables
 
@@ -129,9 +128,12 @@ def _fixed_nulls(spark, sf_dir):
 
 
 def _decided(spark, sf_dir):
-    observed = spark.createDataFrame([("a", 1, [9, 10], 0.55), ("b", 1, [9], 1.4), ("c", 1, [10], 0.0)], "set_id string, n int, dims array<int>, max_gap double")
-    found = spark.createDataFrame([("a", 0.55), ("a", 0.2), ("b", 1.4), ("b", 1.3), ("b", 0.1)], "set_id string, gap double")
-    return decide(observed, found, _fixed_nulls(spark, sf_dir))
+    """The events of a type are the gaps of a set; the length of its name says how they are scaled, and whether it has 9 dimensions, 10 or both."""
+    letters = F.length("event_type")
+    found = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("set_id"), letters.alias("letters"), (F.col("value") / (70 + 10 * (letters % 5))).alias("gap"))
+    dims = F.when(F.col("letters") % 3 == 0, F.array(F.lit(9), F.lit(10))).when(F.col("letters") % 3 == 1, F.array(F.lit(9))).otherwise(F.array(F.lit(10)))
+    observed = found.groupBy("set_id", "letters").agg(F.max("gap").alias("max_gap")).select("set_id", F.lit(1).alias("n"), dims.alias("dims"), "max_gap")
+    return decide(observed, found.select("set_id", "gap"), _fixed_nulls(spark, sf_dir))
 
 
 def threshold_given_nulls(spark, sf_dir):
@@ -179,12 +181,16 @@ def gate_many_sets(spark, sf_dir):
 
 
 def gate_known_clusters(spark, sf_dir):
-    """The self-test's eight clusters; 8 types are found."""
-    return gap_test(known_case(spark, "clusters")).result.select("set_id", "p", "n_types", "is_discrete")
+    """Five coordinates of all embeddings, scaled and moved to eight far centres; 8 types are found."""
+    cloud = clusters.standardised(_cloud(spark, sf_dir).withColumn("z", F.slice("z", 1, 5)))
+    return gap_test(synth.around_centres(cloud)).result.select("set_id", "n", "p", "n_types", "is_discrete")
 
 
 def null_table(spark, sf_dir):
-    return nulls.null_table(spark, [(100, 3), (100, 5)])
+    """Null clouds as large as the middle one of the embeddings' labels, in 3 and 5 dimensions."""
+    sizes = spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").count()
+    n = max(nulls.K + 1, int(sizes.agg(F.percentile("count", F.lit(0.5))).first()[0] or 0))
+    return nulls.null_table(spark, [(n, 3), (n, 5)])
 
 
 
@@ -240,11 +246,15 @@ def silverman(spark, sf_dir):
 
 
 def synthetic_repertoires(spark, sf_dir):
-    return repertoire(spark, "discrete_tight", 60).unionByName(repertoire(spark, "graded_1d", 60))
+    """A call for each embedding: of types where the label is even, of a continuum where it is odd."""
+    kind = F.when(F.col("label").cast("long") % 2 == 0, "discrete_tight").otherwise("graded_1d")
+    return synth.drawn(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("id"), kind.alias("kind")))
 
 
 def repertoire_cloud(spark, sf_dir):
-    return repertoires.cloud_of(repertoire(spark, "discrete_tight", 120))
+    """A call of one of eight types for each embedding, as points."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("id"), F.lit("discrete_tight").alias("kind"))
+    return repertoires.cloud_of(cut(synth.drawn(rows)))
 
 
 def convex_hull(spark, sf_dir):
@@ -319,10 +329,10 @@ _RANKED = f"{_PAIRS}, r as (select *, row_number() over (partition by i order by
 
 
 _NULLS = "nulls as (select dim, event_type shape, value * f max_gap from events, (values (9, 0.010::DOUBLE), (10, 0.012::DOUBLE)) c(dim, f))"
-_DECIDED = f"""with {_NULLS}, obs as (select * from (values ('a', 9, 0.55), ('a', 10, 0.55), ('b', 9, 1.4), ('c', 10, 0.0)) o(set_id, dim, max_gap)),
+_DECIDED = f"""with {_NULLS}, found as (select event_type set_id, value / (70 + 10 * (length(event_type) % 5)) gap from events),
+obs as (select set_id, unnest(case length(set_id) % 3 when 0 then [9, 10] when 1 then [9] else [10] end) dim, max_gap from (select set_id, max(gap) max_gap from found group by 1)),
 cells as (select o.set_id, n.dim, n.shape, quantile_cont(n.max_gap, 0.95) q, (1 + count(*) filter (n.max_gap >= o.max_gap)) / (1 + count(*)) p from obs o join nulls n on n.dim = o.dim group by 1, 2, 3),
-rules as (select set_id, max(q) threshold, max(p) p from cells group by 1),
-found as (select * from (values ('a', 0.55), ('a', 0.2), ('b', 1.4), ('b', 1.3), ('b', 0.1)) f(set_id, gap))"""
+rules as (select set_id, max(q) threshold, max(p) p from cells group by 1)"""
 
 SQL = {
     "pairwise_distance": "select a.vec_id i, b.vec_id j, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) d from embeddings a join embeddings b on a.vec_id < b.vec_id",

@@ -139,8 +139,8 @@ def strong_peaks(spark, sf_dir):
 
 
 def rounded_durations(spark, sf_dir):
-    """Distinct durations in whole columns of the synthetic calls: few where false types are made."""
-    calls = synth.repertoire(spark, "graded_1d", 200)
+    """Distinct durations in whole columns of calls, one for each embedding: few where false types are made."""
+    calls = synth.drawn(_t(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.lit("graded_1d").alias("kind")))
     return calls.agg(F.countDistinct(F.least(F.greatest(F.bround(F.col("duration") * synth.SIDE), F.lit(synth.FEWEST_COLUMNS)), F.lit(synth.SIDE))).alias("durations"), F.count("*").alias("calls"))
 
 

@@ -85,8 +85,8 @@ def looked_up(df: DataFrame, codes: DataFrame, on: str) -> DataFrame:
     return df.join(codes, on, "left")
 
 
-def _footer_rows(spark: SparkSession, paths: list[str], rows_of, schema: str) -> DataFrame:
-    """``rows_of(path, footer)`` for each Parquet file, one file each task; only the footer's bytes are read.
+def _footer_rows(spark: SparkSession, paths: list[str], rows_of, schema: str, whole: bool = False) -> DataFrame:
+    """``rows_of(path, length, footer)`` for each Parquet file; only the footer's bytes are read. ``whole`` hands over the open file instead.
 
     The paths are opened by pyarrow's file systems, which know local and common remote ones.
     """
@@ -102,7 +102,9 @@ def _footer_rows(spark: SparkSession, paths: list[str], rows_of, schema: str) ->
             for path, length in zip(batch["path"], batch["length"], strict=True):
                 system, inner = fs.FileSystem.from_uri(path)
                 with system.open_input_file(inner) as f:
-                    yield pd.DataFrame(rows_of(path, length, pq.ParquetFile(f).metadata), columns=names)
+                    file = pq.ParquetFile(f)
+                    made = rows_of(path, length, file if whole else file.metadata)
+                    yield pd.DataFrame(made, columns=names, dtype=object)
 
     count = files.count()
     return files.repartition(max(1, min(count, 1000))).mapInPandas(run, schema)
@@ -140,6 +142,34 @@ def peek(df: DataFrame, column: str, rows: int = 3, magic: str = "RIFF", most_by
     return df.limit(rows).select(F.length(column).alias("bytes"), (F.substring(column, 1, len(magic)) == F.lit(magic).cast("binary")).alias("is_magic"))
 
 
+def peek_files(spark: SparkSession, paths: list[str], column: str, rows: int = 3, magic: str = "RIFF", most_bytes: int = 300_000_000) -> DataFrame:
+    """(path, rows, group_bytes, bytes, is_magic): of each Parquet file its rows, the bytes of the column in its first row group and its first payloads.
+
+    The footer says how large the row group's column is before anything of it is read; above ``most_bytes`` it isn't, and ``bytes`` and
+    ``is_magic`` are null, as for a null payload or a file without rows. ``column`` may be nested (``audio.bytes``).
+    """
+
+    def rows_of(path, length, file):
+        meta = file.metadata
+        none = [(path, meta.num_rows, None, None, None)]
+        if not meta.num_row_groups:
+            return none
+        chunks = [meta.row_group(0).column(c) for c in range(meta.num_columns)]
+        size = sum(c.total_uncompressed_size for c in chunks if c.path_in_schema == column)
+        if size > most_bytes:
+            return [(path, meta.num_rows, size, None, None)]
+        batch = next(file.iter_batches(rows, row_groups=[0], columns=[column]), None)
+        if batch is None or not batch.num_columns:
+            return none
+        values = batch.column(0)
+        for part in column.split(".")[1:]:
+            values = values.field(part)
+        heads = [(None, None) if v is None else (len(v), v[: len(magic)] == magic.encode()) for v in values.to_pylist()]
+        return [(path, meta.num_rows, size, *head) for head in heads] or none
+
+    return _footer_rows(spark, paths, rows_of, "path string, rows long, group_bytes long, bytes long, is_magic boolean", whole=True)
+
+
 def natural_key(name: Column) -> Column:
     """Names by the number that their digits make."""
     return F.regexp_replace(name, "[^0-9]", "").try_cast("long")

@@ -13,8 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacuna import queries_cloud
-from lacuna.sources import sounds
-from lacuna.operators import clusters, dendrogram, density, geometry, graph, neighbors, ordering, quantiles, ranges, sequence, umap
+from lacuna.sources import sounds, tables
+from lacuna.operators import clusters, dendrogram, density, geometry, graph, neighbors, ordering, quantiles, ranges, sequence, synth, umap
+from lacuna.operators.gate import gap_test
 
 
 def cloud_of(spark, z, set_id="s"):
@@ -319,3 +320,42 @@ def test_new_queries(spark, sf):
     assert kept["umap"] > kept["components"]
     assert queries_cloud.stratified_group_folds(spark, sf).where("fold is null").count() == 0
     assert queries_cloud.hopkins_in_space(spark, sf).count() == 1
+
+
+def test_known_clusters_of_all_embeddings_are_found(spark, sf):
+    z = neighbors.points(spark.read.parquet(f"{sf}/embeddings.parquet")).withColumn("z", F.slice("z", 1, 5))
+    moved = {r.id: np.array(r.z) for r in synth.around_centres(z, 3, 50.0).collect()}
+    steps = [moved[r.id] - np.array(r.z) for r in z.orderBy("id").collect()]
+    assert len(moved) == len(steps) and np.allclose(steps[0], steps[3]) and min(np.linalg.norm(steps[0] - steps[k]) for k in (1, 2)) > 10
+    gate = gap_test(synth.around_centres(clusters.standardised(z)), n_null=20)
+    assert gate.result.first().n_types == 8
+    groups = {r.id: r.grp for r in gate.groups.collect() if r.grp >= 0}
+    assert all(i % 8 == g % 8 for i, g in groups.items()) and len(groups) > 0.9 * len(steps)
+
+
+def test_calls_follow_their_rows(spark):
+    rows = spark.createDataFrame([(5, "graded_1d"), (2, "discrete_tight"), (7, "graded_1d")], "id long, kind string")
+    made = {r.id: r for r in synth.drawn(rows).collect()}
+    alone = {r.id: r for r in synth.repertoire(spark, "graded_1d", 8).collect()}
+    assert set(made) == {2, 5, 7} and all(made[i].image == alone[i].image and made[i].duration == alone[i].duration for i in (5, 7))
+    assert made[2].kind == "discrete_tight" and made[2].image != alone[2].image
+
+
+def test_payloads_are_not_read_beyond_the_limit(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    audio = pa.array([{"bytes": b"RIFF1234", "path": "a"}, {"bytes": None, "path": "b"}, {"bytes": b"none", "path": "c"}])
+    pq.write_table(pa.table({"id": [1, 2, 3], "audio": audio}), tmp_path / "small.parquet")
+    large = [{"bytes": b"RIFF" + np.random.default_rng(0).bytes(50_000), "path": "d"}]
+    pq.write_table(pa.table({"id": [4], "audio": pa.array(large)}), tmp_path / "large.parquet")
+    pq.write_table(pa.table({"id": pa.array([], pa.int64()), "audio": audio[:0]}), tmp_path / "none.parquet")
+    out = tables.peek_files(spark, [str(tmp_path)], "audio.bytes", most_bytes=10_000).collect()
+    named = {}
+    for r in out:
+        named.setdefault(r.path.rsplit("/", 1)[1], []).append((r.rows, r.bytes, r.is_magic))
+    assert named["small.parquet"] == [(3, 8, True), (3, None, None), (3, 4, False)]
+    assert named["large.parquet"] == [(1, None, None)] and named["none.parquet"] == [(0, None, None)]
+    assert next(r for r in out if "large" in r.path).group_bytes > 50_000
+    # with a higher limit it is read
+    assert [r.is_magic for r in tables.peek_files(spark, [str(tmp_path / "large.parquet")], "audio.bytes").collect()] == [True]
