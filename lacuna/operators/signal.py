@@ -106,7 +106,7 @@ def aligned_spectra(calls: DataFrame, grid_ms: np.ndarray, low: float, high: flo
 
 
 def frames(recordings: DataFrame, low: float, high: float, nperseg: int = 512, noverlap: int = 384, keys: tuple[str, ...] = ("file",)) -> DataFrame:
-    """(keys, frame, t, tonal_db, peak_hz) of recordings (keys, fs, x): how far the band's maximum stands above its median."""
+    """(keys, fs, n, frame, t, tonal_db, peak_hz) of recordings (keys, fs, x) of n samples: how far the band's maximum stands above its median."""
 
     def run(batches):
         for batch in batches:
@@ -114,10 +114,10 @@ def frames(recordings: DataFrame, low: float, high: float, nperseg: int = 512, n
                 f, t, p = spectrogram(np.asarray(row.x, float), row.fs, nperseg, noverlap)
                 band = (f >= low) & (f <= high)
                 db = 10 * np.log10(p[band] + 1e-20)
-                yield pd.DataFrame({**{k: getattr(row, k) for k in keys}, "frame": np.arange(len(t)), "t": t, "tonal_db": db.max(axis=0) - np.median(db, axis=0), "peak_hz": f[band][db.argmax(axis=0)]})
+                yield pd.DataFrame({**{k: getattr(row, k) for k in keys}, "fs": float(row.fs), "n": len(row.x), "frame": np.arange(len(t)), "t": t, "tonal_db": db.max(axis=0) - np.median(db, axis=0), "peak_hz": f[band][db.argmax(axis=0)]})
 
     types = ", ".join(f"{k} {recordings.schema[k].dataType.simpleString()}" for k in keys)
-    return recordings.select(*keys, "fs", "x").mapInPandas(run, f"{types}, frame long, t double, tonal_db double, peak_hz double")
+    return recordings.select(*keys, "fs", "x").mapInPandas(run, f"{types}, fs double, n long, frame long, t double, tonal_db double, peak_hz double")
 
 
 def images(calls: DataFrame, longest_ms: float, low: float, high: float, **options) -> DataFrame:

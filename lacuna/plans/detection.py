@@ -23,8 +23,7 @@ def detect(recordings: DataFrame, keys: tuple[str, ...] = ("file",), low: float
     from onset to offset, and peak and tonality are the medians of its active frames.
     """
     by = list(keys)
-    rates = recordings.select(*by, F.col("fs").cast("double").alias("fs"), F.size("x").alias("_n"))
-    active = frames(recordings, low, high, NPERSEG, NOVERLAP, keys).where(F.col("tonal_db") >= tonal_db).join(rates, by)
+    active = frames(recordings, low, high, NPERSEG, NOVERLAP, keys).where(F.col("tonal_db") >= tonal_db).withColumnRenamed("n", "_n")
     step = (NPERSEG - NOVERLAP) / F.col("fs")
     runs = sequence.islands(active, by, "frame", F.greatest(F.floor(MERGE_MS / 1000 / step), F.lit(1)))
     runs = sequence.jumps(runs, "peak_hz", [*by, "island"], ["frame"])

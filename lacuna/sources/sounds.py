@@ -86,6 +86,18 @@ def slices(events: DataFrame, recordings: DataFrame, start: str, length: str, on
     return slices_of_chunks(events, chunked(recordings, on, size), start, length, on, size)
 
 
+def slices_in_rows(recordings: DataFrame, start: str, length: str, keep: tuple[str, ...] = (), on: str = "file") -> DataFrame:
+    """``slices`` of recordings (file, x, start, length, keep) that have their events with them, as arrays of equal length.
+
+    (file, start, length, keep, x), a row for each event: it is cut out where its recording lies, which goes nowhere.
+    """
+    columns = (start, length, *keep)
+    first = lambda e: F.least(F.greatest(e[start], F.lit(0)), F.size("x")).cast("int")
+    many = lambda e: F.least(F.greatest(e[length], F.lit(0)), F.size("x")).cast("int")
+    cut_out = lambda e: F.struct(*[e[c].alias(c) for c in columns], F.slice("x", first(e) + 1, many(e)).alias("x"))
+    return recordings.where(F.size("x") > 0).select(on, F.inline(F.transform(F.arrays_zip(*columns), cut_out)))
+
+
 def riff_facts(f: IO[bytes]) -> dict[str, int] | None:
     """rate, channels, bits and frames of a WAV file, by walking the headers of its chunks; None: no such file.
 
