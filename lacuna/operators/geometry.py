@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.operators.neighbors import BLOCK, block_pairs, knn, matrix, square
+from lacuna.operators.neighbors import BLOCK, block_pairs, closest, knn, matrix
 
 
 def outline(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -169,9 +169,10 @@ def hopkins_test(cloud: DataFrame, share: float = 0.1, repeats: int = 20, seed:
         a, b = a[a["repeat"] >= 0], b[b["repeat"] < 0]
         if not len(a) or not len(b):
             return pd.DataFrame({"id": np.zeros(0, int), "repeat": np.zeros(0, int), "d": np.zeros(0)})
-        return pd.DataFrame({"id": a["id"], "repeat": a["repeat"], "d": square(matrix(a), matrix(b)).min(axis=1)})
+        i, _, d = closest(matrix(a), matrix(b), 1)
+        return pd.DataFrame({"id": a["id"].to_numpy()[i], "repeat": a["repeat"].to_numpy()[i], "d": d})
 
-    u = block_pairs(both, nearest, "id long, repeat long, d double", extra=("repeat",)).groupBy("set_id", "repeat", "id").agg(F.min("d").alias("d"))
+    u = block_pairs(both, nearest, "id long, repeat long, d double", None, extra=("repeat",)).groupBy("set_id", "repeat", "id").agg(F.min("d").alias("d"))
     u = u.groupBy("set_id", "repeat").agg(F.sum(F.pow("d", F.lit(float(dim)))).alias("u"))
     near = knn(cloud, 1).select("set_id", F.col("i").alias("id"), "d").join(counts.select("set_id", "m"), "set_id")
     chosen = near.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repeats - 1).cast("long"))).alias("repeat"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacuna import queries_reports, queries_tables
-from lacuna.operators import synth
+from lacuna.operators import neighbors, synth
 from lacuna.sources import sounds
 
 
@@ -42,3 +42,34 @@ def test_percentiles_of_all_rows_are_no_single_task(spark, sf):
     x = [r.l_extendedprice / r.l_quantity for r in spark.read.parquet(f"{sf}/lineitem.parquet").where("l_discount <> 0").collect()]
     row = found.first()
     assert row.n == len(x) and np.allclose([row.p25, row.med], np.quantile(x, [0.25, 0.5]), atol=1e-4)
+
+
+@pytest.mark.parametrize("kind", ["uniform", "copies", "far", "grid", "odd"])
+def test_closest_rows_are_those_of_all_distances(kind):
+    rng = np.random.default_rng(1)
+    a, b = rng.random((90, 8)), rng.random((130, 8))
+    if kind == "copies":
+        a, b = a[:3].repeat(30, axis=0), np.concatenate([a[:3].repeat(40, axis=0), b[:10]])
+    elif kind == "far":
+        a, b = a + 1e7, b + 1e7
+    elif kind == "grid":
+        a, b = np.round(3 * a), np.round(3 * b)
+    elif kind == "odd":
+        a[4], b[5, 2], b[6] = np.nan, np.inf, 1e200
+    with np.errstate(all="ignore"):
+        d = neighbors.square(a, b)
+    skipped = (np.arange(90)[:, None] + np.arange(130)[None, :]) % 7 == 0
+    d[skipped] = np.inf
+    for k in (1, 5, 130, 200):
+        i, j, found = neighbors.closest(a, b, k, lambda here: skipped[here])
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        wanted = [(r, c, d[r, c]) for r in range(90) for c in order[r] if np.isfinite(d[r, c])]
+        assert list(zip(i.tolist(), j.tolist(), found.tolist(), strict=True)) == wanted
+
+
+def test_searches_pass_few_rows_on(spark):
+    """A search gives k rows a point and part; with blocks of fixed size the rows grew with the square of the points."""
+    assert neighbors.PART_POINTS >= 16 * neighbors.BLOCK
+    cloud = spark.range(20_000).select(F.lit("all").alias("set_id"), "id", F.array((F.col("id") % 997).cast("double"), (F.col("id") % 1009).cast("double")).alias("z"))
+    rows = neighbors.block_pairs(cloud, lambda a, b: a[["id"]], "id long", None).count()
+    assert rows == 20_000 * neighbors.PARTS
