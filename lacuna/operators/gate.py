@@ -48,7 +48,7 @@ def gap_test(cloud: DataFrame, n_null: int = N_NULL, alpha: float = ALPHA, k: in
     if small:
         raise ValueError(f"set {small[0].set_id} has {small[0].n} points; more than {k} are needed")
     neighbors = cut(knn(cloud, k))
-    tree = cut(minimum_spanning_tree(cloud))
+    tree = cut(minimum_spanning_tree(cloud, near=neighbors, k=k))
     gaps = cut(gap_tree(tree, neighbors, k, min_group))
     dims = intrinsic_dim(neighbors, k)
     counts = cloud.groupBy("set_id").agg(F.count("*").cast("int").alias("n"))

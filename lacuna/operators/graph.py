@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.checkpoints import cut
-from lacuna.operators.neighbors import BLOCK, OFFSET, block_pairs, matrix, square
+from lacuna.operators.neighbors import BLOCK, OFFSET, K, block_pairs, closest, knn, matrix, square
 
 
 #: So many edges of a set are joined within one task; the rest is done in rounds of Spark jobs.
@@ -163,16 +163,105 @@ def small_tree(rows: pd.DataFrame, core: str | None = None) -> pd.DataFrame:
     return pd.DataFrame(edges, columns=["u", "v", "w"])
 
 
-def minimum_spanning_tree(cloud: DataFrame, block: int = BLOCK) -> DataFrame:
+def minimum_spanning_tree(cloud: DataFrame, block: int = BLOCK, near: DataFrame | None = None, k: int = K) -> DataFrame:
     """(set_id, u, v, w) with u < v: for each set, the tree over Euclidean distances plus the offset, ties by (w, u, v).
 
-    An edge of the whole tree is in the tree of any part that holds both its ends. So each pair of blocks gives the tree of its
-    points, and the tree of all these edges is the result: no table of all pairs is made, and sets of one block are done at once.
+    Sets of one block are done at once, larger ones from the ``k`` nearest of each point (``near``, if they are there already). Where
+    the neighbours' forest has more edges than a task joins, each pair of blocks gives the tree of its points, and the tree of all these
+    edges is the result, since an edge of the whole tree is in the tree of any part that holds both its ends.
     """
-    edges = block_trees(cloud, block)
-    if not cloud.groupBy("set_id").count().where(F.col("count") > block).limit(1).count():
-        return edges
-    return spanning_tree_of_edges(cloud, edges)
+    counts = cut(cloud.groupBy("set_id").agg(F.count("*").alias("n")))
+    most = counts.agg(F.max("n")).first()[0] or 0
+    if most <= block:
+        return block_trees(cloud, block)
+    huge = counts.where(F.col("n") > TASK_EDGES).select("set_id")
+    if most <= TASK_EDGES:
+        return tree_of_neighbours(cloud, near, k)
+    rest = cloud.join(huge, "set_id", "left_semi")
+    out = tree_of_neighbours(cloud.join(huge, "set_id", "left_anti"), near.join(huge, "set_id", "left_anti") if near is not None else None, k)
+    return out.unionByName(spanning_tree_of_edges(rest, block_trees(rest, block)))
+
+
+def certain_edges(edges: pd.DataFrame, beyond: pd.DataFrame) -> pd.DataFrame:
+    """The forest (u, v, w) of listed edges, told apart (kind 1: surely of the tree, 0: not), and (u: point, v: component) of kind 2 after joining the sure ones.
+
+    ``beyond`` (id, w): edges of a point that aren't listed are that long at least. An edge is sure if it is shorter than those of all
+    points on one of the sides that it joins, as it is then the shortest of all that leave that side.
+    """
+    edges = edges.sort_values(["w", "u", "v"])
+    ids, at = np.unique(beyond["id"].to_numpy(), return_index=True)
+    low = beyond["w"].to_numpy()[at].tolist()
+    u, v, w = np.searchsorted(ids, edges["u"].to_numpy()).tolist(), np.searchsorted(ids, edges["v"].to_numpy()).tolist(), edges["w"].tolist()
+    parent, comp, sure = list(range(len(ids))), list(range(len(ids))), np.zeros(len(w), np.int64)
+
+    def root(of: list[int], i: int) -> int:
+        while of[i] != i:
+            of[i] = i = of[of[i]]
+        return i
+
+    for e in range(len(w)):
+        x, y = root(parent, u[e]), root(parent, v[e])
+        if w[e] < low[x] or w[e] < low[y]:
+            sure[e] = 1
+            p, q = root(comp, u[e]), root(comp, v[e])
+            comp[max(p, q)] = min(p, q)
+        parent[max(x, y)] = min(x, y)
+        low[min(x, y)] = min(low[x], low[y])
+    names = pd.DataFrame({"u": ids, "v": ids[[root(comp, i) for i in range(len(ids))]], "w": 0.0, "kind": 2})
+    return pd.concat([edges[["u", "v", "w"]].assign(kind=sure), names])
+
+
+def tree_of_neighbours(cloud: DataFrame, near: DataFrame | None = None, k: int = K) -> DataFrame:
+    """The spanning tree as in ``minimum_spanning_tree``, from each point's k nearest.
+
+    The forest of the listed pairs is made first. Its edges that can't be beaten by a pair that isn't listed are of the tree. Where
+    that leaves several components, all but a set's largest get their best edge in rounds, for which those of their points are
+    searched whose lists don't settle it.
+    """
+    near = cut(knn(cloud, k)) if near is None else near
+    listed = near.select("set_id", F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"), (F.col("d") + OFFSET).alias("w")).distinct()
+    forest = spanning_tree_of_edges(cloud, listed)
+    full = near.groupBy("set_id", F.col("i").alias("id")).agg(F.count("*").alias("n"), (F.max("d") + OFFSET).alias("w"))
+    beyond = cloud.select("set_id", "id").distinct().join(full, ["set_id", "id"], "left").select("set_id", "id", F.when(F.col("n") >= k, F.col("w")).otherwise(F.lit(float("inf"))).alias("w"))
+    beyond = cut(beyond)
+
+    def told(key: tuple, edges: pd.DataFrame, beyond: pd.DataFrame) -> pd.DataFrame:
+        return certain_edges(edges, beyond).assign(set_id=key[0])[["set_id", "u", "v", "w", "kind"]]
+
+    both = cut(forest.groupBy("set_id").cogroup(beyond.groupBy("set_id")).applyInPandas(told, "set_id string, u long, v long, w double, kind long"))
+    tree, open_ = both.where("kind = 1").select("set_id", "u", "v", "w"), both.where("kind = 0").select("set_id", "u", "v", "w")
+    labels = both.where("kind = 2").select("set_id", F.col("u").alias("id"), F.col("v").alias("comp"))
+    while True:
+        sizes = cut(labels.groupBy("set_id", "comp").agg(F.count("*").alias("n")))
+        largest = sizes.groupBy("set_id").agg(F.count("*").alias("many"), F.max_by("comp", F.struct("n", "comp")).alias("largest")).where("many > 1")
+        if not largest.limit(1).count():
+            return tree
+        end = lambda c: labels.select("set_id", F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+        leaving = open_.join(end("u"), ["set_id", "u"]).join(end("v"), ["set_id", "v"]).where("cu <> cv").select("set_id", F.explode(F.array("cu", "cv")).alias("comp"), F.struct("w", "u", "v").alias("e"))
+        best = leaving.groupBy("set_id", "comp").agg(F.min("e").alias("best"))
+        small = labels.join(largest.select("set_id", "largest"), "set_id").join(best, ["set_id", "comp"], "left")
+        small = small.join(beyond, ["set_id", "id"]).select("set_id", "id", "comp", "best", (F.col("comp") != F.col("largest")).alias("_small"), "w")
+        asked = (F.col("_small") & (F.col("best").isNull() | (F.col("w") <= F.col("best.w")))).cast("long").alias("asked")
+        small = cut(small.select("set_id", "id", "comp", F.when(F.col("_small"), F.col("best")).alias("best"), asked))
+        found = small.where("best is not null").select("set_id", "comp", F.col("best").alias("e"))
+        if small.where("asked = 1").limit(1).count():
+            placed = cloud.join(small.select("set_id", "id", "comp", "asked"), ["set_id", "id"])
+            out = block_pairs(placed, outward, "comp long, u long, v long, w double", None, extra=("comp", "asked"))
+            found = found.unionByName(out.select("set_id", "comp", F.struct("w", "u", "v").alias("e")))
+        picked = cut(found.groupBy("set_id", "comp").agg(F.min("e").alias("e")).select("set_id", "e.u", "e.v", "e.w").distinct())
+        if not picked.limit(1).count():  # what is left has no distance to the others
+            return tree
+        tree = tree.unionByName(picked)
+        labels = contracted(labels, picked)
+
+
+def outward(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """(comp, u, v, w): for each component with points asked for in a, the best edge from one of them to a point of another component in b."""
+    a, b = a[a["asked"] == 1].sort_values("id"), b.sort_values("id")
+    mine, theirs, x, y = a["comp"].to_numpy(), b["comp"].to_numpy(), a["id"].to_numpy(), b["id"].to_numpy()
+    i, j, d = closest(matrix(a), matrix(b), 1, lambda here: mine[here, None] == theirs[None, :])
+    out = pd.DataFrame({"comp": mine[i], "u": np.minimum(x[i], y[j]), "v": np.maximum(x[i], y[j]), "w": d + OFFSET})
+    return out.sort_values(["w", "u", "v"]).drop_duplicates("comp")
 
 
 def block_trees(cloud: DataFrame, block: int = BLOCK, core: str | None = None) -> DataFrame:

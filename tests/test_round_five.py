@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lacuna.operators import neighbors, nulls
+from lacuna.operators import graph, neighbors, nulls
 
 
 def _cloud(kind: str) -> np.ndarray:
@@ -68,3 +68,27 @@ def test_searches_multiply_in_single_precision_and_miss_nothing(kind, monkeypatc
     order = np.argsort(far, axis=1, kind="stable")[:, :7]
     assert (j.reshape(-1, 7) == order).all() and (d.reshape(-1, 7) == np.take_along_axis(far, order, 1)).all()
     assert seen and set(seen) == {np.dtype(np.float32)}
+
+
+@pytest.mark.parametrize("kind", ["far groups", "copies", "grid"])
+def test_trees_come_from_neighbour_lists(spark, kind, monkeypatch):
+    """No tree for each pair of blocks, whose number and edges grew with the square of the points; far groups and copies need searches of their own."""
+    monkeypatch.setattr(graph, "block_trees", lambda *_: pytest.fail("trees of block pairs"))
+    z = _cloud(kind)[::3]
+    cloud = spark.createDataFrame([("s", i, x.tolist()) for i, x in enumerate(z)], "set_id string, id long, z array<double>")
+    got = [(r.w, r.u, r.v) for r in graph.minimum_spanning_tree(cloud, block=100).collect()]
+    d = neighbors.square(z, z) + neighbors.OFFSET
+    pairs = sorted((d[u, v], u, v) for u in range(len(z)) for v in range(u + 1, len(z)))
+    root, want = list(range(len(z))), []
+    for w, u, v in pairs:
+        if root[u] != root[v]:
+            want.append((w, u, v))
+            old, new = root[v], root[u]
+            root = [new if r == old else r for r in root]
+    assert sorted(got) == want
+
+
+def test_a_point_at_no_distance_ends_the_tree(spark):
+    z = [[float(i), 0.0] for i in range(40)] + [[float("inf"), 0.0]]
+    cloud = spark.createDataFrame([("s", i, x) for i, x in enumerate(z)], "set_id string, id long, z array<double>")
+    assert sorted((r.u, r.v) for r in graph.minimum_spanning_tree(cloud, block=10).collect()) == [(i, i + 1) for i in range(39)]
