@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lacuna.operators import graph, neighbors, nulls
+from lacuna.operators import density, graph, neighbors, nulls
 
 
 def _cloud(kind: str) -> np.ndarray:
@@ -92,3 +93,26 @@ def test_a_point_at_no_distance_ends_the_tree(spark):
     z = [[float(i), 0.0] for i in range(40)] + [[float("inf"), 0.0]]
     cloud = spark.createDataFrame([("s", i, x) for i, x in enumerate(z)], "set_id string, id long, z array<double>")
     assert sorted((r.u, r.v) for r in graph.minimum_spanning_tree(cloud, block=10).collect()) == [(i, i + 1) for i in range(39)]
+
+
+def test_modes_of_few_sets_are_sought_in_a_task_each(spark):
+    """Ten sets are few bytes and much work; before, all were in one task."""
+    z = np.random.default_rng(2).normal(size=(10, 60, 2))
+    rows = [(f"s{s}", i, x.tolist()) for s, part in enumerate(z) for i, x in enumerate(part)]
+    cloud = spark.createDataFrame(rows, "set_id string, id long, z array<double>")
+    sets = cloud.select("set_id").distinct()
+    placed = density._by_set(cloud, sets).applyInPandas(lambda rows: rows[["set_id"]].head(1), "set_id string").select("set_id", F.spark_partition_id().alias("p")).collect()
+    assert len(placed) == 10 and len({r.p for r in placed}) >= 5
+    widths = cloud.select("set_id", F.lit(0.3).alias("h")).distinct()
+    got = {r.set_id: r.many for r in density._many_modes(cloud, widths, sets).collect()}
+    assert got == {f"s{s}": density.modes(part, 0.3) for s, part in enumerate(z)}
+
+
+def test_kernel_means_are_those_of_all_pairs():
+    r = np.random.default_rng(3)
+    z, ends = r.normal(size=(700, 2)) + 5, np.concatenate([r.normal(size=(90, 2)) + 5, [[60.0, -40.0]]])
+    for h in (0.02, 0.4, 3.0):
+        power = -((ends[:, None] - z[None]) ** 2).sum(axis=2) / (2 * h * h)
+        weight = np.exp(power - power.max(axis=1, keepdims=True))
+        assert np.allclose(density.kernel_means(ends, z, h), weight @ z / weight.sum(axis=1, keepdims=True), atol=1e-7)
+        assert np.allclose(density.partial_sums(ends, z, h)[0], power.max(axis=1))
