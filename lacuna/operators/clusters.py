@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.checkpoints import cut
-from lacuna.operators.graph import block_trees, components, spanning_tree_of_edges
+from lacuna.operators.graph import components
 from lacuna.operators.neighbors import BLOCK, matrix, square
+from lacuna.operators.reachability import core_distances, reachability_tree
 
 
 #: Cells are over the coordinates, at most so many, that spread the widest.
@@ -213,14 +214,17 @@ def condensed(edges: list[tuple[float, int, int]], n: int, min_size: int) -> lis
     return labels
 
 
-def hdbscan(cloud: DataFrame, neighbors: DataFrame, min_cluster_size: int = 10, block: int = BLOCK) -> DataFrame:
+def hdbscan(cloud: DataFrame, neighbors: DataFrame | None = None, min_cluster_size: int = 10, block: int | None = None) -> DataFrame:
     """(set_id, id, cluster): clusters of excess of mass over mutual-reachability distances, -1 for noise.
 
-    The spanning tree comes from the trees of pairs of blocks, as that over plain distances does; its n - 1 edges of a set are condensed
-    in a grouped function. ``neighbors`` reach to the ``min_cluster_size``-th neighbour, the point itself counted.
+    The spanning tree's n - 1 edges of a set are condensed in a grouped function. The core distance is that to the
+    ``min_cluster_size``-th neighbour, the point itself counted; it is taken from ``neighbors``, if they are there already.
     """
-    core = neighbors.where(F.col("rank") == min_cluster_size - 1).select("set_id", F.col("i").alias("id"), F.col("d").alias("core"))
-    edges = spanning_tree_of_edges(cloud, block_trees(cloud.join(core, ["set_id", "id"]), block, "core"))
+    if neighbors is None:
+        core = core_distances(cloud, min_cluster_size - 1)
+    else:
+        core = neighbors.where(F.col("rank") == min_cluster_size - 1).select("set_id", F.col("i").alias("id"), F.col("d").alias("core"))
+    edges = reachability_tree(cloud.join(core, ["set_id", "id"]), block)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(set(rows["u"]) | set(rows["v"]))

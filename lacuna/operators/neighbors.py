@@ -15,10 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.checkpoints import cut
+
 K = 15
 BLOCK = 1024
 #: A search takes a set in so many parts or more, so that there are tasks for all cores, each of at most so many points.
 PARTS, PART_POINTS = 12, 65_536
+#: Pairs of blocks are dealt into tasks of about so many pairs of points, but so many tasks at least and at most.
+TASK_PAIRS, LEAST_TASKS, MOST_TASKS = 50_000_000, 24, 2000
 #: Pairs whose distances are made at once, as caches hold them; in a search, rows and columns.
 CACHED, ROWS, COLUMNS = 65_536, 512, 4096
 OFFSET = 1e-9  # keeps duplicate points apart from missing edges
@@ -149,12 +153,13 @@ def block_pairs(cloud: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], p
     """
     n = F.count("*")
     parts = F.ceil(n / block) if block else F.greatest(F.ceil(n / PART_POINTS), F.least(F.ceil(n / BLOCK), F.lit(PARTS)))
-    sizes = cloud.groupBy("set_id").agg(parts.cast("int").alias("_n"))
-    dealt = cloud.join(sizes, "set_id").withColumn("_own", F.pmod(F.xxhash64("id"), "_n").cast("int"))
+    sizes = cut(cloud.groupBy("set_id").agg(parts.cast("int").alias("_n"), n.cast("double").alias("_all")))
+    tasks, pairs = sizes.agg(F.coalesce(F.sum(F.col("_n").cast("long") * F.col("_n")), F.lit(0)), F.coalesce(F.sum(F.col("_all") * F.col("_all")), F.lit(0.0))).first()
+    dealt = cloud.join(sizes.drop("_all"), "set_id").withColumn("_own", F.pmod(F.xxhash64("id"), "_n").cast("int"))
     dealt = dealt.select("set_id", "id", "z", *extra, "_own", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_other"))
     keep = ["id", "z", *extra]
     kinds = {"long": "int64", "double": "float64"}
-    types = {"set_id": "object"} | {c.split()[0]: kinds[c.split()[1]] for c in schema.split(", ")}
+    types = {"set_id": "object"} | {c.split()[0]: kinds.get(c.split()[1], "object") for c in schema.split(", ")}
     left = dealt.select("set_id", F.col("_own").alias("_p"), F.col("_other").alias("_q"), *keep)
     fresh = lambda c: F.col(c).alias(c)  # noqa: E731  columns of their own, for a join with the same table
     right = dealt.select(fresh("set_id"), F.col("_other").alias("_p"), F.col("_own").alias("_q"), *[fresh(c) for c in keep])
@@ -166,6 +171,9 @@ def block_pairs(cloud: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], p
         return pd.DataFrame({"set_id": np.full(len(out), key[0], object), **{c: out[c].to_numpy() for c in out.columns}}).astype(types)
 
     keys = ["set_id", "_p", "_q"]
+    if tasks > 1:  # pairs of blocks are much work and few bytes, by which Spark would put many of them in a task
+        spread = min(tasks, max(LEAST_TASKS, int(pairs / TASK_PAIRS)), MOST_TASKS)
+        left, right = left.repartition(spread, *keys), right.repartition(spread, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"set_id string, {schema}")
 
 

@@ -203,7 +203,7 @@ def group_relative_gaps(spark, sf_dir):
 def _dense_clusters(cloud: DataFrame) -> DataFrame:
     """Density clusters of at least ten points, or a hundredth of all."""
     size = max(10, int(0.01 * cloud.count()))
-    return clusters.hdbscan(cloud, neighbors.knn(cloud, size - 1), size)
+    return clusters.hdbscan(cloud, min_cluster_size=size)
 
 
 def hdbscan(spark, sf_dir):
