@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.checkpoints import cut
-from lacuna.operators.graph import components
+from lacuna.operators.graph import block_trees, components, spanning_tree_of_edges
 from lacuna.operators.neighbors import BLOCK, matrix, square
 from lacuna.operators.reachability import core_distances, reachability_tree
 
 
 #: Cells are over the coordinates, at most so many, that spread the widest.
 GRID = 3
+#: Sets of up to so many points get their tree over mutual reachability from the trees of pairs of blocks.
+SMALL = 4 * BLOCK
 
 
 def _grid_pairs(cloud: DataFrame, eps: float, work, schema: str, extra: tuple[str, ...], left: Column, right: Column, block: int) -> DataFrame:
@@ -224,7 +226,12 @@ def hdbscan(cloud: DataFrame, neighbors: DataFrame | None = None, min_cluster_si
         core = core_distances(cloud, min_cluster_size - 1)
     else:
         core = neighbors.where(F.col("rank") == min_cluster_size - 1).select("set_id", F.col("i").alias("id"), F.col("d").alias("core"))
-    edges = reachability_tree(cloud.join(core, ["set_id", "id"]), block)
+    placed = cut(cloud.join(core, ["set_id", "id"]))
+    most = placed.groupBy("set_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= SMALL:  # few pairs of blocks are done sooner than the rounds
+        edges = spanning_tree_of_edges(placed, block_trees(placed, block or BLOCK, "core"))
+    else:
+        edges = reachability_tree(placed, block)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(set(rows["u"]) | set(rows["v"]))
