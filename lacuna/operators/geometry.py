@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.operators.neighbors import BLOCK, block_pairs, closest, knn, matrix
+from lacuna.checkpoints import cut
+from lacuna.operators.neighbors import BLOCK, knn, matrix, nearest
 
 
 def outline(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -158,21 +159,13 @@ def hopkins_test(cloud: DataFrame, share: float = 0.1, repeats: int = 20, seed:
                     p = lo + rng.random((2 * row.m, dim)) * (hi - lo)
                     hull = None if row.planes is None else np.array(list(row.planes), float)
                     found = np.concatenate([found, p if hull is None else p[inside(p, hull)]])
-                out += [(row.set_id, (int(row.repeat) << 40) + k, z.tolist(), row.repeat) for k, z in enumerate(found[: row.m])]
-            yield pd.DataFrame(out, columns=["set_id", "id", "z", "repeat"])
+                out += [(row.set_id, (int(row.repeat) << 40) + k, z.tolist()) for k, z in enumerate(found[: row.m])]
+            yield pd.DataFrame(out, columns=["set_id", "id", "z"])
 
     jobs = counts.join(hulls, "set_id", "left").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    drawn = jobs.mapInPandas(draw, "set_id string, id long, z array<double>, repeat long")
-    both = cloud.select("set_id", "id", "z", F.lit(-1).cast("long").alias("repeat")).unionByName(drawn)
-
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a[a["repeat"] >= 0], b[b["repeat"] < 0]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": np.zeros(0, int), "repeat": np.zeros(0, int), "d": np.zeros(0)})
-        i, _, d = closest(matrix(a), matrix(b), 1)
-        return pd.DataFrame({"id": a["id"].to_numpy()[i], "repeat": a["repeat"].to_numpy()[i], "d": d})
-
-    u = block_pairs(both, nearest, "id long, repeat long, d double", None, extra=("repeat",)).groupBy("set_id", "repeat", "id").agg(F.min("d").alias("d"))
+    drawn = jobs.mapInPandas(draw, "set_id string, id long, z array<double>")
+    cloud = cut(cloud)
+    u = nearest(cut(drawn), cloud).select("set_id", F.shiftright("i", 40).alias("repeat"), "d")
     u = u.groupBy("set_id", "repeat").agg(F.sum(F.pow("d", F.lit(float(dim)))).alias("u"))
     near = knn(cloud, 1).select("set_id", F.col("i").alias("id"), "d").join(counts.select("set_id", "m"), "set_id")
     chosen = near.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repeats - 1).cast("long"))).alias("repeat"))

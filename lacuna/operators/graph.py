@@ -258,6 +258,8 @@ def tree_of_neighbours(cloud: DataFrame, near: DataFrame | None = None, k: int =
 def outward(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     """(comp, u, v, w): for each component with points asked for in a, the best edge from one of them to a point of another component in b."""
     a, b = a[a["asked"] == 1].sort_values("id"), b.sort_values("id")
+    if not len(a):
+        return pd.DataFrame({"comp": np.zeros(0, int), "u": np.zeros(0, int), "v": np.zeros(0, int), "w": np.zeros(0)})
     mine, theirs, x, y = a["comp"].to_numpy(), b["comp"].to_numpy(), a["id"].to_numpy(), b["id"].to_numpy()
     i, j, d = closest(matrix(a), matrix(b), 1, lambda here: mine[here, None] == theirs[None, :])
     out = pd.DataFrame({"comp": mine[i], "u": np.minimum(x[i], y[j]), "v": np.maximum(x[i], y[j]), "w": d + OFFSET})
