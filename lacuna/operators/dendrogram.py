@@ -56,12 +56,6 @@ def _folded(edges: pd.DataFrame) -> tuple[list[tuple[int, int, int]], dict[int,
     return out, place
 
 
-def merge_sizes(u: list[int], v: list[int]) -> list[tuple[int, int]]:
-    """For the edges of a small cloud in order: the sizes of the two groups that each one joins."""
-    ones = [1] * len(u)
-    return [(a, b) for _, a, b in _folded(pd.DataFrame({"a": u, "b": v, "na": ones, "nb": ones}))[0]]
-
-
 def dendrogram(tree: DataFrame, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """Merges (set_id, u, v, w, e, first, size_a, size_b) of a spanning tree or forest (set_id, u, v, w), and places (set_id, id, place) of its points.
 
