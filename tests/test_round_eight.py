@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lacuna.operators import nulls
+from lacuna.operators import density, nulls
 
 
 def _plain(z, k=15, min_group=10):
@@ -42,3 +42,33 @@ def test_clouds_are_dealt_evenly(spark):
     nulls_ = nulls.null_table(spark, [(nulls.WHOLE + 1, 1)], 3)
     assert nulls_.rdd.getNumPartitions() == 9
     assert nulls_.rdd.glom().map(len).collect() == [1] * 9
+
+
+def _lumpy(n, seed=0):
+    r = np.random.default_rng(seed)
+    return np.concatenate([r.normal(size=(n - n // 4, 2)), r.normal(size=(n // 4, 2)) * 0.6 + [2.5, 0.5]])
+
+
+@pytest.mark.parametrize("h", [0.15, 0.6, 2.0])
+def test_means_from_a_table_are_those_of_all_points(h):
+    z = _lumpy(1500)
+    assert np.abs(density.MeanTable(z, h)(z) - density.kernel_means(z, z, h)).max() < 1e-8 * h
+
+
+def test_critical_bandwidth_is_the_same_from_tables(monkeypatch):
+    z = _lumpy(1000)
+    found = density.critical_bandwidth(z)
+    monkeypatch.setattr(density, "TABLED", 10**9)
+    assert found == density.critical_bandwidth(z) and found > 0.1
+
+
+def test_large_sets_in_the_plane_meet_no_pairs_of_points(spark, monkeypatch):
+    """Before, sets of more than 4000 points went through rounds of jobs, and smaller ones weighed all their pairs in each round."""
+    monkeypatch.setattr(density, "critical_bandwidths_in_blocks", lambda *_: pytest.fail("rounds of jobs"))
+    monkeypatch.setattr(density, "kernel_means", lambda *_: pytest.fail("all pairs"))
+    z = _lumpy(density.LARGEST + 100)
+    assert density.critical_bandwidth(z) > 0.1
+    cloud = spark.createDataFrame([("s", i, x) for i, x in enumerate(z.tolist())], "set_id string, id long, z array<double>")
+    monkeypatch.setattr(density, "critical_bandwidth", lambda z: 0.9)
+    out = density.peak_and_mode_tests(cloud, n_null=3).collect()
+    assert len(out) == 1 and out[0].h_crit == 0.9 and 0 <= out[0].p_modes <= 1
