@@ -23,19 +23,33 @@ def tukey(n: int, share: float = 0.25) -> np.ndarray:
     return out
 
 
+#: Segments that are transformed at once.
+FRAMES = 64
+
+
 def spectrogram(x: np.ndarray, fs: float, nperseg: int, noverlap: int, window: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(frequencies, times, power density by frequency and time): one-sided, each segment's mean taken off."""
     window = tukey(nperseg) if window is None else window
     if len(x) < nperseg:
         x = np.pad(np.asarray(x, float), (0, nperseg - len(x)))
     seg = np.lib.stride_tricks.sliding_window_view(np.asarray(x, float), nperseg)[:: nperseg - noverlap]
-    seg = (seg - seg.mean(axis=1, keepdims=True)) * window
-    power = np.abs(np.fft.rfft(seg, axis=1)) ** 2 / (fs * (window**2).sum())
+    scale = fs * (window**2).sum()
+    power = np.empty((len(seg), nperseg // 2 + 1))
+    for a in range(0, len(seg), FRAMES):  # as many as caches hold
+        part = seg[a : a + FRAMES]
+        part = part - part.mean(axis=1, keepdims=True)
+        part *= window
+        np.divide(np.abs(np.fft.rfft(part, axis=1)) ** 2, scale, out=power[a : a + FRAMES])
     power[:, 1 : -1 if nperseg % 2 == 0 else None] *= 2
     times = (np.arange(len(seg)) * (nperseg - noverlap) + nperseg / 2) / fs
     return np.fft.rfftfreq(nperseg, 1 / fs), times, power.T
 
 
+def band_of(f: np.ndarray, low: float, high: float) -> slice:
+    """The rows of ascending frequencies from ``low`` to ``high``, as a slice, which copies nothing."""
+    return slice(int(np.searchsorted(f, low)), int(np.searchsorted(f, high, side="right")))
+
+
 def welch(x: np.ndarray, fs: float, nperseg: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """(frequencies, mean power density) over half-overlapping Hann segments."""
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(nperseg) / nperseg)
@@ -50,12 +64,22 @@ DECADES = 4.0
 def log_power(power: np.ndarray, floor: float, decades: float = DECADES) -> np.ndarray:
     """Decimal logarithm of power densities, its top ``decades`` scaled from 0 to 1."""
     level = np.log10(power + floor)
-    return np.clip(1 + (level - level.max()) / decades, 0, 1)
+    level -= level.max()
+    level /= decades
+    level += 1
+    return np.clip(level, 0, 1, out=level)
 
 
 def resampled(values: np.ndarray, at: np.ndarray, new: np.ndarray, axis: int) -> np.ndarray:
-    """Linear interpolation of a table along one axis."""
-    return np.apply_along_axis(lambda line: np.interp(new, at, line), axis, values)
+    """Linear interpolation of a table along one axis, as ``np.interp`` has it for each line."""
+    lines = np.moveaxis(values, axis, 0)
+    left = np.clip(np.searchsorted(at, new, side="right") - 1, 0, max(len(at) - 2, 0))
+    right = np.minimum(left + 1, len(at) - 1)
+    wide = np.where(right > left, at[right] - at[left], 1.0)
+    shape = (-1,) + (1,) * (lines.ndim - 1)
+    out = (lines[right] - lines[left]) / wide.reshape(shape) * (new - at[left]).reshape(shape) + lines[left]
+    out[new <= at[0]], out[new >= at[-1]] = lines[0], lines[-1]
+    return np.moveaxis(out, 0, axis)
 
 
 def call_pixels(x: np.ndarray, fs: float, duration_ms: float | None, longest_ms: float, low: float, high: float, nperseg: int = 256, noverlap: int = 224, floor: float = 1e-12, side: int = 32, decades: float = DECADES, full_width: bool = False) -> np.ndarray:
@@ -88,7 +112,7 @@ def aligned_spectrum(x: np.ndarray, fs: float, start: int, length: int, grid_ms:
     pad = int(pad_ms * fs / 1000)
     a = max(start - pad, 0)
     f, t, p = spectrogram(x[a : start + length + pad], fs, nperseg, noverlap)
-    band = (f >= low) & (f <= high)
+    band = band_of(f, low, high)
     ms = 1000 * (t - (start - a) / fs)
     out = resampled(log_power(p[band], 1e-12), ms, grid_ms, 1)
     out[:, (grid_ms < ms[0]) | (grid_ms > ms[-1])] = np.nan
@@ -105,19 +129,28 @@ def aligned_spectra(calls: DataFrame, grid_ms: np.ndarray, low: float, high: flo
     return calls.withColumn("spectrum", run("x", F.col("fs").cast("double"), F.col("start").cast("long"), F.col("length").cast("long")))
 
 
+#: What is told of each frame.
+FRAME = "fs double, n long, frame long, t double, tonal_db double, peak_hz double"
+
+
+def frame_table(x: np.ndarray, fs: float, low: float, high: float, nperseg: int, noverlap: int) -> dict:
+    """Columns of ``FRAME`` of one recording: how far the band's maximum stands above its median."""
+    f, t, p = spectrogram(np.asarray(x, float), fs, nperseg, noverlap)
+    band = band_of(f, low, high)
+    db = 10 * np.log10(p[band] + 1e-20)
+    return {"fs": float(fs), "n": len(x), "frame": np.arange(len(t)), "t": t, "tonal_db": db.max(axis=0) - np.median(db, axis=0), "peak_hz": f[band][db.argmax(axis=0)]}
+
+
 def frames(recordings: DataFrame, low: float, high: float, nperseg: int = 512, noverlap: int = 384, keys: tuple[str, ...] = ("file",)) -> DataFrame:
-    """(keys, fs, n, frame, t, tonal_db, peak_hz) of recordings (keys, fs, x) of n samples: how far the band's maximum stands above its median."""
+    """(keys, fs, n, frame, t, tonal_db, peak_hz) of recordings (keys, fs, x) of n samples, see ``frame_table``."""
 
     def run(batches):
         for batch in batches:
             for row in batch.itertuples(index=False):
-                f, t, p = spectrogram(np.asarray(row.x, float), row.fs, nperseg, noverlap)
-                band = (f >= low) & (f <= high)
-                db = 10 * np.log10(p[band] + 1e-20)
-                yield pd.DataFrame({**{k: getattr(row, k) for k in keys}, "fs": float(row.fs), "n": len(row.x), "frame": np.arange(len(t)), "t": t, "tonal_db": db.max(axis=0) - np.median(db, axis=0), "peak_hz": f[band][db.argmax(axis=0)]})
+                yield pd.DataFrame({**{k: getattr(row, k) for k in keys}, **frame_table(row.x, row.fs, low, high, nperseg, noverlap)})
 
     types = ", ".join(f"{k} {recordings.schema[k].dataType.simpleString()}" for k in keys)
-    return recordings.select(*keys, "fs", "x").mapInPandas(run, f"{types}, fs double, n long, frame long, t double, tonal_db double, peak_hz double")
+    return recordings.select(*keys, "fs", "x").mapInPandas(run, f"{types}, {FRAME}")
 
 
 def images(calls: DataFrame, longest_ms: float, low: float, high: float, **options) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.operators import sequence
-from lacuna.operators.signal import frames
+from lacuna.operators.signal import frame_table, frames
 
 #: Bands in Hz, tonality in dB, times in ms and the largest median jump in Hz of ultrasonic mouse calls.
 LOW, HIGH, TONAL_DB, MERGE_MS, SHORTEST_MS, LONGEST_MS, JUMP_HZ = 30e3, 110e3, 15.0, 10.0, 5.0, 300.0, 6e3
@@ -22,8 +23,19 @@ def detect(recordings: DataFrame, keys: tuple[str, ...] = ("file",), low: float
     most ``JUMP_HZ`` in the median. The event reaches half a window further on both sides, within the recording; ``dur_ms`` is
     from onset to offset, and peak and tonality are the medians of its active frames.
     """
+    return events_of(frames(recordings, low, high, NPERSEG, NOVERLAP, keys).where(F.col("tonal_db") >= tonal_db), keys)
+
+
+def active_frames(recording: dict) -> pd.DataFrame:
+    """Columns of ``FRAME`` of the active frames of a recording (fs, x), where nothing else of it is asked for."""
+    found = pd.DataFrame(frame_table(recording["x"], recording["fs"], LOW, HIGH, NPERSEG, NOVERLAP))
+    return found[found["tonal_db"] >= TONAL_DB]
+
+
+def events_of(active: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """What ``detect`` tells, from the active frames of each recording."""
     by = list(keys)
-    active = frames(recordings, low, high, NPERSEG, NOVERLAP, keys).where(F.col("tonal_db") >= tonal_db).withColumnRenamed("n", "_n")
+    active = active.withColumnRenamed("n", "_n")
     step = (NPERSEG - NOVERLAP) / F.col("fs")
     runs = sequence.islands(active, by, "frame", F.greatest(F.floor(MERGE_MS / 1000 / step), F.lit(1)))
     runs = sequence.jumps(runs, "peak_hz", [*by, "island"], ["frame"])

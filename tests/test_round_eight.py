@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from lacuna.operators import density, nulls
+from lacuna import queries_reports
+from lacuna.operators import density, nulls, signal, synth
+from lacuna.plans import detection
 
 
 def _plain(z, k=15, min_group=10):
@@ -72,3 +74,27 @@ def test_large_sets_in_the_plane_meet_no_pairs_of_points(spark, monkeypatch):
     monkeypatch.setattr(density, "critical_bandwidth", lambda z: 0.9)
     out = density.peak_and_mode_tests(cloud, n_null=3).collect()
     assert len(out) == 1 and out[0].h_crit == 0.9 and 0 <= out[0].p_modes <= 1
+
+
+@pytest.mark.parametrize("query", ["clean_calls", "aligned_spectra"])
+def test_samples_stay_in_the_task_that_makes_them(spark, sf, query):
+    """Before, each recording of 400 kB went to the JVM and back to another worker."""
+    plan = getattr(queries_reports, query)(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and ", x#" not in plan
+
+
+def test_calls_of_active_frames_are_those_of_the_recordings(spark):
+    users = spark.range(12)
+    made = detection.detect(synth.bursts(users, "id", seconds=0.1)).collect()
+    found = detection.events_of(synth.bursts(users, "id", seconds=0.1, work=detection.active_frames, schema=signal.FRAME)).collect()
+    assert made and sorted(map(tuple, made)) == sorted(map(tuple, found))
+
+
+@pytest.mark.parametrize("axis", [0, 1])
+def test_tables_are_interpolated_as_lines_are(axis):
+    r = np.random.default_rng(3)
+    values, at = r.random((7, 7)), np.cumsum(r.random(7))
+    new = np.concatenate([[at[0] - 1], at, r.uniform(at[0], at[-1], 20), [at[-1] + 1]])
+    assert np.array_equal(signal.resampled(values, at, new, axis), np.apply_along_axis(lambda line: np.interp(new, at, line), axis, values))
+    one = r.random((1, 4))
+    assert np.array_equal(signal.resampled(one, np.zeros(1), np.arange(3.0), 0), np.repeat(one, 3, axis=0))
